@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corvane.session import table
 
-__all__ = ["table", "keep", "shared_dir", "arrow_batches", "components", "LETTERS_UP", "LETTERS_LOW", "words_of", "alnum_words_of"]
+__all__ = ["table", "keep", "shared_dir", "arrow_batches", "components", "without", "LETTERS_UP", "LETTERS_LOW", "words_of", "alnum_words_of"]
 
 LETTERS_UP, LETTERS_LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -94,3 +94,19 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         mark = now
     raise RuntimeError("components did not settle")
+
+
+#: Rows of a key set that are broadcast at most; each takes some 100 bytes on an executor.
+BROADCAST_ROWS = 300_000
+
+
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, which must be cheap to count, marked for broadcast if it has few rows; else left to the planner."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The documents whose (doc_id, xxhash64 of the text) is not among keys (_id, _th). Ids may be null; keys must be kept."""
+    hashed = docs.withColumn("_h", F.xxhash64("text"))
+    same = hashed["doc_id"].eqNullSafe(keys["_id"]) & (hashed["_h"] == keys["_th"])
+    return hashed.join(bounded(keys), same, "left_anti").select(*docs.columns)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import arrow_batches, components, keep
+from corvane.llm.common import arrow_batches, components, keep, without
 
 BYTES, SHARED, BITS = 8, 4, 4
 COMBOS = tuple(combinations(range(BYTES), SHARED))
@@ -222,10 +222,19 @@ def classes(docs: DataFrame, size: int = 4) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame, size: int = 4) -> DataFrame:
-    """The documents less all but one of each class: the one with the smallest doc_id (nulls last), then text hash."""
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_hash"))
-    stay = classes(docs, size).groupBy("component").agg(F.min(order).alias("o")).select(F.col("o.doc_id").alias("_id"), F.col("o.text_hash").alias("_th"))
-    stay = stay.groupBy("_id", "_th").agg(F.count("*").alias("_n"))
-    both = docs.withColumn("_h", F.xxhash64("text")).join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")))
-    turn = F.row_number().over(Window.partitionBy("_id", "_th").orderBy(F.lit(0)))
-    return both.withColumn("_turn", turn).where("_turn = 1").select(*docs.columns)
+    """The documents less all but one of each class: the one with the smallest doc_id (nulls last), then text hash.
+
+    What goes is found among ids and hashes; the texts are only filtered, unless whole rows repeat.
+    """
+    of = keep(classes(docs, size), "classes").select("doc_id", "text_hash", "component")
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("text_hash").alias("t"))
+    first = of.groupBy("component").agg(F.min(order).alias("o"))
+    gone = keep(of.join(first, "component").where(order != F.col("o")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th")).distinct(), "gone")
+    left = without(docs, gone)
+    again = keep(of.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th")).agg(F.count("*").alias("_n")).where("_n > 1").select("_id", "_th"), "again")
+    if again.isEmpty():
+        return left
+    hashed = left.withColumn("_h", F.xxhash64("text"))
+    repeated = hashed.join(again, hashed["doc_id"].eqNullSafe(again["_id"]) & (hashed["_h"] == again["_th"]))
+    one = repeated.withColumn("_turn", F.row_number().over(Window.partitionBy("_id", "_th").orderBy(F.lit(0)))).where("_turn = 1")
+    return without(left, again).unionByName(one.select(*docs.columns))
