@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corvane.session import table
 
-__all__ = ["table", "keep", "shared_dir", "arrow_batches", "components", "without", "LETTERS_UP", "LETTERS_LOW", "words_of", "alnum_words_of"]
+__all__ = ["table", "keep", "shared_dir", "arrow_batches", "components", "without", "LETTERS_UP", "LETTERS_LOW", "words_of", "once", "alnum_words_of"]
 
 LETTERS_UP, LETTERS_LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -62,6 +62,16 @@ def arrow_batches(spark: SparkSession, rows: int = 2000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
+def once(column):
+    """The column, evaluated once where it stands.
+
+    Catalyst copies a deterministic expression into its readers, into lambdas too, where it would
+    run once an element. spark_partition_id() is stable but counts as nondeterministic, so what
+    holds it stays in its own projection.
+    """
+    return F.when(F.spark_partition_id() >= 0, column)
+
+
 def words_of(text):
     """Column: the maximal runs of [^\\x20\\x09-\\x0D], in order; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import alnum_words_of, bounded, keep, without
+from corvane.llm.common import alnum_words_of, bounded, keep, once, without
 
 WINDOW, GRAM = 13, 7
 SIDE = WINDOW - GRAM
@@ -26,7 +26,8 @@ SIDE = WINDOW - GRAM
 
 def _hashed(rows: DataFrame, *names: str) -> DataFrame:
     """names, n_words and _h, the hashes of the words."""
-    return rows.select(*names, alnum_words_of(F.col("text")).alias("_w")).select(*names, F.size("_w").alias("n_words"), F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"), F.size("_w").alias("_n"))
+    words = once(F.transform(alnum_words_of(F.col("text")), lambda w: F.xxhash64(w))).alias("_h")
+    return rows.select(*names, words).select(*names, F.size("_h").alias("n_words"), "_h", F.size("_h").alias("_n"))
 
 
 def _grams(h: str, size: int) -> Column:
@@ -42,21 +43,23 @@ def _fingerprints(rows: DataFrame, pad: int, lengths: list[int], whole_only: boo
     names = [c for c in rows.columns if c != "_h"]
     enough = F.col("_n") >= WINDOW
     none = F.array().cast("array<bigint>")
-    d = rows.select(*names, "_h", F.when(enough, _grams("_h", GRAM)).otherwise(none).alias("_g"))
+    d = rows.select(*names, "_h", once(F.when(enough, _grams("_h", GRAM)).otherwise(none)).alias("_g"))
     lows = F.when(F.size("_g") > 0, F.transform(F.sequence(F.lit(1), F.size("_g") - SIDE), lambda i: F.array_min(F.slice("_g", i, WINDOW - GRAM + 1)))).otherwise(none)
-    d = d.select(*names, "_h", "_g", lows.alias("_m"))
-    # A column that a lambda reads is also read outside of it: else the optimizer moves its expression into the lambda.
-    chosen = F.filter(F.transform(F.when(F.size("_m") > 0, F.col("_g")).otherwise(none), lambda g, i: F.when(F.array_contains(F.slice("_m", F.greatest(i + 1 - SIDE, F.lit(1)), F.least(i + 1, F.lit(SIDE + 1))), g), F.struct(g.alias("key"), i.alias("pos")))), lambda x: x.isNotNull())
+    d = d.select(*names, "_h", "_g", once(lows).alias("_m"))
+    # The leftmost least gram of a window is another one than before where the least changes or where it just left.
+    moved = lambda v, i: (F.get("_m", i - 1) != v) | (F.get("_g", i - 1) == F.get("_m", i - 1))
+    least = F.transform("_m", lambda v, i: F.when(F.coalesce(moved(v, i), F.lit(True)), F.struct(v.alias("key"), (i + F.array_position(F.slice("_g", i + 1, WINDOW - GRAM + 1), v).cast("int")).alias("pos"))))
+    chosen = F.filter(least, lambda x: x.isNotNull())
     edge = F.array_repeat(F.lit(pad).cast("bigint"), SIDE)
-    d = d.select(*names, "_h", chosen.alias("_c"), F.concat(edge, F.col("_h"), edge).alias("_p"), F.size("_g").alias("_ng"))
+    d = d.select(*names, "_h", once(chosen).alias("_c"), once(F.concat(edge, F.col("_h"), edge)).alias("_p"))
     fp = lambda size, key, pos, around: F.struct(F.lit(size).alias("size"), key.alias("key"), pos.alias("pos"), around.alias("around"))
-    parts = [F.transform(F.slice("_c", 1, F.size("_p")), lambda c: fp(WINDOW, c.key, c.pos, F.slice("_p", c.pos + 1, WINDOW + SIDE)))]
+    parts = [F.transform("_c", lambda c: fp(WINDOW, c.key, c.pos, F.slice("_p", c.pos, WINDOW + SIDE)))]
     for size in lengths:
         if whole_only:
-            parts.append(F.when(F.col("_n") == size, F.array(fp(size, F.xxhash64("_h"), F.lit(0), F.col("_h")))).otherwise(F.array().cast("array<struct<size:int,key:bigint,pos:int,around:array<bigint>>>")))
+            parts.append(F.when(F.col("_n") == size, F.array(fp(size, F.xxhash64("_h"), F.lit(1), F.col("_h")))).otherwise(F.array().cast("array<struct<size:int,key:bigint,pos:int,around:array<bigint>>>")))
         else:
-            parts.append(F.transform(_grams("_h", size), lambda g, i, size=size: fp(size, g, i, F.slice("_h", i + 1, size))))
-    return d.select(*names, F.concat(*parts).alias("_f"))
+            parts.append(F.transform(_grams("_h", size), lambda g, i, size=size: fp(size, g, i + 1, F.slice("_h", i + 1, size))))
+    return d.select(*names, once(F.concat(*parts)).alias("_f"))
 
 
 def item_index(items: DataFrame) -> tuple[DataFrame, list[int]]:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import keep, words_of
+from corvane.llm.common import keep, once, words_of
 
 WINDOW = 8
 
@@ -40,15 +40,15 @@ def stats(docs: DataFrame, *more: str) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    d = docs.select("doc_id", *more, words_of(F.col("text")).alias("_w"), F.expr("regexp_count(coalesce(text, ''), '[#*$%&|<>]')").cast("long").alias("n_symbols"), lines.alias("_l"))
+    d = docs.select("doc_id", *more, once(words_of(F.col("text"))).alias("_w"), F.expr("regexp_count(coalesce(text, ''), '[#*$%&|<>]')").cast("long").alias("n_symbols"), once(lines).alias("_l"))
     hashes = F.when(F.size("_w") >= WINDOW, F.transform(F.sequence(F.lit(1), F.size("_w") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_w", i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
-    d = d.select("doc_id", *more, "n_symbols", F.size("_w").cast("long").alias("n_words"), F.length(F.array_join("_w", "")).cast("long").alias("word_chars"), F.size("_l").cast("long").alias("n_lines"), (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"), hashes.alias("_h"))
+    d = d.select("doc_id", *more, "n_symbols", F.size("_w").cast("long").alias("n_words"), F.length(F.array_join("_w", "")).cast("long").alias("word_chars"), F.size("_l").cast("long").alias("n_lines"), (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"), once(hashes).alias("_h"))
     pairs = F.when(F.size(F.array_distinct("_h")) < F.size("_h"), F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
     keepers = [c for c in d.columns if c != "_h"]
-    d = d.select(*keepers, pairs.alias("_s"))
+    d = d.select(*keepers, once(pairs).alias("_s"))
     same = lambda i, j: F.coalesce(F.get("_s", i).h == F.get("_s", j).h, F.lit(False))
     twice = F.transform(F.filter("_s", lambda s, i: same(i, i - 1) | same(i, i + 1)), lambda s: s.i)
-    d = d.select(*keepers, F.size("_s").alias("_n"), F.sort_array(twice).alias("_p"))
+    d = d.select(*keepers, F.size("_s").alias("_n"), once(F.sort_array(twice)).alias("_p"))
     cover = F.aggregate(F.transform("_p", lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get("_p", i + 1), p + WINDOW) - p)), F.lit(0), lambda a, x: a + x)
     return d.select(*keepers, F.when(F.size("_p") > 0, cover).otherwise(0).cast("long").alias("n_repeat_words"))
 
