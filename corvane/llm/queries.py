@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import chat, decontaminate, licenses, packing, quality, secrets, simhash
+from corvane.llm import chat, decontaminate, licenses, packing, quality, secrets, sharding, simhash
 from corvane.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,9 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = F.coalesce(F.transform("found", lambda f: f.label), F.array().cast("array<string>"))
     named = lambda labels: F.array_join(F.sort_array(F.array_distinct(labels)), ",")
     return found.select("doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(start).alias("first_word"), F.array_max(start).alias("last_word"), named(base).alias("base_labels"), named(F.concat(base, more)).alias("labels"), "score")
+
+
+@query
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shards(table(spark, sf_dir, "documents"), 40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
