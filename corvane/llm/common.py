@@ -48,6 +48,18 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def drop_at_exit(spark: SparkSession, name: str) -> None:
+    """Drops a table in the warehouse when the application ends."""
+
+    def drop() -> None:
+        try:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        except Exception:  # noqa: BLE001  the session may be gone by now
+            pass
+
+    atexit.register(drop)
+
+
 def keep(df: DataFrame, name: str = "part", compression: str = "zstd") -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it again: the lineage ends there."""
     spark = df.sparkSession

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import chat, decontaminate, licenses, packing, quality, secrets, sharding, simhash, urls
+from corvane.llm import chat, decontaminate, licenses, packing, quality, secrets, sharding, simhash, substring, urls
 from corvane.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,21 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", F.array_join("words", " ").alias("host_words"))
+
+
+@query
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring.dedup(table(spark, sf_dir, "documents"), size=13)
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL["op1_substring_dedup"] = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, p, array_to_string(w[p : p + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d WHERE len(w) >= 13)),
+o AS (SELECT s, min(doc_id) AS m FROM g GROUP BY s),
+r AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS q FROM g JOIN o USING (s) WHERE m < doc_id),
+x AS (SELECT doc_id, list(q) AS qs FROM r GROUP BY doc_id),
+e AS (SELECT doc_id, w, unnest(w) AS v, generate_subscripts(w, 1) AS q FROM d),
+k AS (SELECT e.doc_id, string_agg(v, ' ' ORDER BY e.q) AS kept FROM e ANTI JOIN r ON e.doc_id = r.doc_id AND e.q = r.q GROUP BY e.doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(qs), 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN x USING (doc_id) LEFT JOIN k USING (doc_id)"""
