@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,5 +23,13 @@ def session(cpus: int | None = None, name: str = "corvane") -> SparkSession:
     )
 
 
+def _importable(spark: SparkSession) -> None:
+    """Lets Python workers on this machine import the package, wherever the driver was started. A cluster is given it as py-files."""
+    top, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    if top not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), top]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    _importable(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
