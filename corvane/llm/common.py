@@ -129,6 +129,6 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """The documents whose (doc_id, xxhash64 of the text) is not among keys (_id, _th). Ids may be null; keys must be kept."""
-    hashed = docs.withColumn("_h", F.xxhash64("text"))
-    same = hashed["doc_id"].eqNullSafe(keys["_id"]) & (hashed["_h"] == keys["_th"])
-    return hashed.join(bounded(keys), same, "left_anti").select(*docs.columns)
+    whole = docs.select(F.struct(*docs.columns).alias("_d"))  # so no column can clash
+    same = F.col("_d.doc_id").eqNullSafe(keys["_id"]) & (F.xxhash64("_d.text") == keys["_th"])
+    return whole.join(bounded(keys), same, "left_anti").select("_d.*")

@@ -58,10 +58,14 @@ def _fingerprints(rows: DataFrame, pad: int, lengths: list[int], whole_only: boo
         if whole_only:
             parts.append(F.when(F.col("_n") == size, F.array(fp(size, F.xxhash64("_h"), F.lit(1), F.col("_h")))).otherwise(F.array().cast("array<struct<size:int,key:bigint,pos:int,around:array<bigint>>>")))
         else:
-            parts.append(F.transform(_grams("_h", size), lambda g, i, size=size: fp(size, g, i + 1, F.slice("_h", i + 1, size))))
+            parts.append(_short(size, fp))
     return d.select(*names, once(F.concat(*parts)).alias("_f"))
 
 
+def _short(size: int, fp) -> Column:
+    return F.transform(_grams("_h", size), lambda g, i: fp(size, g, i + 1, F.slice("_h", i + 1, size)))
+
+
 def item_index(items: DataFrame) -> tuple[DataFrame, list[int]]:
     """The items' fingerprints (size, key, item_id, around), and the lengths below 13 that items have."""
     hashed = keep(_hashed(items, "item_id").where("n_words > 0"), "items")
@@ -82,7 +86,7 @@ def _reach(order: list[int]) -> Column:
 def judged(docs: DataFrame, items: DataFrame, *more: str) -> DataFrame:
     """doc_id, `more`, n_words, n_hit, n_items, items_sha256, contaminated: one row a document."""
     index, lengths = item_index(items)
-    named = docs.select("*", F.monotonically_increasing_id().alias("_row"))
+    named = docs.select("doc_id", "text", *more, F.monotonically_increasing_id().alias("_row"))
     f = _fingerprints(_hashed(named, "_row", "doc_id", *more), -1, lengths, False)
     mark = F.array(F.struct(F.lit(0).alias("size"), F.xxhash64("_row").alias("key"), F.lit(0).alias("pos"), F.array().cast("array<bigint>").alias("around")))
     f = f.select("_row", "doc_id", *more, "n_words", F.explode(F.concat(mark, F.col("_f"))).alias("f")).select("_row", "doc_id", *more, "n_words", "f.size", "f.key", "f.pos", F.col("f.around").alias("_da"))

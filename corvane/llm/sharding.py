@@ -81,7 +81,7 @@ def tree(pts: DataFrame, leaves: int, tolerance: float = 0.001) -> list[dict]:
                     have += s
                 else:
                     b, s = (1 << (x["bits"] - width[x["id"]])), 0
-                x |= {"low": x["low"] + (b << width[x["id"]]), "bits": width[x["id"]], "below": have}
+                x |= {"low": min(x["low"] + (b << width[x["id"]]), (1 << 63) - 1), "bits": width[x["id"]], "below": have}
                 if s > near and x["bits"] > 0:
                     left.append(x)
                 elif s and x["bits"] == 0 and x["want"] - have > s / 2:

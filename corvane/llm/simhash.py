@@ -234,7 +234,7 @@ def first_of_each(docs: DataFrame, size: int = 4) -> DataFrame:
     again = keep(of.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th")).agg(F.count("*").alias("_n")).where("_n > 1").select("_id", "_th"), "again")
     if again.isEmpty():
         return left
-    hashed = left.withColumn("_h", F.xxhash64("text"))
-    repeated = hashed.join(again, hashed["doc_id"].eqNullSafe(again["_id"]) & (hashed["_h"] == again["_th"]))
+    whole = left.select(F.struct(*left.columns).alias("_d"))
+    repeated = whole.join(again, F.col("_d.doc_id").eqNullSafe(again["_id"]) & (F.xxhash64("_d.text") == again["_th"]))
     one = repeated.withColumn("_turn", F.row_number().over(Window.partitionBy("_id", "_th").orderBy(F.lit(0)))).where("_turn = 1")
-    return without(left, again).unionByName(one.select(*docs.columns))
+    return without(left, again).unionByName(one.select("_d.*"))
