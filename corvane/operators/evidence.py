@@ -44,24 +44,38 @@ def co_paper_gold(gold: DataFrame, evidence: DataFrame) -> DataFrame:
     return gold.join(seen, "mesh", "left_semi")
 
 
+def pair_table(gold: DataFrame, evidence: DataFrame, features: tuple[str, ...] = ()) -> DataFrame:
+    """(mesh, gene, y, f:<feature>..) of pairs that share a paper, for diseases with a gold gene among them.
+
+    Gold is one more mark of a pair, so evidence and gold meet in one aggregation, most of which
+    happens before its shuffle, and no pair is joined with its features later.
+    """
+    wanted = list(dict.fromkeys(["paper", *(f for f in features if f != "gold")]))
+    marks = evidence.where(F.col("feature").isin(wanted)).select("mesh", "gene", "feature", "score").unionByName(gold.select("mesh", "gene", F.lit("gold").alias("feature"), F.lit(1.0).alias("score")))
+    g = marks.groupBy("mesh", "gene").agg(F.max((F.col("feature") == "gold").cast("int")).alias("y"), *(F.max(F.when(F.col("feature") == f, F.col("score"))).alias(f"f:{f}") for f in wanted))
+    co = g.where(F.col("`f:paper`") > 0)
+    return co.join(co.where("y = 1").select("mesh").distinct(), "mesh", "left_semi")
+
+
 def labelled(gold: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(mesh, gene, y) of pairs that share a paper, for diseases with a gold gene among them."""
-    pairs = in_papers(evidence).join(gold.withColumn("y", F.lit(1)), ["mesh", "gene"], "left").withColumn("y", F.coalesce("y", F.lit(0)))
-    has = pairs.groupBy("mesh").agg(F.max("y").alias("m")).where("m = 1").select("mesh")
-    return pairs.join(has, "mesh", "left_semi")
+    """(mesh, gene, y) of the pair table."""
+    return pair_table(gold, evidence).select("mesh", "gene", "y")
 
 
-def feature_scores(pairs: DataFrame, evidence: DataFrame, methods: dict[str, list[str]]) -> DataFrame:
-    """(method, mesh, gene, score): per method the sum of its features (absent: 0, "gold": the label); sums of 0 go.
+def method_scores(pairs: DataFrame, methods: dict[str, list[str]]) -> DataFrame:
+    """(method, mesh, gene, y, score): per method the sum of its features (absent: 0, "gold": the label); sums of 0 go.
 
-    All methods are scored in one pass over the evidence.
+    pairs is a pair table that has the features. All methods are scored in the row.
     """
-    wide = evidence.unionByName(pairs.select("mesh", "gene", F.lit("gold").alias("feature"), F.col("y").cast("double").alias("score")))
-    by = F.explode(F.array(*(F.struct(F.lit(m).alias("method"), F.array(*map(F.lit, f)).alias("features")) for m, f in methods.items())))
-    wanted = sorted({x for f in methods.values() for x in f})
-    own = wide.where(F.col("feature").isin(wanted)).join(pairs.select("mesh", "gene"), ["mesh", "gene"], "left_semi")
-    hit = own.select("mesh", "gene", "feature", "score", by.alias("m")).where("array_contains(m.features, feature)")
-    return hit.groupBy(F.col("m.method").alias("method"), "mesh", "gene").agg(F.sum("score").alias("score")).where("score <> 0")
+    value = lambda f: F.col("y").cast("double") if f == "gold" else F.coalesce(F.col(f"`f:{f}`"), F.lit(0.0))
+    total = lambda fs: sum((value(f) for f in fs[1:]), value(fs[0]))
+    by = F.explode(F.array(*(F.struct(F.lit(m).alias("method"), total(fs).alias("score")) for m, fs in methods.items())))
+    return pairs.select("mesh", "gene", "y", by.alias("m")).select("m.method", "mesh", "gene", "y", "m.score").where("score <> 0")
+
+
+def feature_scores(gold: DataFrame, evidence: DataFrame, methods: dict[str, list[str]]) -> DataFrame:
+    """(method, mesh, gene, score) of feature methods, straight from the evidence."""
+    return method_scores(pair_table(gold, evidence, tuple(f for fs in methods.values() for f in fs)), methods).drop("y")
 
 
 def odds_stats(odds: DataFrame) -> DataFrame:
@@ -73,16 +87,19 @@ def odds_stats(odds: DataFrame) -> DataFrame:
     return g.select("mesh", "gene", *(f"or_count_{t}" for t in THRESHOLDS), "or_log_mean", *(F.coalesce(F.get("_p", F.lit(i)), F.lit(0.0)).alias(f"or_percentile_{p}") for i, p in enumerate(PERCENTILES)))
 
 
-def odds_scores(pairs: DataFrame, odds: DataFrame, feature: str) -> DataFrame:
-    """(method, mesh, gene, score) of one odds-ratio feature: counts above 0; logs where any ratio is positive."""
+def odds_scores(pairs: DataFrame, odds: DataFrame, *features: str) -> DataFrame:
+    """(method, mesh, gene, score) of odds-ratio features: counts above 0; logs where any ratio is positive.
+
+    A name of neither kind gives no rows; a threshold or percentile that isn't kept is a KeyError.
+    """
     known = {*(f"or_count_{t}" for t in THRESHOLDS), "or_log_mean", *(f"or_percentile_{p}" for p in PERCENTILES)}
-    s = odds_stats(odds.join(pairs, ["mesh", "gene"], "left_semi"))
-    if feature not in known:
-        if feature.startswith(("or_count_", "or_percentile_")):
-            raise KeyError(feature)
-        return s.limit(0).select(F.lit(feature).alias("method"), "mesh", "gene", F.lit(0.0).alias("score"))
-    keep = F.col(feature) > 0 if feature.startswith("or_count_") else F.col("or_count_0") > 0
-    return s.where(keep).select(F.lit(feature).alias("method"), "mesh", "gene", F.col(feature).cast("double").alias("score"))
+    for f in features:
+        if f not in known and f.startswith(("or_count_", "or_percentile_")):
+            raise KeyError(f)
+    s = odds_stats(odds.join(pairs.select("mesh", "gene"), ["mesh", "gene"], "left_semi"))
+    cell = lambda f: F.struct(F.lit(f).alias("method"), F.when(F.col(f if f.startswith("or_count_") else "or_count_0") > 0, F.col(f).cast("double")).alias("score"))
+    cells = [cell(f) for f in features if f in known] or [F.struct(F.lit("").alias("method"), F.lit(None).cast("double").alias("score"))]
+    return s.select("mesh", "gene", F.explode(F.array(*cells)).alias("m")).select("m.method", "mesh", "gene", "m.score").where("score is not null")
 
 
 def run_feature_methods(gold: DataFrame, evidence: DataFrame, odds: DataFrame, methods: dict[str, list[str]] | None = None, odds_features: tuple[str, ...] = ("or_count_0", "or_log_mean")) -> tuple[DataFrame, DataFrame]:
@@ -90,10 +107,8 @@ def run_feature_methods(gold: DataFrame, evidence: DataFrame, odds: DataFrame, m
     from corvane.operators.metrics import mean_ap_recall
 
     methods = methods or {f: f.split("+") for f in ("gold", *FEATURES, "sort_score")}
-    pairs = labelled(gold, evidence)
-    out = feature_scores(pairs, evidence, methods)
-    for f in odds_features:
-        out = out.unionByName(odds_scores(pairs, odds, f))
+    pairs = pair_table(gold, evidence, tuple(f for fs in methods.values() for f in fs))
+    out = method_scores(pairs, methods).drop("y").unionByName(odds_scores(pairs, odds, *odds_features))
     return out, mean_ap_recall(out, co_paper_gold(gold, evidence))
 
 
@@ -109,10 +124,9 @@ def feature_matrix(gold: DataFrame, evidence: DataFrame, odds: DataFrame, vector
 
     pos counts a disease's genes with the gold ones first.
     """
-    pairs = labelled(gold, evidence)
-    wide = evidence.where(F.col("feature").isin(list(features))).groupBy("mesh", "gene").agg(*(F.coalesce(F.max(F.when(F.col("feature") == f, F.col("score"))), F.lit(0.0)).alias(f"f{i}") for i, f in enumerate(features)))
     names = [f"f{i}" for i in range(len(features) + 1)]
-    d = pairs.join(wide, ["mesh", "gene"], "left").join(odds_stats(odds).select("mesh", "gene", F.col("or_count_0").cast("double").alias(names[-1])), ["mesh", "gene"], "left")
+    wide = pair_table(gold, evidence, features).select("mesh", "gene", "y", *(F.col(f"`f:{f}`").alias(n) for f, n in zip(features, names, strict=False)))
+    d = wide.join(odds_stats(odds).select("mesh", "gene", F.col("or_count_0").cast("double").alias(names[-1])), ["mesh", "gene"], "left")
     d = d.select("mesh", "gene", "y", *(F.coalesce(n, F.lit(0.0)).alias(n) for n in names))
     zero = F.array_repeat(F.lit(0.0), dimension)
     d = min_max(d, names, "mesh")

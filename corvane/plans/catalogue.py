@@ -83,21 +83,20 @@ def q_labelled_evidence(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {E}, {PRED} SELECT method, mesh, gene, score FROM p WHERE method NOT LIKE 'or_%'")
 def q_feature_score(spark: SparkSession, sf: str) -> DataFrame:
-    e = _evidence(spark, sf)
-    return evidence.feature_scores(evidence.labelled(_gold(spark, sf), e), e, METHODS)
+    return evidence.feature_scores(_gold(spark, sf), _evidence(spark, sf), METHODS)
 
 
 @query(f"WITH {E}, {PRED}, {AP} SELECT mesh, positives, round(ap, 8) AS ap FROM ap WHERE method = 'sentence'")
 def q_ap_per_group(spark: SparkSession, sf: str) -> DataFrame:
-    e, gold = _evidence(spark, sf), _gold(spark, sf)
-    scored = evidence.feature_scores(evidence.labelled(gold, e), e, {"sentence": ["sentence"]}).join(gold.withColumn("y", F.lit(1)), ["mesh", "gene"], "left").withColumn("y", F.coalesce("y", F.lit(0)))
+    pairs = evidence.pair_table(_gold(spark, sf), _evidence(spark, sf), ("sentence",))
+    scored = evidence.method_scores(pairs, {"sentence": ["sentence"]})
     return metrics.average_precision(scored, "mesh").where("positives > 0").select("mesh", "positives", F.round("ap", 8).alias("ap"))
 
 
 @query(f"WITH {E}, {PRED}, {AP} SELECT round(avg(ap), 8) AS mean_ap, round(sum(positives) / (SELECT count(*) FROM cg), 8) AS recall FROM ap WHERE method = 'gpt_paper'")
 def q_map_recall(spark: SparkSession, sf: str) -> DataFrame:
     e, gold = _evidence(spark, sf), _gold(spark, sf)
-    p = evidence.feature_scores(evidence.labelled(gold, e), e, {"gpt_paper": ["gpt_paper"]})
+    p = evidence.feature_scores(gold, e, {"gpt_paper": ["gpt_paper"]})
     return metrics.mean_ap_recall(p, evidence.co_paper_gold(gold, e)).select(F.round("mean_ap", 8).alias("mean_ap"), F.round("recall", 8).alias("recall"))
 
 
@@ -105,12 +104,10 @@ def q_map_recall(spark: SparkSession, sf: str) -> DataFrame:
 def q_multi_method_map(spark: SparkSession, sf: str) -> DataFrame:
     """How well does each kind of evidence rank the gold genes of a disease? All methods in one plan."""
     gold, e = _gold(spark, sf), _evidence(spark, sf)
-    pairs = evidence.labelled(gold, e)
-    odds = _odds(spark, sf)
-    out = evidence.feature_scores(pairs, e, METHODS)
-    for f in ("or_count_0", "or_log_mean"):
-        s = evidence.odds_scores(pairs, odds, f)
-        out = out.unionByName(s.withColumn("score", F.round("score", 9)))
+    pairs = evidence.pair_table(gold, e, tuple(f for fs in METHODS.values() for f in fs))
+    odds = evidence.odds_scores(pairs, _odds(spark, sf), "or_count_0", "or_log_mean")
+    logs = F.when(F.col("method") == "or_log_mean", F.round("score", 9)).otherwise(F.col("score"))
+    out = evidence.method_scores(pairs, METHODS).drop("y").unionByName(odds.withColumn("score", logs))
     m = metrics.mean_ap_recall(out, evidence.co_paper_gold(gold, e))
     return m.select("method", F.round("mean_ap", 6).alias("mean_ap"), F.round("recall", 6).alias("recall"))
 

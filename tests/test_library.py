@@ -205,7 +205,7 @@ def test_annotations(spark, ann_file):
     assert {(r["mesh"], r["gene"], r["y"]) for r in rows(evidence.labelled(gold, ev))} == {("D1", "1", 1), ("D1", "2", 0), ("D5", "1", 1), ("D5", "2", 0)}
     assert {(r["mesh"], r["gene"]) for r in rows(evidence.co_paper_gold(gold, ev))} == {("D1", "1"), ("D1", "5"), ("D5", "1")}
     lab = evidence.labelled(gold, ev)
-    s = {(r["mesh"], r["gene"]): r["score"] for r in rows(evidence.feature_scores(lab, ev, {"paper+sentence": ["paper", "sentence"]}))}
+    s = {(r["mesh"], r["gene"]): r["score"] for r in rows(evidence.feature_scores(gold, ev, {"paper+sentence": ["paper", "sentence"]}))}
     assert s == {("D1", "1"): 5, ("D1", "2"): 1, ("D5", "2"): 2}  # a sum of 0 goes
     o = {(r["mesh"], r["gene"]): r for r in rows(evidence.odds_stats(odds))}
     logs = np.log([2.5, 10])
