@@ -113,10 +113,15 @@ def run_feature_methods(gold: DataFrame, evidence: DataFrame, odds: DataFrame, m
 
 
 def min_max(df: DataFrame, columns: list[str], *by: str) -> DataFrame:
-    """The columns scaled to 0..1 within by; a constant column becomes 0."""
-    w = Window.partitionBy(*by)
-    lo, span = (lambda c: F.min(c).over(w)), (lambda c: F.max(c).over(w) - F.min(c).over(w))
-    return df.select("*", *(((F.col(c) - lo(c)) / F.when(span(c) == 0, 1).otherwise(span(c))).alias(f"{c}_scaled") for c in columns))
+    """The columns scaled to 0..1 within by; a constant column becomes 0.
+
+    The limits are aggregated before their shuffle and joined back, so a group with a large share of
+    the rows isn't gathered in one task, as a window would do.
+    """
+    ends = df.groupBy(*(F.col(k).alias(f"_{k}") for k in by)).agg(*(f(c).alias(f"_{n}{i}") for i, c in enumerate(columns) for n, f in (("lo", F.min), ("hi", F.max))))
+    same = [df[k].eqNullSafe(ends[f"_{k}"]) for k in by]
+    span = lambda i: F.col(f"_hi{i}") - F.col(f"_lo{i}")
+    return df.join(ends, same).select(*df.columns, *(((F.col(c) - F.col(f"_lo{i}")) / F.when(span(i) == 0, 1).otherwise(span(i))).alias(f"{c}_scaled") for i, c in enumerate(columns)))
 
 
 def feature_matrix(gold: DataFrame, evidence: DataFrame, odds: DataFrame, vectors: DataFrame | None, dimension: int, features: tuple[str, ...] = FEATURES) -> DataFrame:

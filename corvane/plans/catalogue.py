@@ -137,9 +137,9 @@ def q_minmax(spark: SparkSession, sf: str) -> DataFrame:
 oc AS (SELECT mesh, gene, sum(CASE WHEN o > 0 THEN 1.0 ELSE 0.0 END)::DOUBLE AS c FROM odds GROUP BY 1, 2),
 u AS (SELECT mesh, gene, y, unnest(['paper', 'sentence', 'spacy_ore', 'gpt_paper', 'or_count_0']) AS feature, unnest([paper, sentence, spacy_ore, gpt_paper, c]) AS v FROM f JOIN oc USING (mesh, gene)),
 s AS (SELECT mesh, gene, y, feature, v, (v - min(v) OVER w) / CASE WHEN max(v) OVER w = min(v) OVER w THEN 1 ELSE max(v) OVER w - min(v) OVER w END AS sc, row_number() OVER (PARTITION BY mesh, feature ORDER BY y DESC, gene) AS pos FROM u WINDOW w AS (PARTITION BY mesh, feature))
-SELECT mesh, gene, y, pos::INTEGER AS pos, feature, round(v, 8) AS value, round(sc, 8) AS scaled FROM s WHERE pos <= 200""")
+SELECT mesh, gene, y, pos::INTEGER AS pos, feature, round(v, 8) AS value, round(sc, 8) AS scaled FROM s WHERE pos <= 10000""")
 def q_feature_matrix_cap(spark: SparkSession, sf: str) -> DataFrame:
-    m = evidence.capped(evidence.feature_matrix(_gold(spark, sf), _evidence(spark, sf), _odds(spark, sf), None, 0), 200)
+    m = evidence.capped(evidence.feature_matrix(_gold(spark, sf), _evidence(spark, sf), _odds(spark, sf), None, 0))
     n = len(evidence.FEATURES) + 1
     names = F.array(*(F.lit(x) for x in (*evidence.FEATURES, "or_count_0")))
     cells = m.select("mesh", "gene", "y", "pos", F.explode(F.transform(names, lambda x, i: F.struct(x.alias("feature"), F.get("x", i).alias("value"), F.get("x", i + n).alias("scaled")))).alias("c"))
@@ -149,19 +149,24 @@ def q_feature_matrix_cap(spark: SparkSession, sf: str) -> DataFrame:
 # ---- the token analogue ----------------------------------------------------------------------
 
 
+def _length_class():
+    """source and the power of two of the length: the analogue of a gene."""
+    return F.concat("source", F.lit("/"), F.floor(F.log2(F.col("n_chars").cast("double") + 1)).cast("string")).alias("gene")
+
+
 def _token_rows(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select(F.col("lang").alias("mesh"), F.concat("source", F.lit("/"), (F.col("doc_id") % 7).cast("string")).alias("gene"), F.col("doc_id").cast("string").alias("pmid"), F.coalesce("text", F.lit("")).alias("h"), F.lit("").alias("r"), F.lit("").alias("t"))
+    d = table(spark, sf, "documents").select(F.col("lang").alias("mesh"), _length_class(), F.col("doc_id").cast("string").alias("pmid"), F.coalesce("text", F.lit("")).alias("h"), F.lit("").alias("r"), F.lit("").alias("t"))
     return d.withColumn("tokens", F.filter(F.split("h", "[^a-z]+"), lambda w: F.length(w) > 2))
 
 
 def _token_gold(spark: SparkSession, sf: str) -> DataFrame:
-    l = table(spark, sf, "labels").where("quality = 1 and doc_id % 3 = 0").select("doc_id")  # noqa: E741
-    d = table(spark, sf, "documents").join(l, "doc_id", "left_semi")
-    return d.select(F.col("lang").alias("mesh"), F.concat("source", F.lit("/"), (F.col("doc_id") % 7).cast("string")).alias("gene")).distinct()
+    toxic = table(spark, sf, "labels").where("toxic = 1").select("doc_id")
+    d = table(spark, sf, "documents").join(toxic, "doc_id", "left_semi")
+    return d.select(F.col("lang").alias("mesh"), _length_class()).distinct()
 
 
-TK = """d AS (SELECT lang AS mesh, source || '/' || CAST(doc_id % 7 AS VARCHAR) AS gene, CAST(doc_id AS VARCHAR) AS pmid, doc_id, coalesce(text, '') AS h FROM documents),
-tg AS (SELECT DISTINCT mesh, gene FROM d WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id % 3 = 0)),
+TK = """d AS (SELECT lang AS mesh, source || '/' || CAST(floor(log2(n_chars + 1))::BIGINT AS VARCHAR) AS gene, CAST(doc_id AS VARCHAR) AS pmid, doc_id, coalesce(text, '') AS h FROM documents),
+tg AS (SELECT DISTINCT mesh, gene FROM d WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)),
 tok AS (SELECT mesh, gene, pmid, h, unnest(regexp_extract_all(h, '[a-z]{3,}')) AS token FROM d),
 sc AS (SELECT mesh, gene, token, count(*) AS score FROM tok GROUP BY 1, 2, 3),
 ts AS (SELECT token, coalesce(sum(CASE WHEN g.gene IS NOT NULL THEN score END), 0)::BIGINT AS gold_score, sum(score)::BIGINT AS score, count(g.gene) AS gold_dgs, count(*) AS dgs
@@ -394,13 +399,13 @@ def q_json_props(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", F.from_json("props", "map<string,bigint>")["k"].alias("k"))
 
 
-@query("""WITH a AS (SELECT p_brand AS token, min(p_size) AS v FROM part GROUP BY 1), b AS (SELECT p_brand AS token, min(CASE WHEN p_size > 1 THEN p_size END) AS v FROM part WHERE p_partkey % 2 = 0 GROUP BY 1)
+@query("""WITH a AS (SELECT p_brand AS token, min(p_size) AS v FROM part GROUP BY 1), b AS (SELECT p_brand AS token, min(CASE WHEN p_size > 1 THEN p_size END) AS v FROM part WHERE p_size <= 25 GROUP BY 1)
 SELECT coalesce(a.token, b.token) AS token, CASE WHEN b.v IS NULL THEN 'in no class' WHEN a.v IS NULL THEN 'without explanation' ELSE 'explanation differs' END AS problem
 FROM a FULL JOIN b ON a.token = b.token WHERE a.v IS NULL OR b.v IS NULL OR a.v <> b.v""")
 def q_bijection_violations(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part")
     a = p.groupBy(F.col("p_brand").alias("token")).agg(F.min("p_size").cast("string").alias("value"))
-    b = p.where("p_partkey % 2 = 0").groupBy(F.col("p_brand").alias("token")).agg(F.min(F.when(F.col("p_size") > 1, F.col("p_size"))).cast("string").alias("explanation"))
+    b = p.where("p_size <= 25").groupBy(F.col("p_brand").alias("token")).agg(F.min(F.when(F.col("p_size") > 1, F.col("p_size"))).cast("string").alias("explanation"))
     return curation.violations(a, b)
 
 
