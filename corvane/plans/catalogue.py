@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.operators import asking, curation, embed, evidence, metrics, ore, rankers, tokens
-from corvane.session import table
+from corvane.session import keep, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -38,13 +38,22 @@ def _lines(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select(F.col("l_suppkey").cast("string").alias("mesh"), F.col("l_partkey").cast("string").alias("gene"), "l_orderkey", "l_quantity", "l_discount", "l_returnflag", "l_extendedprice")
 
 
-def _gold(spark: SparkSession, sf: str) -> DataFrame:
-    return _lines(spark, sf).where("l_returnflag = 'R' and l_discount >= 0.09").select("mesh", "gene").distinct()
+def _facts(spark: SparkSession, sf: str) -> DataFrame:
+    """One row a pair with all that the evidence queries derive from the lines: one scan, one shuffle, then a compact table."""
+    gold = F.max((F.col("l_returnflag") == "R") & (F.col("l_discount") >= 0.09)).alias("gold")
+    return keep(_lines(spark, sf).groupBy("mesh", "gene").agg(F.countDistinct("l_orderkey").cast("double").alias("paper"), F.count("*").cast("double").alias("sentence"), F.sum(F.when(F.col("l_quantity") > 40, 1.0)).alias("spacy_ore"), F.sum(F.when(F.col("l_discount") > 0.05, 1.0)).alias("gpt_paper"), gold, F.collect_list(F.col("l_quantity") - 5).alias("or_list")), "facts")
 
 
-def _evidence(spark: SparkSession, sf: str) -> DataFrame:
-    g = _lines(spark, sf).groupBy("mesh", "gene").agg(F.countDistinct("l_orderkey").cast("double").alias("paper"), F.count("*").cast("double").alias("sentence"), F.sum(F.when(F.col("l_quantity") > 40, 1.0)).alias("spacy_ore"), F.sum(F.when(F.col("l_discount") > 0.05, 1.0)).alias("gpt_paper"))
-    return g.unpivot(["mesh", "gene"], ["paper", "sentence", "spacy_ore", "gpt_paper"], "feature", "score").where("score is not null")
+def _gold_of(facts: DataFrame) -> DataFrame:
+    return facts.where("gold").select("mesh", "gene")
+
+
+def _evidence_of(facts: DataFrame) -> DataFrame:
+    return facts.unpivot(["mesh", "gene"], ["paper", "sentence", "spacy_ore", "gpt_paper"], "feature", "score").where("score is not null")
+
+
+def _odds_of(facts: DataFrame) -> DataFrame:
+    return facts.select("mesh", "gene", F.explode("or_list").alias("odds_ratio"))
 
 
 def _odds(spark: SparkSession, sf: str) -> DataFrame:
@@ -73,29 +82,34 @@ ap AS (SELECT method, mesh, sum(k)::BIGINT AS positives, sum(k * ck / cn) / sum(
 
 @query(f"WITH {E} SELECT mesh, count(*) AS golds FROM gold GROUP BY mesh")
 def q_gold_set(spark: SparkSession, sf: str) -> DataFrame:
-    return evidence.co_paper_gold(_gold(spark, sf), _evidence(spark, sf)).groupBy("mesh").agg(F.count("*").alias("golds"))
+    f = _facts(spark, sf)
+    return evidence.co_paper_gold(_gold_of(f), _evidence_of(f)).groupBy("mesh").agg(F.count("*").alias("golds"))
 
 
 @query(f"WITH {E} SELECT mesh, gene, y FROM pairs")
 def q_labelled_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    return evidence.labelled(_gold(spark, sf), _evidence(spark, sf))
+    f = _facts(spark, sf)
+    return evidence.labelled(_gold_of(f), _evidence_of(f))
 
 
 @query(f"WITH {E}, {PRED} SELECT method, mesh, gene, score FROM p WHERE method NOT LIKE 'or_%'")
 def q_feature_score(spark: SparkSession, sf: str) -> DataFrame:
-    return evidence.feature_scores(_gold(spark, sf), _evidence(spark, sf), METHODS)
+    f = _facts(spark, sf)
+    return evidence.feature_scores(_gold_of(f), _evidence_of(f), METHODS)
 
 
 @query(f"WITH {E}, {PRED}, {AP} SELECT mesh, positives, round(ap, 8) AS ap FROM ap WHERE method = 'sentence'")
 def q_ap_per_group(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = evidence.pair_table(_gold(spark, sf), _evidence(spark, sf), ("sentence",))
+    f = _facts(spark, sf)
+    pairs = evidence.pair_table(_gold_of(f), _evidence_of(f), ("sentence",))
     scored = evidence.method_scores(pairs, {"sentence": ["sentence"]})
     return metrics.average_precision(scored, "mesh").where("positives > 0").select("mesh", "positives", F.round("ap", 8).alias("ap"))
 
 
 @query(f"WITH {E}, {PRED}, {AP} SELECT round(avg(ap), 8) AS mean_ap, round(sum(positives) / (SELECT count(*) FROM cg), 8) AS recall FROM ap WHERE method = 'gpt_paper'")
 def q_map_recall(spark: SparkSession, sf: str) -> DataFrame:
-    e, gold = _evidence(spark, sf), _gold(spark, sf)
+    f = _facts(spark, sf)
+    e, gold = _evidence_of(f), _gold_of(f)
     p = evidence.feature_scores(gold, e, {"gpt_paper": ["gpt_paper"]})
     return metrics.mean_ap_recall(p, evidence.co_paper_gold(gold, e)).select(F.round("mean_ap", 8).alias("mean_ap"), F.round("recall", 8).alias("recall"))
 
@@ -103,9 +117,10 @@ def q_map_recall(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {E}, {PRED}, {AP} SELECT method, round(avg(ap), 6) AS mean_ap, round(sum(positives) / (SELECT count(*) FROM cg), 6) AS recall FROM ap GROUP BY method")
 def q_multi_method_map(spark: SparkSession, sf: str) -> DataFrame:
     """How well does each kind of evidence rank the gold genes of a disease? All methods in one plan."""
-    gold, e = _gold(spark, sf), _evidence(spark, sf)
-    pairs = evidence.pair_table(gold, e, tuple(f for fs in METHODS.values() for f in fs))
-    odds = evidence.odds_scores(pairs, _odds(spark, sf), "or_count_0", "or_log_mean")
+    f = _facts(spark, sf)
+    gold, e = _gold_of(f), _evidence_of(f)
+    pairs = keep(evidence.pair_table(gold, e, tuple(x for fs in METHODS.values() for x in fs)), "pairs")
+    odds = evidence.odds_scores(pairs, _odds_of(f), "or_count_0", "or_log_mean")
     logs = F.when(F.col("method") == "or_log_mean", F.round("score", 9)).otherwise(F.col("score"))
     out = evidence.method_scores(pairs, METHODS).drop("y").unionByName(odds.withColumn("score", logs))
     m = metrics.mean_ap_recall(out, evidence.co_paper_gold(gold, e))
@@ -139,7 +154,8 @@ u AS (SELECT mesh, gene, y, unnest(['paper', 'sentence', 'spacy_ore', 'gpt_paper
 s AS (SELECT mesh, gene, y, feature, v, (v - min(v) OVER w) / CASE WHEN max(v) OVER w = min(v) OVER w THEN 1 ELSE max(v) OVER w - min(v) OVER w END AS sc, row_number() OVER (PARTITION BY mesh, feature ORDER BY y DESC, gene) AS pos FROM u WINDOW w AS (PARTITION BY mesh, feature))
 SELECT mesh, gene, y, pos::INTEGER AS pos, feature, round(v, 8) AS value, round(sc, 8) AS scaled FROM s WHERE pos <= 10000""")
 def q_feature_matrix_cap(spark: SparkSession, sf: str) -> DataFrame:
-    m = evidence.capped(evidence.feature_matrix(_gold(spark, sf), _evidence(spark, sf), _odds(spark, sf), None, 0))
+    f = _facts(spark, sf)
+    m = evidence.capped(evidence.feature_matrix(_gold_of(f), _evidence_of(f), _odds_of(f), None, 0))
     n = len(evidence.FEATURES) + 1
     names = F.array(*(F.lit(x) for x in (*evidence.FEATURES, "or_count_0")))
     cells = m.select("mesh", "gene", "y", "pos", F.explode(F.transform(names, lambda x, i: F.struct(x.alias("feature"), F.get("x", i).alias("value"), F.get("x", i + n).alias("scaled")))).alias("c"))
@@ -191,13 +207,14 @@ def q_token_rank(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {TK} SELECT 'token_' || CAST(k * 10 AS VARCHAR) AS method, mesh, gene, sum(sc.score)::DOUBLE AS score FROM sc JOIN ts USING (token) JOIN (SELECT unnest(range(1, 10)) AS k) ON ts.gold_score / ts.score >= k / 10 GROUP BY 1, 2, 3")
 def q_token_prediction(spark: SparkSession, sf: str) -> DataFrame:
-    scores = tokens.pair_scores(_token_rows(spark, sf))[0]
+    scores = keep(tokens.pair_scores(_token_rows(spark, sf))[0], "scores")  # the statistics and the predictions read it
     return tokens.predictions(scores, tokens.threshold_sets(tokens.token_stats(scores, _token_gold(spark, sf))))
 
 
 @query(f"WITH {TK}, r AS (SELECT mesh, gene, count(*) AS kept, sum(score)::BIGINT AS score FROM sc SEMI JOIN ts USING (token) GROUP BY 1, 2) SELECT d2.mesh, d2.gene, coalesce(kept, 0)::BIGINT AS kept, coalesce(score, 0)::BIGINT AS score FROM (SELECT DISTINCT mesh, gene FROM d) d2 LEFT JOIN r USING (mesh, gene)")
 def q_top_token_restrict(spark: SparkSession, sf: str) -> DataFrame:
     scores, pairs = tokens.pair_scores(_token_rows(spark, sf))
+    scores = keep(scores, "scores")
     kept = tokens.restricted(scores, tokens.token_stats(scores, _token_gold(spark, sf))).groupBy("mesh", "gene").agg(F.count("*").alias("kept"), F.sum("score").alias("score"))
     return pairs.join(kept, ["mesh", "gene"], "left").select("mesh", "gene", F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("score", F.lit(0)).alias("score"))
 

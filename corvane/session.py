@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,3 +36,42 @@ def _importable(spark: SparkSession) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     _importable(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+_made: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """This application's folder below spark.checkpoint.dir, removed when the application ends.
+
+    The setting is the session's. Only where it is unset, as in tests on one machine, a
+    temporary folder stands in, and no other master than a local one may use that.
+    """
+    sc = spark.sparkContext
+    top = sc.getConf().get("spark.checkpoint.dir")
+    if not top:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        top = _made.get("local") or _made.setdefault("local", tempfile.mkdtemp(prefix="corvane-"))
+    path = f"{top.rstrip('/')}/corvane-{sc.applicationId}"
+    if path not in _made:
+        _made[path] = path
+        atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001  the session may be gone by now
+        pass
+
+
+def keep(df: DataFrame, name: str = "part", compression: str = "zstd") -> DataFrame:
+    """Writes df as Parquet into the shared folder and reads it again: computed once, and the lineage ends there."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", compression).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
