@@ -39,9 +39,9 @@ def _lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _facts(spark: SparkSession, sf: str) -> DataFrame:
-    """One row a pair with all that the evidence queries derive from the lines: one scan, one shuffle, then a compact table."""
+    """One row a pair with all that the evidence queries derive from the lines, odds ratios aside: one scan, one shuffle, then a compact table."""
     gold = F.max((F.col("l_returnflag") == "R") & (F.col("l_discount") >= 0.09)).alias("gold")
-    return keep(_lines(spark, sf).groupBy("mesh", "gene").agg(F.countDistinct("l_orderkey").cast("double").alias("paper"), F.count("*").cast("double").alias("sentence"), F.sum(F.when(F.col("l_quantity") > 40, 1.0)).alias("spacy_ore"), F.sum(F.when(F.col("l_discount") > 0.05, 1.0)).alias("gpt_paper"), gold, F.collect_list(F.col("l_quantity") - 5).alias("or_list")), "facts")
+    return keep(_lines(spark, sf).groupBy("mesh", "gene").agg(F.countDistinct("l_orderkey").cast("double").alias("paper"), F.count("*").cast("double").alias("sentence"), F.sum(F.when(F.col("l_quantity") > 40, 1.0)).alias("spacy_ore"), F.sum(F.when(F.col("l_discount") > 0.05, 1.0)).alias("gpt_paper"), gold), "facts")
 
 
 def _gold_of(facts: DataFrame) -> DataFrame:
@@ -52,10 +52,6 @@ def _evidence_of(facts: DataFrame) -> DataFrame:
     return facts.unpivot(["mesh", "gene"], ["paper", "sentence", "spacy_ore", "gpt_paper"], "feature", "score").where("score is not null")
 
 
-def _odds_of(facts: DataFrame) -> DataFrame:
-    return facts.select("mesh", "gene", F.explode("or_list").alias("odds_ratio"))
-
-
 def _odds(spark: SparkSession, sf: str) -> DataFrame:
     return _lines(spark, sf).select("mesh", "gene", (F.col("l_quantity") - 5).alias("odds_ratio"))
 
@@ -120,7 +116,7 @@ def q_multi_method_map(spark: SparkSession, sf: str) -> DataFrame:
     f = _facts(spark, sf)
     gold, e = _gold_of(f), _evidence_of(f)
     pairs = keep(evidence.pair_table(gold, e, tuple(x for fs in METHODS.values() for x in fs)), "pairs")
-    odds = evidence.odds_scores(pairs, _odds_of(f), "or_count_0", "or_log_mean")
+    odds = evidence.odds_scores(pairs, _odds(spark, sf), "or_count_0", "or_log_mean")
     logs = F.when(F.col("method") == "or_log_mean", F.round("score", 9)).otherwise(F.col("score"))
     out = evidence.method_scores(pairs, METHODS).drop("y").unionByName(odds.withColumn("score", logs))
     m = metrics.mean_ap_recall(out, evidence.co_paper_gold(gold, e))
@@ -155,7 +151,7 @@ s AS (SELECT mesh, gene, y, feature, v, (v - min(v) OVER w) / CASE WHEN max(v) O
 SELECT mesh, gene, y, pos::INTEGER AS pos, feature, round(v, 8) AS value, round(sc, 8) AS scaled FROM s WHERE pos <= 10000""")
 def q_feature_matrix_cap(spark: SparkSession, sf: str) -> DataFrame:
     f = _facts(spark, sf)
-    m = evidence.capped(evidence.feature_matrix(_gold_of(f), _evidence_of(f), _odds_of(f), None, 0))
+    m = evidence.capped(evidence.feature_matrix(_gold_of(f), _evidence_of(f), _odds(spark, sf), None, 0))
     n = len(evidence.FEATURES) + 1
     names = F.array(*(F.lit(x) for x in (*evidence.FEATURES, "or_count_0")))
     cells = m.select("mesh", "gene", "y", "pos", F.explode(F.transform(names, lambda x, i: F.struct(x.alias("feature"), F.get("x", i).alias("value"), F.get("x", i + n).alias("scaled")))).alias("c"))
