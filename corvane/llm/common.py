@@ -3,51 +3,16 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.session import table
+from corvane.session import keep, shared_dir, table
 
 __all__ = ["table", "keep", "shared_dir", "arrow_batches", "components", "without", "LETTERS_UP", "LETTERS_LOW", "words_of", "once", "alnum_words_of"]
 
 LETTERS_UP, LETTERS_LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_made: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """This application's folder below spark.checkpoint.dir, removed when the application ends.
-
-    The setting is the session's. Only where it is unset, as in tests on one machine, a
-    temporary folder stands in, and no other master than a local one may use that.
-    """
-    sc = spark.sparkContext
-    top = sc.getConf().get("spark.checkpoint.dir")
-    if not top:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        top = _made.get("local") or _made.setdefault("local", tempfile.mkdtemp(prefix="corvane-"))
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(top)
-    path = f"{top.rstrip('/')}/corvane-{sc.applicationId}"
-    if path not in _made:
-        _made[path] = path
-        atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # noqa: BLE001  the session may be gone by now
-        pass
-
-
 def drop_at_exit(spark: SparkSession, name: str) -> None:
     """Drops a table in the warehouse when the application ends."""
 
@@ -60,14 +25,6 @@ def drop_at_exit(spark: SparkSession, name: str) -> None:
     atexit.register(drop)
 
 
-def keep(df: DataFrame, name: str = "part", compression: str = "zstd") -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it again: the lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def arrow_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Bounds an Arrow batch by rows and by bytes (16 MB), since one text may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -86,13 +43,13 @@ def once(column):
 
 def words_of(text):
     """Column: the maximal runs of [^\\x20\\x09-\\x0D], in order; none for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), "")
 
 
 def alnum_words_of(text):
     """Column: A-Z lowered, then the runs of [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]; none for null."""
     low = F.translate(F.coalesce(text, F.lit("")), LETTERS_UP, LETTERS_LOW)
-    return F.filter(F.split(low, "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), lambda w: w != "")
+    return F.array_remove(F.split(low, "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), "")
 
 
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:

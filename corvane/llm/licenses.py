@@ -53,7 +53,7 @@ def _scanned(docs: DataFrame, vocabulary: list[str], fewest: int) -> DataFrame:
     """Per document: n_words, its phrase places (start, label), _any (template tokens) and _b: blocks (no, short, template tokens)."""
     low = once(F.translate(F.coalesce("text", F.lit("")), LETTERS_UP, LETTERS_LOW)).alias("_low")
     d = docs.select("doc_id", low)
-    d = d.select("doc_id", "_low", once(F.filter(F.split("_low", _SPLIT), lambda w: w != "")).alias("_w"), once(F.split("_low", "\n")).alias("_l"))
+    d = d.select("doc_id", "_low", once(F.array_remove(F.split("_low", _SPLIT), "")).alias("_w"), once(F.split("_low", "\n")).alias("_l"))
 
     def phrase(x, i):
         out = F.lit(None)
