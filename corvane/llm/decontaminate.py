@@ -44,8 +44,10 @@ def _fingerprints(rows: DataFrame, pad: int, lengths: list[int], whole_only: boo
     enough = F.col("_n") >= WINDOW
     none = F.array().cast("array<bigint>")
     d = rows.select(*names, "_h", once(F.when(enough, _grams("_h", GRAM)).otherwise(none)).alias("_g"))
-    lows = F.when(F.size("_g") > 0, F.transform(F.sequence(F.lit(1), F.size("_g") - SIDE), lambda i: F.array_min(F.slice("_g", i, WINDOW - GRAM + 1)))).otherwise(none)
-    d = d.select(*names, "_h", "_g", once(lows).alias("_m"))
+    # The least of 7 in three steps: of 2, of 4, of two overlapping 4. least() passes over what lies beyond the end.
+    for name, of, by in (("_m2", "_g", 1), ("_m4", "_m2", 2), ("_m7", "_m4", 3)):
+        d = d.select(*names, "_h", "_g", once(F.zip_with(of, F.slice(of, by + 1, F.greatest(F.size(of) - by, F.lit(0))), lambda x, y: F.least(x, y))).alias(name))
+    d = d.select(*names, "_h", "_g", once(F.slice("_m7", 1, F.greatest(F.size("_g") - SIDE, F.lit(0)))).alias("_m"))
     # The leftmost least gram of a window is another one than before where the least changes or where it just left.
     moved = lambda v, i: (F.get("_m", i - 1) != v) | (F.get("_g", i - 1) == F.get("_m", i - 1))
     least = F.transform("_m", lambda v, i: F.when(F.coalesce(moved(v, i), F.lit(True)), F.struct(v.alias("key"), (i + F.array_position(F.slice("_g", i + 1, WINDOW - GRAM + 1), v).cast("int")).alias("pos"))))
