@@ -166,7 +166,7 @@ class LambdaMART:
         return self.rate * sum((t.predict(bins) for t in self.model), np.zeros(len(x)))
 
 
-def lambdamart_loo(matrix: DataFrame, most: int = 10_000, limit_rows: int = 5_000_000, **options) -> DataFrame:
+def lambdamart_loo(matrix: DataFrame, most: int = 10_000, limit_rows: int = 1_000_000, **options) -> DataFrame:
     """(mesh, gene, score) from (mesh, gene, y, pos, x): each disease is scored by a ranker trained on all others, `most` genes of each.
 
     A fold is a task. Every fold trains on nearly all rows, so a task holds the training table: its
