@@ -147,3 +147,8 @@ def gold_first() -> Column:
 def capped(matrix: DataFrame, most: int = MOST_GENES) -> DataFrame:
     """What a ranker trains on: at most so many genes of a disease, the gold ones first. The tested disease is not cut."""
     return matrix.where(F.col("pos") <= most)
+
+
+def sizes(pairs: DataFrame) -> DataFrame:
+    """One row: how many diseases, genes and pairs there are."""
+    return pairs.agg(F.countDistinct("mesh").alias("diseases"), F.countDistinct("gene").alias("genes"), F.countDistinct("mesh", "gene").alias("pairs"))

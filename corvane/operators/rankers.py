@@ -191,3 +191,21 @@ def lambdamart_loo(matrix: DataFrame, most: int = 10_000, limit_rows: int = 1_00
 
     kinds = dict(matrix.dtypes)
     return matrix.groupBy("mesh").applyInPandas(fold, f"mesh {kinds['mesh']}, gene {kinds['gene']}, score double")
+
+
+def run_ridge(gold: DataFrame, evidence: DataFrame, vectors: DataFrame, alpha: float = 1.0, method: str = "ridge") -> tuple[DataFrame, DataFrame]:
+    """Predictions of the pairs that have a vector, and their mean average precision and recall. Diseases without vectors drop out."""
+    from corvane.operators.evidence import co_paper_gold, labelled
+    from corvane.operators.metrics import mean_ap_recall
+
+    out = ridge_loo(labelled(gold, evidence).join(vectors.select("mesh", "gene", "vector"), ["mesh", "gene"]), alpha).withColumn("method", F.lit(method))
+    return out, mean_ap_recall(out, co_paper_gold(gold, evidence))
+
+
+def run_lambdamart(gold: DataFrame, evidence: DataFrame, odds: DataFrame, vectors: DataFrame | None, dimension: int, method: str = "lambdamart", **options) -> tuple[DataFrame, DataFrame]:
+    """Predictions from evidence features, scaled features and vectors, and their mean average precision and recall."""
+    from corvane.operators.evidence import co_paper_gold, feature_matrix
+    from corvane.operators.metrics import mean_ap_recall
+
+    out = lambdamart_loo(feature_matrix(gold, evidence, odds, vectors, dimension), **options).withColumn("method", F.lit(method))
+    return out, mean_ap_recall(out, co_paper_gold(gold, evidence))

@@ -385,3 +385,17 @@ def test_streams(spark, tmp_path):
     q = incremental.event_counts(stream).writeStream.outputMode("complete").format("memory").queryName("counts").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("counts").agg(F.sum("n")).first()[0] == spark.read.parquet(path).count()
+
+
+def test_ranker_runs(spark):
+    r = random.Random(8)
+    cells = [(str(m), str(g), f, float(r.randint(1, 9) + (5 if g < 4 else 0))) for m in range(5) for g in range(30) for f in ("paper", "sentence", "gpt_paper")]
+    ev = spark.createDataFrame(cells, "mesh string, gene string, feature string, score double")
+    gold = spark.createDataFrame([(str(m), str(g)) for m in range(5) for g in range(4)] + [("9", "1")], "mesh string, gene string")
+    odds = spark.createDataFrame([("0", "1", 2.0)], "mesh string, gene string, odds_ratio double")
+    vec = spark.createDataFrame([(str(m), str(g), [float(g < 4), 1.0]) for m in range(4) for g in range(30)], "mesh string, gene string, vector array<double>")
+    assert rows(evidence.sizes(gold)) == [{"diseases": 6, "genes": 4, "pairs": 21}]
+    _, m = rankers.run_ridge(gold, ev, vec)
+    assert rows(m) == [{"method": "ridge", "mean_ap": 1.0, "recall": 16 / 20}]
+    out, m = rankers.run_lambdamart(gold, ev, odds, vec, 2, trees=15, leaves=4, least=5)
+    assert out.count() == 150 and rows(m)[0]["recall"] == 1.0 and rows(m)[0]["mean_ap"] > 0.8
