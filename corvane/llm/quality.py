@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import keep, once, words_of
+from corvane.llm.common import BROADCAST_ROWS, keep, once, words_of
 
 WINDOW = 8
 
@@ -120,8 +120,13 @@ def rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", rate: float
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang", rate: float = 0.01, delta: float = 0.05) -> DataFrame:
-    """The documents that the rules keep, as they were. The statistics are computed beside each text, not joined to it."""
-    measured = stats(docs, stratum)
+    """The documents that the rules keep, as they were. The statistics are computed beside each text, not joined to it.
+
+    For the cutoffs only labelled texts are read in full, if the good labels are few enough to broadcast.
+    """
+    good = labels.where("quality = 1").select("doc_id").distinct()
+    few = good.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    measured = stats(docs.join(F.broadcast(good), "doc_id", "left_semi") if few else docs, stratum)
     chosen = keep(cutoffs(measured, labels, stratum, rate, delta), "cutoffs")
     beside = stats(docs.withColumn("_row", F.struct(*docs.columns)), stratum, "_row")
     return judged(beside, chosen, stratum).where("kept").select("_row.*")
