@@ -228,7 +228,8 @@ def first_of_each(docs: DataFrame, size: int = 4) -> DataFrame:
     """
     of = keep(classes(docs, size), "classes").select("doc_id", "text_hash", "component")
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("text_hash").alias("t"))
-    first = of.groupBy("component").agg(F.min(order).alias("o"))
+    # Written, so the join below deals its rows by itself and a large class can be split among tasks.
+    first = keep(of.groupBy("component").agg(F.min(order).alias("o")), "first")
     gone = keep(of.join(first, "component").where(order != F.col("o")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th")).distinct(), "gone")
     left = without(docs, gone)
     again = keep(of.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th")).agg(F.count("*").alias("_n")).where("_n > 1").select("_id", "_th"), "again")
