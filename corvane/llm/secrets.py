@@ -1,7 +1,10 @@
 """Secret scans: fixed patterns, and dictionary-primed zstandard novelty for what they don't name.
 
 A candidate is a run of 16 or more token characters that starts within `reach` code points after a
-word such as "credential" or "bearer", on the same line. It is compressed with a zstandard
+word such as "credential" or "bearer", on whatever line, or stands in the body of a private key
+block. A run that the word itself begins (session=..., token_live_...) is a candidate less the rest
+of the identifier; what follows the first "=" of a run is a candidate of its own. The last line of a
+block, which may be short, goes with the line before it. A candidate is compressed with a zstandard
 dictionary made of common identifiers and the text around it; the bytes that it then adds, over its
 length, is its novelty. Words, identifiers and repeated strings cost a few bytes; random keys cost
 nearly their length and are reported as kind "novel".
@@ -13,6 +16,7 @@ and further columns change nothing; an empty table gives no rows. Whole texts ar
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,6 +34,12 @@ KINDS = ("assign", "access", "hex", "novel")
 # Words that make their surroundings sensitive.
 SENSITIVE = re.compile(r"credential|bearer|authorization|private|passphrase|password|passwd|pwd|secret|token|signature|api.?key|access.?key|session|cookie|sas_|auth", re.I | re.A)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST = 16
+# What goes on as an identifier, and the body of a private key block, its line ends escaped or not.
+PLAIN = re.compile(r"[A-Za-z/+_-]*[0-9]{0,2}")
+NAME = re.compile(r"[_-]*(?:(?:[A-Z]?[a-z]+|[A-Z]+)[_-]+)*")
+BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----((?:(?:\s|\\[nr])+[A-Za-z-]+: [^\n]*)*(?:(?:\s|\\[nr])+=?[A-Za-z0-9+/]+=*)*)")
+LINE = re.compile(r"(?:(?<!\\)|(?<=\\)[nr])([A-Za-z0-9+/=]+)")
 # Identifiers and words that keys are not made of.
 IDENTIFIERS = " ".join(
     "the and for with that this from have not are was you your all can will has been their which would there about more other some into than only also "
@@ -69,26 +79,55 @@ def novelty(candidate: str, around: str) -> float:
     return (len(squeeze(raw)) - len(squeeze(b""))) / len(raw)
 
 
+def in_context(text: str, reach: int) -> list[tuple[int, int]]:
+    """(start, end) of the runs near a sensitive word, by start; a run that such words begin starts after the first and after the last of them."""
+    marks = [m.end() for m in SENSITIVE.finditer(text)]
+    if not marks:
+        return []
+    at = set()
+    for c in CANDIDATE.finditer(text):
+        a, b = c.span()
+        first, last = bisect_right(marks, a - 1), bisect_right(marks, b - 1) - 1
+        if first and a - marks[first - 1] <= reach:
+            at.add((a, b))
+        if first <= last:
+            at |= {(NAME.match(text, marks[k], b).end(), b) for k in (first, last)}
+    return sorted(at)
+
+
 def novel_spans(text: str, base: list[tuple[int, int, str]], reach: int, least: float) -> list[tuple[int, int, str]]:
-    """Incompressible strings in a sensitive context that no base span touches."""
-    at: dict[int, int] = {}
-    for m in SENSITIVE.finditer(text):
-        line = text.find("\n", m.end(), m.end() + reach)
-        stop = m.end() + reach if line < 0 else line
-        for c in CANDIDATE.finditer(text, m.end()):
-            if c.start() > stop:
-                break
-            if c.start() == m.end():  # the sensitive word goes on; what follows a mark inside may still be a key
-                continue
-            at[c.start()] = c.end()
-    found = []
-    for a, b in sorted(at.items()):
+    """Incompressible strings in a sensitive context that no base span touches; none within another."""
+    found: set[tuple[int, int]] = set()
+
+    def novel(a: int, b: int) -> bool:
+        if b - a < LEAST or any(x < b and a < y for x, y, _ in base):
+            return False
         s = text[a:b]
-        if any(x < b and a < y for x, y, _ in base) or not re.search("[0-9]", s) or not re.search("[A-Za-z]", s):
-            continue
-        if novelty(s, text[max(0, a - 512) : a] + text[b : b + 512]) >= least:
-            found.append((a, b, "novel"))
-    return found
+        if not re.search("[0-9]", s) or not re.search("[A-Za-z]", s) or novelty(s, text[max(0, a - 512) : a] + text[b : b + 512]) < least:
+            return False
+        found.add((a, b))
+        return True
+
+    for a, b in in_context(text, reach):
+        cut = text.find("=", a, b)
+        value = cut
+        while 0 <= value < b and text[value] == "=":
+            value += 1
+        novel(a, cut if cut >= 0 and novel(value, b) and PLAIN.fullmatch(text, a, cut) else b)
+    for m in BLOCK.finditer(text) if "PRIVATE KEY" in text else ():
+        known = False
+        for c in LINE.finditer(text, *m.span(1)):
+            a, b = c.span(1)
+            if b - a >= LEAST:
+                known = novel(a, b)
+            elif known:  # the end of a block, too short to be measured
+                found.add((a, b))
+    out, end = [], 0
+    for a, b in sorted(found, key=lambda s: (s[0], -s[1])):
+        if b > end:
+            out.append((a, b, "novel"))
+            end = b
+    return out
 
 
 def spans_of(text: str | None, reach: int = 64, least: float = 0.8) -> list[tuple[int, int, str]]:

@@ -98,6 +98,31 @@ def test_secrets(spark):
     assert red[0]["text"] is None and red[4]["text"] == texts[4] and key not in red[3]["text"] and red[3]["n_chars"] == len(red[3]["text"])
 
 
+KEY = "Zk3q9LxT7vWm2RbY8sHdPq5nC4jF6gA1eU0i"
+
+
+@pytest.mark.parametrize("before", ["session=", "signature=", "pwd=", "AUTH_KEY=", "aws_secret_access_key=", "client_secret_value=", "token_live_", "Cookie: sid=", "credential\n", "private key:\r\n  "])
+def test_secrets_behind_a_word(before):
+    text = f"some {before}{KEY} end"
+    at = text.index(KEY)
+    assert secrets.spans_of(text) == [(at, at + len(KEY), "novel")]
+
+
+@pytest.mark.parametrize("sep", ["\n", "\r\n", "\\n"])
+def test_secrets_private_key_block(sep):
+    import base64
+
+    body = base64.b64encode(random.Random(1).randbytes(1190)).decode()
+    lines = [body[n : n + 64] for n in range(0, len(body), 64)] + ["Q0==", ""]
+    text = f"x -----BEGIN RSA PRIVATE KEY-----{sep}{sep.join(lines)}-----END RSA PRIVATE KEY----- plain words"
+    covered = {n for a, b, _ in secrets.spans_of(text) for n in range(a, b)}
+    at = 0
+    for line in filter(None, lines):
+        at = text.index(line, at)
+        assert covered >= set(range(at, at + len(line)))
+    assert max(covered) < text.index("-----END")
+
+
 def test_packing(docs, rows):
     from tokenizers import Tokenizer
     import public_tokenizers
