@@ -7,7 +7,11 @@ of the identifier; what follows the first "=" of a run is a candidate of its own
 block, which may be short, goes with the line before it. A candidate is compressed with a zstandard
 dictionary made of common identifiers and the text around it; the bytes that it then adds, over its
 length, is its novelty. Words, identifiers and repeated strings cost a few bytes; random keys cost
-nearly their length and are reported as kind "novel".
+nearly their length and are reported as kind "novel". The longer a key and the smaller its alphabet,
+the better its bare symbols compress; so a candidate is novel, too, if it costs nearly what a random
+string of its alphabet and length costs. Words that the dictionary lacks would pass that, and so
+would any candidate without digits: there the letters must also follow each other less likely than
+in words. Without letters, 16 digits in a row count.
 
 Null text counts as empty. Each row is scanned by itself, so repeated rows, null or repeated doc_ids
 and further columns change nothing; an empty table gives no rows. Whole texts are scanned.
@@ -15,15 +19,19 @@ and further columns change nothing; an empty table gives no rows. Whole texts ar
 
 from __future__ import annotations
 
+import math
+import random
 import re
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import arrow_batches
+from corvane.llm.common import LETTERS_LOW, LETTERS_UP, arrow_batches
 
 # The patterns and the least length of what they must match.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -35,6 +43,10 @@ KINDS = ("assign", "access", "hex", "novel")
 SENSITIVE = re.compile(r"credential|bearer|authorization|private|passphrase|password|passwd|pwd|secret|token|signature|api.?key|access.?key|session|cookie|sas_|auth", re.I | re.A)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 LEAST = 16
+LONG_NUMBER = re.compile("[0-9]{16}")
+DIGITS, UPPER, LOWER = "0123456789", LETTERS_UP, LETTERS_LOW
+# Fixed value: long words of English, German, French and Spanish stay below it, random letters above.
+PAIR_BITS = 4.5
 # What goes on as an identifier, and the body of a private key block, its line ends escaped or not.
 PLAIN = re.compile(r"[A-Za-z/+_-]*[0-9]{0,2}")
 NAME = re.compile(r"[_-]*(?:(?:[A-Z]?[a-z]+|[A-Z]+)[_-]+)*")
@@ -79,6 +91,49 @@ def novelty(candidate: str, around: str) -> float:
     return (len(squeeze(raw)) - len(squeeze(b""))) / len(raw)
 
 
+def alphabet(candidate: str) -> str:
+    """The smallest usual alphabet that holds the candidate: decimal, hexadecimal, base 32, else its kinds of letters, digits and its marks."""
+    used = set(candidate)
+    for usual in (DIGITS, DIGITS + "abcdef", DIGITS + "ABCDEF", UPPER, UPPER + "234567"):
+        if used <= set(usual):
+            return usual
+    return "".join(k for k in (DIGITS, UPPER, LOWER) if used & set(k)) + "".join(sorted(used - set(DIGITS + UPPER + LOWER)))
+
+
+@lru_cache(4096)
+def expected(symbols: str, length: int) -> float:
+    """The novelty of a random string; from 4096 symbols on it hardly changes."""
+    draw = random.Random(length)
+    return novelty("".join(draw.choice(symbols) for _ in range(length)), "")
+
+
+@lru_cache(1)
+def _pairs() -> dict[tuple[str, str], float]:
+    """Bits of each letter after each other one, as in IDENTIFIERS, with one pair of each kind added."""
+    low = IDENTIFIERS.lower()
+    seen = Counter(p for p in zip(low, low[1:], strict=False) if set(p) <= set(LOWER))
+    of = Counter(a for a, _ in seen.elements())
+    return {(a, b): -math.log2((seen[a, b] + 1) / (of[a] + 26)) for a in LOWER for b in LOWER}
+
+
+def wordlike(candidate: str) -> bool:
+    """Whether its letters follow each other as in words: under PAIR_BITS bits each; a uniform choice costs more."""
+    low, bits = candidate.lower(), _pairs()
+    costs = [bits[p] for p in zip(low, low[1:], strict=False) if p in bits]
+    return bool(costs) and sum(costs) < PAIR_BITS * len(costs)
+
+
+def is_novel(candidate: str, around: str, least: float) -> bool:
+    letters, digits = re.search("[A-Za-z]", candidate), re.search("[0-9]", candidate)
+    if not letters and not LONG_NUMBER.search(candidate):
+        return False
+    costs = novelty(candidate, around)
+    if letters and digits and costs >= least:
+        return True
+    symbols = alphabet(candidate)
+    return costs >= least * expected(symbols, min(len(candidate), 4096)) and (symbols[10:].lower() == "abcdef" or not wordlike(candidate))
+
+
 def in_context(text: str, reach: int) -> list[tuple[int, int]]:
     """(start, end) of the runs near a sensitive word, by start; a run that such words begin starts after the first and after the last of them."""
     marks = [m.end() for m in SENSITIVE.finditer(text)]
@@ -102,8 +157,7 @@ def novel_spans(text: str, base: list[tuple[int, int, str]], reach: int, least:
     def novel(a: int, b: int) -> bool:
         if b - a < LEAST or any(x < b and a < y for x, y, _ in base):
             return False
-        s = text[a:b]
-        if not re.search("[0-9]", s) or not re.search("[A-Za-z]", s) or novelty(s, text[max(0, a - 512) : a] + text[b : b + 512]) < least:
+        if not is_novel(text[a:b], text[max(0, a - 512) : a] + text[b : b + 512], least):
             return False
         found.add((a, b))
         return True

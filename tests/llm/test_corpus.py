@@ -123,6 +123,19 @@ def test_secrets_private_key_block(sep):
     assert max(covered) < text.index("-----END")
 
 
+@pytest.mark.parametrize("symbols", ["0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "0123456789"])
+def test_secrets_of_any_length(symbols):
+    r = random.Random(8)
+    for n in (16, 20, 32, 64, 128, 256, 1024, 8192):
+        key = "".join(r.choice(symbols) for _ in range(n))
+        assert [s[:2] for s in secrets.spans_of(f"the credential {key} here")] == [(15, 15 + n)], n
+
+
+@pytest.mark.parametrize("word", ["Rechtsschutzversicherungsgesellschaften", "anticonstitutionnellement", "electroencefalografista", "SomeCamelCaseIdentifierNameFactoryBean", "docs/reference/getting-started-with-the-platform-and-its-tools/installation-and-setup-of-agents-v2", "2024-01-01-12-30-00", "x" * 40, "-=" * 20])
+def test_secrets_leave_words(word):
+    assert secrets.spans_of(f"the credential {word} here") == []
+
+
 def test_packing(docs, rows):
     from tokenizers import Tokenizer
     import public_tokenizers
