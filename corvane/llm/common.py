@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corvane.session import keep, shared_dir, table
 
-__all__ = ["table", "keep", "shared_dir", "arrow_batches", "components", "without", "LETTERS_UP", "LETTERS_LOW", "words_of", "once", "alnum_words_of"]
+__all__ = ["table", "keep", "shared_dir", "arrow_batches", "components", "join_by_class", "without", "LETTERS_UP", "LETTERS_LOW", "words_of", "once", "alnum_words_of"]
 
 LETTERS_UP, LETTERS_LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -52,27 +52,43 @@ def alnum_words_of(text):
     return F.array_remove(F.split(low, "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), "")
 
 
-def components(edges: DataFrame, limit: int = 60) -> DataFrame:
+#: A class that holds more than this share of the rows is joined by broadcast; there are fewer classes than its inverse.
+HEAVY = 1 / 512
+
+
+def join_by_class(rows: DataFrame, per: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with per, which has each key once and counts its rows in _n (left out of the result); total: at least the sum of _n.
+
+    The rows of a heavy class stay where they are and meet their class by broadcast: at most
+    1 / HEAVY rows of per, whatever the input. The others are joined by key, and no key among them
+    is heavy, so no task is.
+    """
+    heavy = F.broadcast(per.where(F.col("_n") > total * HEAVY).drop("_n"))
+    light = rows.join(heavy.select(key), key, "left_anti").join(per.where(F.col("_n") <= total * HEAVY).drop("_n"), key)
+    return light.unionByName(rows.join(heavy, key))
+
+
+def components(edges: DataFrame) -> DataFrame:
     """Connected components by alternating stars: edges (a, b) -> (node, root), root the smallest.
 
     Only nodes that some edge has appear. Each round writes its edges to the shared folder, so a
-    lost executor costs a read. Nothing but two sums a round reaches the driver. Minima are
-    aggregated before the shuffle and rejoined with a sort-merge join, which AQE can split.
+    lost executor costs a read; rounds go on until the edges no longer change. Nothing but two sums
+    a round reaches the driver. Minima are aggregated before the shuffle, and the hub of a large
+    star is joined by broadcast (join_by_class), so its edges spread over tasks.
     """
     e = keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = None
-    for _ in range(limit):
+    mark = (e.count(), None)
+    while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low2 = large.groupBy("a").agg(F.min("b").alias("m"))
-        e2 = large.join(low2, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("_n"))
+        large = join_by_class(both.where("b > a"), low, "a", mark[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low2 = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_n"))
+        e2 = join_by_class(large, low2, "a", mark[0]).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         e = keep(e2.where("a <> b").distinct(), "edges")
-        now = tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.lit(0))).first())
-        if now == mark:
+        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+        if now == mark or not now[0]:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         mark = now
-    raise RuntimeError("components did not settle")
 
 
 #: Rows of a key set that are broadcast at most; each takes some 100 bytes on an executor.
