@@ -7,12 +7,15 @@ cuts each document's ids at the multiples of the length. No row is shuffled in e
 sequence but the last is short, and each piece names its sequence and its offset there.
 
 Null text counts as empty (the end id alone); null or repeated doc_ids and further columns change
-nothing: every row is packed by itself, in scan order. An empty table gives no pieces.
+nothing: every row is packed by itself, in scan order. The special strings that the vocabulary
+itself lists become their ids wherever a text holds them. A very long text is tokenized whole, in
+one row, and cut like others. An empty table gives no pieces.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,14 +32,21 @@ _encoders: dict[str, object] = {}
 
 
 def encoder(vocabulary: str):
-    """The byte-level BPE of public_tokenizers.path(vocabulary); special strings are plain text."""
+    """text -> ids of the byte-level BPE public_tokenizers.path(vocabulary + ".json"), its added tokens included.
+
+    The ranks beside it hold the same vocabulary in the form that the faster library reads.
+    """
     if vocabulary not in _encoders:
         import public_tokenizers
         import tiktoken
 
-        with open(public_tokenizers.path(vocabulary), "rb") as f:
+        with open(public_tokenizers.path(vocabulary + ".json"), encoding="utf-8") as f:
+            added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+        with open(public_tokenizers.path(vocabulary + ".tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f)}
-        _encoders[vocabulary] = tiktoken.Encoding(vocabulary, pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        coded = tiktoken.Encoding(vocabulary, pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=added)
+        allowed = set(added)
+        _encoders[vocabulary] = lambda text: coded.encode(text, allowed_special=allowed, disallowed_special=()) if any(a in text for a in allowed) else coded.encode_ordinary(text)
     return _encoders[vocabulary]
 
 
@@ -47,7 +57,7 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        pid, at, code = TaskContext.get().partitionId(), 0, encoder(vocabulary).encode_ordinary
+        pid, at, code = TaskContext.get().partitionId(), 0, encoder(vocabulary)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
@@ -65,7 +75,7 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"pid int, local_start long, doc_id {kind}, n_tokens long, ids binary")
 
 
-def pack(docs: DataFrame, length: int = 1024, vocabulary: str = "byte_bpe_50k.tiktoken", end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, length: int = 1024, vocabulary: str = "byte_bpe_50k", end_id: int = 0) -> DataFrame:
     """Pieces (doc_id, start, length, doc_tokens, sequence_id, offset, ids): ids as little-endian 32-bit numbers."""
     kind, kept = dict(docs.dtypes)["doc_id"], keep(tokenized(docs, vocabulary, end_id), "tokens")
     base, total = {}, 0
@@ -96,5 +106,3 @@ def sequences(pieces: DataFrame) -> DataFrame:
     part = F.struct("offset", "doc_id", "start", "length", "ids")
     got = pieces.groupBy("sequence_id").agg(F.array_sort(F.collect_list(part)).alias("parts"))
     return got.select("sequence_id", F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p.ids)), "")).alias("ids"), F.transform("parts", lambda p: F.struct(p.offset.alias("offset"), p.doc_id.alias("doc_id"), p.start.alias("start"), p.length.alias("length"))).alias("boundaries"))
-
-
