@@ -3,18 +3,22 @@
 Each document is a point (source, language, length, text hash), each dimension scaled to 16 bits.
 From the root, a node that must give n leaves is split along its widest dimension at the place
 that leaves floor(n/2)/n of its bytes on the left, until every node is one leaf. The place is found
-in a 64-bit order: the dimension's value, then a hash of text and id, so documents that agree in
-all metadata (a hot source, a group of copies) are split like others. It is found by refining a
-histogram of 2^12 bins a node, all nodes of a level at once, until the bin holds less than
-`tolerance` of a leaf or one key; the histograms are aggregated before they are shuffled, and at
-most 4096 sums a node reach the driver. Texts are read once, for size and hash; what is split after
-that is a narrow table in the shared folder.
+in a 63-bit order: the dimension's value, then a hash of text, id and a stored row number, so
+documents that agree in all metadata (a hot source, a group of copies, repeated rows) are split like
+others: the law is `bytes`, and a group of equal texts is a group that must not fill a shard, so it
+is spread over as many as its bytes need. The place is found by refining a histogram of each node,
+all nodes of a level at once, until the bin holds less than `tolerance` of a leaf or one key; the
+histograms are aggregated before they are shuffled, and the nodes of a level share 2^16 bins, eight
+a node at least, so the sums that reach the driver grow with the shards alone. Texts are read once,
+for size and hash; what is split after that is a narrow table in the shared folder.
 
 Slots are gapless prefix sums: the rows of a shard in each partition are counted, the counts are
 summed up over the partitions, and each partition numbers its own rows.
 
-Null text has no bytes (size 16, crc of nothing). Null metadata is a value like another. Repeated
-rows are placed one by one. Further columns change nothing; an empty table gives no rows.
+Null text has no bytes (size 16, crc of nothing). Null metadata is a value like another. Null ids and
+repeated rows are placed one by one, since the row number tells them apart. A very long text counts
+by its bytes; one above a shard's share makes its shard too large, for texts aren't cut. Further
+columns change nothing; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,17 +28,17 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import bounded, keep, once
 
-BINS = 12
+BINS = 16  # bits of a level's histograms, all nodes together
 
 
 def points(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32, the dimensions _d0.._d3 (0 to 65535) and _tie."""
+    """doc_id, size, text_crc32, the dimensions _d0.._d3 (0 to 65535) and _tie, which the row's number enters: to be written before use."""
     text = F.coalesce("text", F.lit(""))
     named = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(65536)).cast("int") if c in docs.columns else F.lit(0)
     size = (F.octet_length(text) + 16).cast("bigint")
     long = F.least(F.lit(65535), F.floor(F.log2(size.cast("double")) * 2048)).cast("int")
     same = F.pmod(F.xxhash64("text"), F.lit(65536)).cast("int")
-    return docs.select("doc_id", size.alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"), named("source").alias("_d0"), named("lang").alias("_d1"), long.alias("_d2"), same.alias("_d3"), F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 47)).alias("_tie"))
+    return docs.select("doc_id", size.alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"), named("source").alias("_d0"), named("lang").alias("_d1"), long.alias("_d2"), same.alias("_d3"), F.pmod(F.xxhash64("text", "doc_id", F.monotonically_increasing_id()), F.lit(1 << 47)).alias("_tie"))
 
 
 DIMS = ("_d0", "_d1", "_d2", "_d3")
@@ -65,7 +69,8 @@ def tree(pts: DataFrame, leaves: int, tolerance: float = 0.001) -> list[dict]:
         keyed = at.select("_node", once(_order(_of(_by_id(level, "dim", next_id), "int"))).alias("_k"), "size")
         todo = list(level)
         while todo:
-            width = {x["id"]: max(0, x["bits"] - BINS) for x in todo}
+            step = max(3, BINS - (len(todo) - 1).bit_length())
+            width = {x["id"]: max(0, x["bits"] - step) for x in todo}
             low, bits = _by_id(todo, "low", next_id), _by_id(todo, "bits", next_id)
             parts = keyed.select("_node", "size", "_k", once(_of(low)).alias("_low"), once(_of(bits, "int")).alias("_bits"), once(_of([width.get(i) for i in range(next_id)], "int")).alias("_width"))
             bin_ = F.expr("CASE WHEN shiftright(_k, _bits) = shiftright(_low, _bits) THEN shiftright(_k - _low, _width) END")
