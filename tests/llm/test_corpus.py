@@ -157,6 +157,15 @@ def test_packing(docs, rows):
     assert all(v == 256 for s, v in at.items() if s != max(at))
 
 
+@pytest.mark.parametrize("text", ["a <|endoftext|>b", "<|endoftext|>", " \n <|endoftext|><|endoftext|> \t x", "<|endoftext| > \u00a0\u2003 \r\n\r\n  y  ", "don't I'LL 1234  56 \x1c \u3000z", "é" * 50 + "<|endoftext|>" + " " * 30])
+def test_packing_ids(text):
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert list(packing.encoder("byte_bpe_50k")(text)) == t.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_sequences(docs):
     pieces = packing.pack(docs, length=128).cache()
     got = collected(packing.sequences(pieces))
@@ -307,6 +316,45 @@ def test_sharding_balance(spark):
     assert sorted(per) == list(range(40)) and max(per.values()) < 1.06 * mean and min(per.values()) > 0.94 * mean
 
 
+def test_sharding_repeated_rows(spark):
+    """Rows that agree in everything, or have no id, are spread like others."""
+    plain = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string"), F.repeat(F.lit("y"), (F.col("id") % 60).cast("int"))).alias("text"), F.lit("en").alias("lang"), F.col("id").cast("string").alias("source"))
+    same = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one text of many rows").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    again = spark.range(1500).select(F.lit(7).cast("long").alias("doc_id"), F.lit("z" * 50).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    per = {}
+    for r in collected(sharding.shards(plain.unionByName(same).unionByName(again), 40)):
+        per[r["shard"]] = per.get(r["shard"], 0) + r["size"]
+    mean = sum(per.values()) / 40
+    assert sorted(per) == list(range(40)) and max(per.values()) < 1.06 * mean and min(per.values()) > 0.94 * mean
+
+
+def test_sharding_against_a_plain_tree(spark):
+    r = random.Random(12)
+    rows_ = [(r.choice([None, i]), "w" * r.choice([1, 5, 300, r.randint(1, 4000)]), r.choice(["en", "de", None]), r.choice(["hot", "hot", str(i)])) for i in range(700)]
+    pts = common.keep(sharding.points(spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string")), "points").cache()
+    leaves, got = 11, []
+
+    def split(rows, n):
+        if n == 1:
+            got.append(sorted(x["_tie"] for x in rows))
+            return
+        dim = max(sharding.DIMS, key=lambda d: max(x[d] for x in rows) - min(x[d] for x in rows)) if rows else "_d0"
+        order = sorted(rows, key=lambda x: (x[dim], x["_tie"]))
+        want, have, k = sum(x["size"] for x in rows) * (n // 2) / n, 0, 0
+        while k < len(order) and have + order[k]["size"] <= want:
+            have, k = have + order[k]["size"], k + 1
+        if k < len(order) and want - have > order[k]["size"] / 2:
+            k += 1
+        split(order[:k], n // 2)
+        split(order[k:], n - n // 2)
+
+    split(collected(pts), leaves)
+    placed = {}
+    for x in collected(sharding.assigned(pts, sharding.tree(pts, leaves, 0.0))):
+        placed.setdefault(x["_node"], []).append(x["_tie"])
+    assert sorted(map(sorted, placed.values())) == sorted(x for x in got if x)
+
+
 def test_licenses(docs, rows):
     got = {(str(r["doc_id"]), r["n_words"]): r for r in collected(licenses.scan(docs))}
     for i, t in rows:
