@@ -95,9 +95,15 @@ def components(edges: DataFrame) -> DataFrame:
 BROADCAST_ROWS = 300_000
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, which must be cheap to count, marked for broadcast if it has few rows; else left to the planner."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def few(df: DataFrame, rows: int | None = None) -> bool:
+    """Whether df, which must be cheap to count, has few enough rows to be broadcast."""
+    rows = BROADCAST_ROWS if rows is None else rows
+    return df.limit(rows + 1).count() <= rows
+
+
+def bounded(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df marked for broadcast if it has few rows; else left to the planner, which shuffles both sides. The result is the same."""
+    return F.broadcast(df) if few(df, rows) else df
 
 
 def without(docs: DataFrame, keys: DataFrame) -> DataFrame:

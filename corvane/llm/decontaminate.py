@@ -8,9 +8,13 @@ Items of fewer than 13 words are one window each: their whole word sequence is l
 document's grams of that length. Words are compared by 64-bit hashes.
 
 The documents are read once and their texts never shuffled: a row per document and its few hits are.
+An index too large to broadcast is first cut to the fingerprints that some document has, found by
+their keys alone; only if that, too, is too large do fingerprints go to their index entries with the
+words around them.
 Null texts have no words; items without words have no windows. Repeated document rows are each
 judged. Items of one id count once; hits of items with a null id count as hit words, not as items.
-Further columns change nothing; empty tables give no rows, or no hits.
+A very long text is fingerprinted whole, within its row. Further columns change nothing; empty
+tables give no rows, or no hits.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import alnum_words_of, bounded, keep, once, without
+from corvane.llm.common import alnum_words_of, bounded, few, keep, once, without
 
 WINDOW, GRAM = 13, 7
 SIDE = WINDOW - GRAM
@@ -85,6 +89,14 @@ def _reach(order: list[int]) -> Column:
     return out
 
 
+def _met(index: DataFrame, named: DataFrame, lengths: list[int]) -> DataFrame:
+    """The index, if it can be broadcast; else its entries that some document has, by narrow keys that are made distinct before they move."""
+    if few(index):
+        return index
+    own = _fingerprints(_hashed(named, "_row"), -1, lengths, False).select(F.explode("_f").alias("f")).select("f.size", "f.key").distinct()
+    return keep(index.join(own, ["size", "key"], "left_semi"), "met")
+
+
 def judged(docs: DataFrame, items: DataFrame, *more: str) -> DataFrame:
     """doc_id, `more`, n_words, n_hit, n_items, items_sha256, contaminated: one row a document."""
     index, lengths = item_index(items)
@@ -92,7 +104,7 @@ def judged(docs: DataFrame, items: DataFrame, *more: str) -> DataFrame:
     f = _fingerprints(_hashed(named, "_row", "doc_id", *more), -1, lengths, False)
     mark = F.array(F.struct(F.lit(0).alias("size"), F.xxhash64("_row").alias("key"), F.lit(0).alias("pos"), F.array().cast("array<bigint>").alias("around")))
     f = f.select("_row", "doc_id", *more, "n_words", F.explode(F.concat(mark, F.col("_f"))).alias("f")).select("_row", "doc_id", *more, "n_words", "f.size", "f.key", "f.pos", F.col("f.around").alias("_da"))
-    met = f.join(bounded(index), ["size", "key"], "left").where((F.col("size") == 0) | F.col("_ia").isNotNull())
+    met = f.join(bounded(_met(index, named, lengths)), ["size", "key"], "left").where((F.col("size") == 0) | F.col("_ia").isNotNull())
     left = F.when(F.col("size") == WINDOW, _reach(list(range(SIDE - 1, -1, -1)))).otherwise(0)
     right = F.when(F.col("size") == WINDOW, _reach(list(range(WINDOW, WINDOW + SIDE)))).otherwise(0)
     inner = F.when(F.col("size") == WINDOW, F.slice("_da", SIDE + 1, GRAM) == F.slice("_ia", SIDE + 1, GRAM)).otherwise(F.col("_da") == F.col("_ia"))

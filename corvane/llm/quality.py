@@ -9,8 +9,9 @@ choices at once. The strictest admitted cutoff of a stratum and rule rejects; wh
 admitted, the rule rejects nothing there. The allowed rate of a stratum is shared by its rules.
 
 Null text has no words and fails the base. A null stratum is a stratum of its own. Repeated rows
-are each judged; null doc_ids are never labelled but judged like others. Labels that repeat count
-repeatedly. Empty tables give no rows, or no cutoffs.
+are each judged; null doc_ids are never labelled but judged like others. A document that several
+label rows call good is one trial, for the bound needs independent ones. A very long text is
+measured whole, within its row. Empty tables give no rows, or no cutoffs.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import BROADCAST_ROWS, keep, once, words_of
+from corvane.llm.common import few, keep, once, words_of
 
 WINDOW = 8
 
@@ -88,21 +89,16 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 
 def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", rate: float = 0.01, delta: float = 0.05, grids: dict[str, tuple[float, ...]] = GRIDS) -> DataFrame:
     """(stratum, rule, cutoff, n, k): the strictest admitted cutoff of each stratum and rule."""
-    good = labels.where("quality = 1").select("doc_id")
+    good = labels.where("quality = 1").select("doc_id").distinct()
     held = measured.where(~base_failed()).select("doc_id", F.coalesce(F.col(stratum).cast("string"), F.lit("\0")).alias("stratum"), *(s.alias(r) for r, s in scores().items())).join(good, "doc_id")
     counts = held.groupBy("stratum").agg(F.count("*").alias("n"), *(F.count_if(F.col(r) > c).alias(f"{r}@{i}") for r, g in grids.items() for i, c in enumerate(g)))
-    tests = sum(len(g) for g in grids.values())
-    long = counts.select("stratum", "n", F.count("*").over(_everything()).alias("strata"), F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(float(c)).alias("cutoff"), F.col(f"`{r}@{i}`").alias("k")) for r, g in grids.items() for i, c in enumerate(g)))).alias("t")).select("stratum", "n", "strata", "t.*")
-    admitted = long.where(binomial_tail(F.col("k"), F.col("n"), rate / len(grids)) <= delta / (F.col("strata") * tests))
+    counts = keep(counts, "counts")  # one row a stratum
+    tests = counts.count() * sum(len(g) for g in grids.values())
+    long = counts.select("stratum", "n", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(float(c)).alias("cutoff"), F.col(f"`{r}@{i}`").alias("k")) for r, g in grids.items() for i, c in enumerate(g)))).alias("t")).select("stratum", "n", "t.*")
+    admitted = long.where(binomial_tail(F.col("k"), F.col("n"), rate / len(grids)) <= delta / max(1, tests))
     return admitted.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"), F.max("n").alias("n"), F.max_by("k", -F.col("cutoff")).alias("k"))
 
 
-def _everything():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(0))  # one row a stratum
-
-
 def judged(measured: DataFrame, chosen: DataFrame, stratum: str = "lang") -> DataFrame:
     """measured with base_failed and kept. The cutoffs come as one row a stratum; Spark broadcasts them while they are small."""
     by = chosen.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_{r}") for r in GRIDS))
@@ -125,8 +121,7 @@ def kept_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang", ra
     For the cutoffs only labelled texts are read in full, if the good labels are few enough to broadcast.
     """
     good = labels.where("quality = 1").select("doc_id").distinct()
-    few = good.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    measured = stats(docs.join(F.broadcast(good), "doc_id", "left_semi") if few else docs, stratum)
+    measured = stats(docs.join(F.broadcast(good), "doc_id", "left_semi") if few(good) else docs, stratum)
     chosen = keep(cutoffs(measured, labels, stratum, rate, delta), "cutoffs")
     beside = stats(docs.withColumn("_row", F.struct(*docs.columns)), stratum, "_row")
     return judged(beside, chosen, stratum).where("kept").select("_row.*")

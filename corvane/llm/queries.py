@@ -132,7 +132,7 @@ m AS (SELECT doc_id, st, len(w)::BIGINT AS n_words, length(array_to_string(w, ''
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
 u AS (SELECT doc_id, st, base_failed, unnest(['symbols', 'dup_lines', 'repeats', 'word_length']) AS rule, unnest([n_symbols / nullif(n_words, 0), n_dup_lines / nullif(n_lines, 0), n_repeat_words / nullif(n_words, 0),
       CASE WHEN word_chars > 0 THEN abs(ln(word_chars / n_words / 5.5)) END]) AS score FROM b),
-h AS (SELECT u.* FROM u JOIN labels USING (doc_id) WHERE quality = 1 AND NOT base_failed),
+h AS (SELECT u.* FROM u SEMI JOIN (SELECT doc_id FROM labels WHERE quality = 1) g USING (doc_id) WHERE NOT base_failed),
 k AS (SELECT st, h.rule, cutoff, count(*) AS n, sum(CASE WHEN coalesce(score, 0) > cutoff THEN 1 ELSE 0 END)::BIGINT AS k FROM h JOIN (VALUES {_GRID}) v(rule, cutoff) ON h.rule = v.rule GROUP BY ALL),
 e AS (SELECT st, rule, cutoff, any_value(n) AS n, any_value(k) AS k, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({0.01 / len(quality.GRIDS)}) + (n - i) * ln({1 - 0.01 / len(quality.GRIDS)}))) AS tail
       FROM (SELECT *, unnest(range(0, k + 1)) AS i FROM k) GROUP BY 1, 2, 3),
@@ -140,19 +140,18 @@ a AS (SELECT st, rule, min(cutoff) AS cutoff FROM e WHERE k < n * {0.01 / len(qu
 x AS (SELECT DISTINCT doc_id FROM u JOIN a USING (st, rule) WHERE score > cutoff)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND x.doc_id IS NULL AS kept FROM b LEFT JOIN x USING (doc_id)"""
 
-_NOTICES = ", ".join(f"('{label}', {licenses.tokens_of(text)})" for label, text in licenses.TEMPLATES)
+_NOTICES = ", ".join(f"('{label}', {licenses.tokens_of(text)}, {licenses.window_of(text)})" for label, text in licenses.TEMPLATES)
 _PLACES = " UNION ALL ".join(f"SELECT doc_id, p, '{label}' AS label FROM i WHERE w[p : p + {len(ph.split()) - 1}] = {ph.split()}" for ph, label in licenses.PHRASES.items())
 
 SQL["op8_license_scan"] = f"""
-WITH d AS (SELECT doc_id, {_alnum("text")} AS w, list_transform(string_split(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(10)), lambda x: regexp_extract_all(x, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS ls FROM documents),
+WITH d AS (SELECT doc_id, {_alnum("text")} AS w FROM documents),
 i AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d),
 s AS ({_PLACES}),
 b AS (SELECT doc_id, count(*) AS n, min(p) - 1 AS a, max(p) - 1 AS z, list(DISTINCT label) AS labels FROM s GROUP BY doc_id),
-t AS (SELECT label, whole, len(whole) <= {licenses.SHORT} AS short FROM (VALUES {_NOTICES}) v(label, whole)),
-k AS (SELECT doc_id, true AS short, unnest(ls) AS words FROM d UNION ALL
-      SELECT doc_id, false, flatten(ls[o + 1 : o + {licenses.LINES}]) FROM (SELECT doc_id, ls, unnest(range(0, greatest(0, len(ls) - {licenses.LINES - licenses.STEP + 1}) + 1, {licenses.STEP})) AS o FROM d)),
-f AS (SELECT doc_id, label, len(list_intersect(whole, words)) / len(whole) AS share FROM k JOIN t USING (short)),
-m AS (SELECT doc_id, max(share) AS share, list(DISTINCT label) AS labels FROM f WHERE share >= 0.8 - 1e-9 GROUP BY doc_id)
+t AS (SELECT label, whole, reach, ceil(0.8 * len(whole) - 1e-9) AS need FROM (VALUES {_NOTICES}) v(label, whole, reach)),
+c AS (SELECT doc_id, w, label, whole, reach, need FROM d, t WHERE len(list_intersect(whole, w)) >= need),
+f AS (SELECT doc_id, label, len(list_intersect(whole, w[p : p + reach - 1])) AS k, need, len(whole) AS n FROM (SELECT *, unnest(range(1, len(w) + 1)) AS p FROM c) WHERE list_contains(whole, w[p])),
+m AS (SELECT doc_id, max(k / n) AS share, list(DISTINCT label) AS labels FROM f WHERE k >= need GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, a::BIGINT AS first_word, z::BIGINT AS last_word, coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,
 coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(m.labels, [])))), ','), '') AS labels, CASE WHEN n > 0 THEN 1.0 ELSE coalesce(share, 0.0) END::DOUBLE AS score
 FROM d LEFT JOIN b USING (doc_id) LEFT JOIN m USING (doc_id)"""

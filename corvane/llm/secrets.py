@@ -14,7 +14,8 @@ would any candidate without digits: there the letters must also follow each othe
 in words. Without letters, 16 digits in a row count.
 
 Null text counts as empty. Each row is scanned by itself, so repeated rows, null or repeated doc_ids
-and further columns change nothing; an empty table gives no rows. Whole texts are scanned.
+and further columns change nothing; an empty table gives no rows. Whole texts are scanned, however
+long, in time that grows with their length.
 """
 
 from __future__ import annotations
@@ -153,9 +154,13 @@ def in_context(text: str, reach: int) -> list[tuple[int, int]]:
 def novel_spans(text: str, base: list[tuple[int, int, str]], reach: int, least: float) -> list[tuple[int, int, str]]:
     """Incompressible strings in a sensitive context that no base span touches; none within another."""
     found: set[tuple[int, int]] = set()
+    starts, ends, reached = sorted(x for x, _, _ in base), [], 0
+    for _, y, _ in sorted(base):
+        ends.append(reached := max(reached, y))
 
     def novel(a: int, b: int) -> bool:
-        if b - a < LEAST or any(x < b and a < y for x, y, _ in base):
+        before = bisect_right(starts, b - 1)  # base spans that start before b; the farthest of them ends beyond a if any overlaps
+        if b - a < LEAST or (before and ends[before - 1] > a):
             return False
         if not is_novel(text[a:b], text[max(0, a - 512) : a] + text[b : b + 512], least):
             return False

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -108,6 +109,19 @@ def test_secrets_behind_a_word(before):
     assert secrets.spans_of(text) == [(at, at + len(KEY), "novel")]
 
 
+def test_secrets_long_text():
+    """Five million characters full of words, patterns and keys take seconds, and every key is found."""
+    r = random.Random(2)
+    keys = ["".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(40)) for _ in range(60)]
+    filler = "auth is a word and token=abcdef12 is a pattern; " * 1700
+    text = "".join(f"{filler} credential {k} " for k in keys)
+    assert len(text) > 4_500_000
+    start = time.perf_counter()
+    spans = secrets.spans_of(text)
+    assert time.perf_counter() - start < 60
+    assert [text[a:b] for a, b, kind in spans if kind == "novel"] == keys and sum(kind == "assign" for _, _, kind in spans) == 1700 * 60
+
+
 @pytest.mark.parametrize("sep", ["\n", "\r\n", "\\n"])
 def test_secrets_private_key_block(sep):
     import base64
@@ -362,18 +376,30 @@ def test_licenses(docs, rows):
         base = sorted((p, v) for ph, v in licenses.PHRASES.items() for p in range(len(w)) if w[p : p + len(ph.split())] == ph.split())
         r = got[str(i), len(w)]
         assert sorted((x["start"], x["label"]) for x in r["places"]) == base
-        lines = [set(B.findall(low(x))) for x in (t or "").split("\n")]
-        runs = [set().union(*lines[k : k + licenses.LINES]) for k in range(0, max(1, len(lines)), licenses.STEP)]
         best = 0
         for _, notice in licenses.TEMPLATES:
-            tokens = set(licenses.tokens_of(notice))
-            for block in lines if len(tokens) <= licenses.SHORT else runs:
-                share = len(tokens & block) / len(tokens)
-                best = max(best, share if share >= 0.8 else 0)
+            tokens, reach = set(licenses.tokens_of(notice)), licenses.window_of(notice)
+            share = max((len(tokens & set(w[p : p + reach])) / len(tokens) for p in range(len(w))), default=0)
+            best = max(best, share if share >= 0.8 else 0)
         assert r["score"] == pytest.approx(1.0 if base else best)
 
 
-def test_decontaminate(spark, docs, rows):
+def test_licenses_blocks(spark):
+    """Notices are found however their lines break; their words scattered over a page are none."""
+    r = random.Random(9)
+    texts, want = [], []
+    for label, notice in licenses.TEMPLATES:
+        w = notice.split()
+        texts.append("one two three\n" + "".join(x + r.choice([" ", "\n", " \n # "]) for x in w) + "\nfour five")
+        want.append({label})
+    filler = lambda n: " ".join(f"word{r.randrange(10**6)}" for _ in range(n))
+    texts.append(" ".join(x + " " + filler(40) for x in "all rights reserved licensed under cc attribution by 4 international 0".split()))
+    texts.append("This work is licensed under a Creative\nCommons Attribution 4.0 International License" + filler(30000))
+    got = {x["doc_id"]: {f["label"] for f in x["found"] or ()} for x in collected(licenses.scan(spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "doc_id long, text string")))}
+    assert all(labels <= got[n] for n, labels in enumerate(want)) and got[len(want)] == set() and got[len(want) + 1] == {"cc-by"}
+
+
+def test_decontaminate(spark, docs, rows, monkeypatch):
     r = random.Random(6)
     pool = [t for _, t in rows if t and len(B.findall(low(t))) > 60]
     items = []
@@ -398,6 +424,8 @@ def test_decontaminate(spark, docs, rows):
                     ids.add(str(j))
         want.append((str(i), len(w), len(hit), len(ids), sha(",".join(sorted(ids))), bool(hit) and 20 * len(hit) >= len(w)))
     assert got == sorted(want)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 3)  # an index too large to broadcast
+    assert got == sorted(((str(x["doc_id"]), x["n_words"], x["n_hit"], x["n_items"], x["items_sha256"], x["contaminated"]) for x in collected(decontaminate.judged(docs, item_df))))
     left = collected(decontaminate.clean(docs, item_df))
     assert len(left) == sum(not x[-1] for x in want)
 
