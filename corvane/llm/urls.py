@@ -1,15 +1,20 @@
 """URL filters: prefix rules, and naive Bayes over segmented host words and path tokens.
 
-Host labels are split into words by the Viterbi path of a unigram model; its counts are a fixed
-lexicon's plus how often each lexicon word stands alone in the corpus's hosts and paths. A page is
-weakly labelled "block" if a segmented host or path word is a block seed, else "allow"; the counts
-of the hashed tokens of all pages, by label, make a multinomial naive Bayes model with 2^16 buckets
-(so its size is bounded, whatever the corpus), to which each seed adds one page. Tokens are
-segmented host words and path words; digits count as one token.
+Host labels are split into words by the Viterbi path of a unigram model. Its vocabulary is learned
+from the corpus: words of three letters or more that stand alone, as a host label or a path word,
+under at least `fewest` hosts and in `share` of all (host, word) pairs, so there are at most
+1 / share of them, whatever the corpus; a hot host counts each word once. Seeds and some plain words
+are added. A page is weakly labelled "block" if a segmented host or path word is a block seed, else
+"allow"; the counts of the hashed tokens of all pages, by label, make a multinomial naive Bayes
+model with 2^16 buckets (so its size is bounded), to which each seed adds one page. Tokens are
+segmented host words and path words; digits count as one token. Odds of exactly one, a tie, allow.
+
+The weak labels come from the seeds, so the model generalizes as far as words keep company: it
+learns which other words pages with seeds have.
 
 A null url, or one without ://, has an empty host and path, no rule, and the model's verdict on no
-tokens. Repeated rows are each judged; null page_ids are kept. Further columns change nothing; an
-empty table gives no rows.
+tokens. Repeated rows are each judged; null page_ids are kept. A very long url is read whole. Further
+columns change nothing; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import LETTERS_LOW, LETTERS_UP, arrow_batches
+from corvane.llm.common import LETTERS_LOW, LETTERS_UP, arrow_batches, keep
 
 # The rules (verdict, host, path).
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -36,6 +41,7 @@ BLOCK_SEEDS = "spam farm casino poker bet bets betting gambling slots jackpot lo
 # Words for the segmentation that mark nothing, among them those that hold a seed.
 PLAIN_WORDS = "the and for of in on to my our your best top new free news blog shop store online web site page home world life daily times post press media book books read library school college science research health doctor city travel hotel food recipe music film photo art design game games sport sports team club code cloud data tech digital mobile app apps group global network forum wiki help guide learn kids family garden house green blue red box hub lab labs live tv radio video mail chat store market trade bank money work job jobs law public open source project test example dev api docs static cdn img www adults pharmacy essex sussex middlesex better alphabet between".split()
 
+LEXICON = frozenset((*BLOCK_SEEDS, *PLAIN_WORDS))
 BUCKETS = 1 << 16
 
 
@@ -75,8 +81,8 @@ def viterbi(label: str, cost: dict[str, float], unknown: float) -> list[str]:
 
 
 def costs(counts: dict[str, int]) -> tuple[dict[str, float], float]:
-    """-log probability of each lexicon word, and of one letter outside of any."""
-    words = {w: 1 + counts.get(w, 0) for w in {*BLOCK_SEEDS, *PLAIN_WORDS}}
+    """-log probability of each word, and of one letter outside of any."""
+    words = {**counts, **{w: 1 + counts.get(w, 0) for w in LEXICON}}
     total = sum(words.values()) + 1
     least = max(-math.log(n / total) for n in words.values())
     return {w: -math.log(n / total) for w, n in words.items()}, max(least, 6.0)
@@ -113,12 +119,15 @@ def _pages(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
 
 
-def standing_alone(pages: DataFrame) -> dict[str, int]:
-    """How often each lexicon word is a host part or a path word of its own, over all pages."""
-    parts = F.split(F.concat_ws("/", "host", F.lower("path")), "[^a-z]+")
-    lexicon = sorted({*BLOCK_SEEDS, *PLAIN_WORDS})
-    words = _pages(pages).select(F.explode(F.filter(parts, lambda w: w.isin(lexicon))).alias("w"))
-    return dict(map(tuple, words.groupBy("w").count().collect()))  # at most the lexicon
+def standing_alone(pages: DataFrame, share: float = 1 / 50_000, fewest: int = 3) -> dict[str, int]:
+    """Under how many hosts each word of the lexicon, or met often enough, is a host label or a path word of its own."""
+    host = F.regexp_replace("host", "[.][^.]*$", "")
+    parts = F.filter(F.split(F.concat_ws("/", host, F.lower("path")), "[^a-z]+"), lambda w: F.length(w) >= 3)
+    pairs = _pages(pages).select("host", F.explode(F.array_distinct(parts)).alias("w")).distinct()
+    counts = keep(pairs.groupBy("w").count(), "words")
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    often = F.col("count") >= max(fewest, share * total)
+    return dict(map(tuple, counts.where(often | F.col("w").isin(sorted(LEXICON))).collect()))  # at most 1 / share words and the lexicon
 
 
 def model(pages: DataFrame, counts: dict[str, int], alpha: float = 0.5) -> tuple[float, dict[int, float]]:

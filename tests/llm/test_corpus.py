@@ -1,6 +1,7 @@
 """The corpus operators against brute force on small fixtures with awkward rows."""
 
 import hashlib
+import itertools
 import random
 import re
 import time
@@ -64,8 +65,8 @@ def test_empty_tables(spark):
         assert df.count() == 0
 
 
-@pytest.mark.parametrize("block_bytes", [300, 5000, 1 << 22])
-def test_substring(docs, rows, block_bytes):
+@pytest.mark.parametrize("block_bytes, group, slice_bits", [(300, 3, 9), (300, 8, 25), (5000, 2, 12), (1 << 22, 8, 25)])
+def test_substring(docs, rows, block_bytes, group, slice_bits):
     words = [A.findall(t or "") for _, t in rows]
     owner = {}
     for (i, _), w in zip(rows, words):
@@ -77,7 +78,7 @@ def test_substring(docs, rows, block_bytes):
     for (i, _), w in zip(rows, words):
         gone = {q for p in range(len(w) - 12) if i is not None and owner[tuple(w[p : p + 13])] < i for q in range(p, p + 13)}
         want.append((i, len(w), len(gone), " ".join(x for q, x in enumerate(w) if q not in gone)))
-    got = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in collected(substring.dedup(docs, 13, block_bytes=block_bytes))]
+    got = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in collected(substring.dedup(docs, 13, block_bytes=block_bytes, group=group, slice_bits=slice_bits))]
     key = lambda x: (x[0] is None, x[0] or 0, x[1:])
     assert sorted(got, key=key) == sorted(want, key=key)
 
@@ -444,6 +445,49 @@ def test_urls(spark):
     assert urls.viterbi("freecasinobets", cost, unknown) == ["free", "casino", "bets"]
 
 
+def test_viterbi_against_all_splits():
+    cost = {"a": 1.0, "ab": 1.5, "ba": 2.2, "bab": 2.0, "abba": 3.1, "c": 0.5}
+    unknown, r = 4.0, random.Random(3)
+
+    def price(words):
+        return sum(cost[w] if w in cost else unknown * len(w) for w in words)
+
+    for _ in range(200):
+        label = "".join(r.choice("abcd") for _ in range(r.randint(0, 8)))
+        every = [[label[a:b] for a, b in zip([0, *cuts], [*cuts, len(label)])] for k in range(len(label)) for cuts in itertools.combinations(range(1, len(label)), k)] or [[]]
+        got = urls.viterbi(label, cost, unknown)
+        assert "".join(got) == label and price(got) == pytest.approx(min(map(price, every)))
+
+
+def test_urls_against_a_plain_model(spark):
+    r = random.Random(7)
+    names = ["casino", "news", "bestcasino", "newsblog", "zebra", "zebracasino", "quux", "free-bets", "city9guide", "é"]
+    pages = [f"{r.choice(['http', 'https'])}://{r.choice(['www.', 'm.', ''])}{r.choice(names)}.example.{r.choice(['com', 'org', 'edu'])}/{r.choice(['en', 'blog', 'zebra', 'Slots', '77'])}/{r.randint(0, 20)}" for _ in range(400)] + [None, "x"]
+    split = [("", "") if not u or "://" not in u else (u.split("://", 1)[1].split("/", 1)[0].lower(), "/" + u.split("://", 1)[1].split("/", 1)[1]) for u in pages]
+    under = {}
+    for h, p in split:
+        for w in re.findall("[a-z]{3,}", h.rsplit(".", 1)[0] + "/" + p.lower()):
+            under.setdefault(w, set()).add(h)
+    total = sum(map(len, under.values()))
+    counts = {w: len(v) for w, v in under.items() if len(v) >= max(3, total / 50_000) or w in urls.LEXICON}
+    assert counts == urls.standing_alone(spark.createDataFrame([(u,) for u in pages], "url string").withColumn("page_id", F.lit(1))) and "zebra" in counts
+    segment = urls.segmenter(counts)
+    found = [urls.tokens(h, p, segment) for h, p in split]
+    n, size = {0: 0, 1: 0}, {}
+    for f, label in [(f, int(any(t[2:] in urls.BLOCK_SEEDS for t in f))) for f in found] + [(["h:" + w], 1) for w in urls.BLOCK_SEEDS] + [(["h:" + w], 0) for w in urls.PLAIN_WORDS]:
+        n[label] += 1
+        for t in f:
+            size[urls.bucket(t), label] = size.get((urls.bucket(t), label), 0) + 1
+    buckets = {b for b, _ in size}
+    sums = [sum(c for (_, x), c in size.items() if x == label) for label in (0, 1)]
+    share = lambda t, label: (size.get((urls.bucket(t), label), 0) + 0.5) / (sums[label] + 0.5 * len(buckets))
+    odds = lambda t: np.log(share(t, 1) / share(t, 0)) if urls.bucket(t) in buckets else 0.0
+    want = [np.log(n[1] / n[0]) + sum(map(odds, f)) for f in found]
+    got = {x["page_id"]: x for x in collected(urls.judged(spark.createDataFrame(list(enumerate(pages)), "page_id long, url string")))}
+    assert [got[k]["odds"] for k in range(len(pages))] == pytest.approx(want)
+    assert all(got[k]["verdict"] == ("block" if want[k] > 0 else "allow") for k in got if got[k]["rule"] is None)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
