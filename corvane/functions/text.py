@@ -38,6 +38,7 @@ def heads(gene: Column, variants: Column) -> Column:
     return F.when((gene != "") & ~F.array_contains(variants, gene), F.concat(F.array(gene), variants)).otherwise(variants)
 
 
+# Fixed value: a line of a model's output.
 _LINE = '^- "([^"]+)", "([^"]+)", "([^"]+)"$'
 
 
@@ -115,6 +116,25 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text)
 
 
+#: The same pattern for the JVM, its classes spelled out.
+_JVM_WORD = _WORD.pattern.replace("[^\\W_]", "[\\p{L}\\p{N}]").replace("[\\w.\\-/]", "[\\p{L}\\p{N}_.\\-/]").replace("[^\\w\\s]", "[^\\p{L}\\p{N}_\\s\\x1c-\\x1f]")
+
+
+def word_list(text: Column) -> Column:
+    """words() as a column."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?iU)" + _JVM_WORD), F.lit(0))
+
+
+def stemmed(word: Column) -> Column:
+    @F.pandas_udf("string")
+    def of(words_: pd.Series) -> pd.Series:
+        from corvane.functions.stem import stem
+
+        return words_.map(stem)
+
+    return of(word)
+
+
 def stems(least: int = 3) -> Callable[[Column, Column], Column]:
     """Words of at least so many letters that are no entity name, stemmed; repeats kept."""
 

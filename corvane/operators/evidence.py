@@ -57,6 +57,13 @@ def pair_table(gold: DataFrame, evidence: DataFrame, features: tuple[str, ...] =
     return co.join(co.where("y = 1").select("mesh").distinct(), "mesh", "left_semi")
 
 
+def wide_pairs(facts: DataFrame, features: tuple[str, ...]) -> DataFrame:
+    """The same table from one that already has a row a pair: mesh, gene, gold (boolean) and a column a feature, paper among them."""
+    wanted = list(dict.fromkeys(["paper", *(f for f in features if f != "gold")]))
+    co = facts.where(F.col("paper") > 0).select("mesh", "gene", F.coalesce(F.col("gold"), F.lit(False)).cast("int").alias("y"), *(F.col(f"`{f}`").alias(f"f:{f}") for f in wanted))
+    return co.join(co.where("y = 1").select("mesh").distinct(), "mesh", "left_semi")
+
+
 def labelled(gold: DataFrame, evidence: DataFrame) -> DataFrame:
     """(mesh, gene, y) of the pair table."""
     return pair_table(gold, evidence).select("mesh", "gene", "y")
@@ -78,17 +85,17 @@ def feature_scores(gold: DataFrame, evidence: DataFrame, methods: dict[str, list
     return method_scores(pair_table(gold, evidence, tuple(f for fs in methods.values() for f in fs)), methods).drop("y")
 
 
-def odds_stats(odds: DataFrame) -> DataFrame:
-    """(mesh, gene, or_count_N.., or_log_mean, or_percentile_N..): positive odds ratios at or above each threshold; logs of the positive ones, 0 if none."""
+def odds_stats(odds: DataFrame, *more: str) -> DataFrame:
+    """(mesh, gene, more.., or_count_N.., or_log_mean, or_percentile_N..): positive odds ratios at or above each threshold; logs of the positive ones, 0 if none."""
     good = (F.col("odds_ratio") > 0) & ~F.isnan("odds_ratio")
     log = F.when(good, F.ln("odds_ratio"))
     pct = F.percentile(log, F.array(*(F.lit(p / 100) for p in PERCENTILES)))
-    g = odds.groupBy("mesh", "gene").agg(*(F.count_if(good & (F.col("odds_ratio") >= t)).alias(f"or_count_{t}") for t in THRESHOLDS), F.coalesce(F.avg(log), F.lit(0.0)).alias("or_log_mean"), pct.alias("_p"))
-    return g.select("mesh", "gene", *(f"or_count_{t}" for t in THRESHOLDS), "or_log_mean", *(F.coalesce(F.get("_p", F.lit(i)), F.lit(0.0)).alias(f"or_percentile_{p}") for i, p in enumerate(PERCENTILES)))
+    g = odds.groupBy("mesh", "gene", *more).agg(*(F.count_if(good & (F.col("odds_ratio") >= t)).alias(f"or_count_{t}") for t in THRESHOLDS), F.coalesce(F.avg(log), F.lit(0.0)).alias("or_log_mean"), pct.alias("_p"))
+    return g.select("mesh", "gene", *more, *(f"or_count_{t}" for t in THRESHOLDS), "or_log_mean", *(F.coalesce(F.get("_p", F.lit(i)), F.lit(0.0)).alias(f"or_percentile_{p}") for i, p in enumerate(PERCENTILES)))
 
 
 def odds_scores(pairs: DataFrame, odds: DataFrame, *features: str) -> DataFrame:
-    """(method, mesh, gene, score) of odds-ratio features: counts above 0; logs where any ratio is positive.
+    """(method, mesh, gene, y, score) of odds-ratio features of the pairs: counts above 0; logs where any ratio is positive.
 
     A name of neither kind gives no rows; a threshold or percentile that isn't kept is a KeyError.
     """
@@ -96,10 +103,10 @@ def odds_scores(pairs: DataFrame, odds: DataFrame, *features: str) -> DataFrame:
     for f in features:
         if f not in known and f.startswith(("or_count_", "or_percentile_")):
             raise KeyError(f)
-    s = odds_stats(odds.join(pairs.select("mesh", "gene"), ["mesh", "gene"], "left_semi"))
+    s = odds_stats(odds.join(pairs.select("mesh", "gene", "y"), ["mesh", "gene"]), "y")
     cell = lambda f: F.struct(F.lit(f).alias("method"), F.when(F.col(f if f.startswith("or_count_") else "or_count_0") > 0, F.col(f).cast("double")).alias("score"))
     cells = [cell(f) for f in features if f in known] or [F.struct(F.lit("").alias("method"), F.lit(None).cast("double").alias("score"))]
-    return s.select("mesh", "gene", F.explode(F.array(*cells)).alias("m")).select("m.method", "mesh", "gene", "m.score").where("score is not null")
+    return s.select("mesh", "gene", "y", F.explode(F.array(*cells)).alias("m")).select("m.method", "mesh", "gene", "y", "m.score").where("score is not null")
 
 
 def run_feature_methods(gold: DataFrame, evidence: DataFrame, odds: DataFrame, methods: dict[str, list[str]] | None = None, odds_features: tuple[str, ...] = ("or_count_0", "or_log_mean")) -> tuple[DataFrame, DataFrame]:
@@ -108,8 +115,8 @@ def run_feature_methods(gold: DataFrame, evidence: DataFrame, odds: DataFrame, m
 
     methods = methods or {f: f.split("+") for f in ("gold", *FEATURES, "sort_score")}
     pairs = pair_table(gold, evidence, tuple(f for fs in methods.values() for f in fs))
-    out = method_scores(pairs, methods).drop("y").unionByName(odds_scores(pairs, odds, *odds_features))
-    return out, mean_ap_recall(out, co_paper_gold(gold, evidence))
+    out = method_scores(pairs, methods).unionByName(odds_scores(pairs, odds, *odds_features))
+    return out.drop("y"), mean_ap_recall(out, co_paper_gold(gold, evidence))
 
 
 def min_max(df: DataFrame, columns: list[str], *by: str) -> DataFrame:
@@ -129,15 +136,18 @@ def feature_matrix(gold: DataFrame, evidence: DataFrame, odds: DataFrame, vector
 
     pos counts a disease's genes with the gold ones first.
     """
+    return matrix_of(pair_table(gold, evidence, features), odds, vectors, dimension, features)
+
+
+def matrix_of(pairs: DataFrame, odds: DataFrame, vectors: DataFrame | None, dimension: int, features: tuple[str, ...] = FEATURES) -> DataFrame:
+    """The feature matrix of a pair table that has the features. Genes are counted among keys and numbers; vectors join after that."""
     names = [f"f{i}" for i in range(len(features) + 1)]
-    wide = pair_table(gold, evidence, features).select("mesh", "gene", "y", *(F.col(f"`f:{f}`").alias(n) for f, n in zip(features, names, strict=False)))
+    wide = pairs.select("mesh", "gene", "y", *(F.col(f"`f:{f}`").alias(n) for f, n in zip(features, names, strict=False)), gold_first().alias("pos"))
     d = wide.join(odds_stats(odds).select("mesh", "gene", F.col("or_count_0").cast("double").alias(names[-1])), ["mesh", "gene"], "left")
-    d = d.select("mesh", "gene", "y", *(F.coalesce(n, F.lit(0.0)).alias(n) for n in names))
+    d = min_max(d.select("mesh", "gene", "y", "pos", *(F.coalesce(n, F.lit(0.0)).alias(n) for n in names)), names, "mesh")
     zero = F.array_repeat(F.lit(0.0), dimension)
-    d = min_max(d, names, "mesh")
     d = d.join(vectors.select("mesh", "gene", "vector"), ["mesh", "gene"], "left") if vectors is not None else d.withColumn("vector", F.lit(None).cast("array<double>"))
-    x = F.concat(F.array(*names, *(f"{n}_scaled" for n in names)), F.coalesce("vector", zero))
-    return d.select("mesh", "gene", "y", gold_first().alias("pos"), x.alias("x"))
+    return d.select("mesh", "gene", "y", "pos", F.concat(F.array(*names, *(f"{n}_scaled" for n in names)), F.coalesce("vector", zero)).alias("x"))
 
 
 def gold_first() -> Column:

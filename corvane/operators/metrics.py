@@ -20,11 +20,12 @@ def average_precision(scored: DataFrame, *by: str) -> DataFrame:
 def mean_ap_recall(predicted: DataFrame, gold: DataFrame) -> DataFrame:
     """(method, mean_ap, recall) from predictions (method, mesh, gene, score) and gold (mesh, gene).
 
+    Predictions that carry their label y, as method_scores gives it, aren't joined with gold again.
     Only diseases in gold count; the mean is over those with a predicted gold gene, recall over all
     gold genes. Nothing to average or to recall gives null.
     """
     gold = gold.select("mesh", "gene").distinct()
-    marked = predicted.join(gold.withColumn("y", F.lit(1)), ["mesh", "gene"], "left").withColumn("y", F.coalesce("y", F.lit(0)))
+    marked = predicted if "y" in predicted.columns else predicted.join(gold.withColumn("y", F.lit(1)), ["mesh", "gene"], "left").withColumn("y", F.coalesce("y", F.lit(0)))
     # A disease outside of gold has no positives, so it counts in neither figure, but its method stays.
     got = average_precision(marked, "method", "mesh").groupBy("method").agg(F.avg(F.when(F.col("positives") > 0, F.col("ap"))).alias("mean_ap"), F.sum("positives").alias("found"))
     golds = gold.agg(F.count("*").alias("golds"))

@@ -69,10 +69,11 @@ def match(triplets: DataFrame) -> DataFrame:
 
 def counters(matched: DataFrame) -> DataFrame:
     """(dgp_id, mesh_name_to_matches, gene_name_to_matches, vid_name_matches) over the matching triplets."""
-    good = matched.where("is_match")
-    kind = lambda k, names: good.select("dgp_id", F.lit(k).alias("kind"), F.lit("").alias("id"), F.explode(names).alias("name"))
-    v = good.select("dgp_id", F.explode("vids").alias("id", "names")).select("dgp_id", F.lit("v").alias("kind"), "id", F.explode("names").alias("name"))
-    n = kind("m", "mesh_names").unionByName(kind("g", "gene_names")).unionByName(v).groupBy("dgp_id", "kind", "id", "name").count()
+    hit = lambda kind, i, name: F.struct(F.lit(kind).alias("kind"), i.alias("id"), name.alias("name"))
+    plain = lambda kind, names: F.transform(names, lambda n: hit(kind, F.lit(""), n))
+    variants = F.flatten(F.transform(F.map_entries("vids"), lambda e: F.transform(e.value, lambda n: hit("v", e.key, n))))
+    each = matched.where("is_match").select("dgp_id", F.explode(F.concat(plain("m", F.col("mesh_names")), plain("g", F.col("gene_names")), variants)).alias("x"))
+    n = each.groupBy("dgp_id", "x.kind", "x.id", "x.name").count()
     by = n.groupBy("dgp_id", "kind", "id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "count")))).alias("names"))
     pick = lambda k: F.max_by("names", F.when(F.col("kind") == k, 1))
     entries = F.array_sort(F.collect_list(F.when(F.col("kind") == "v", F.struct("id", F.map_entries("names").alias("e")))))

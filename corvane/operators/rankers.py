@@ -6,52 +6,85 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.session import keep
+
 
 def ridge_loo(matrix: DataFrame, alpha: float = 1.0, column: str = "vector") -> DataFrame:
     """(mesh, gene, score) from (mesh, gene, y, vector): each disease is scored by a ridge fitted on all others.
 
-    With an intercept that isn't penalized. The fit needs n, sums and products only: they are summed
-    in each partition, then over all; a disease's own are subtracted before its system is solved.
-    Nothing larger than d x d numbers reaches the driver, and the data is read twice, not once a fold.
+    With an intercept that isn't penalized. The fit needs sums of products only. Each partition adds
+    up a packed d x d block a disease, blocks are added by disease, and then over all diseases; a
+    disease's own are subtracted before its system is solved. Its coefficients, d numbers, are joined
+    to its rows and applied in the JVM, so a large disease is spread over tasks, and the data is read
+    twice, not once a fold.
     """
+    kinds = dict(matrix.dtypes)
     data = matrix.select("mesh", "gene", F.col("y").cast("double").alias("y"), F.transform(column, lambda x: x.cast("double")).alias("x"))
-
-    def moments(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    packed = f"mesh {kinds['mesh']}, m binary"
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[object, np.ndarray] = {}
+        for batch in batches:
+            mesh, y, x = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2)
+            a = np.column_stack([np.ones(len(mesh)), x.flatten().to_numpy(zero_copy_only=False).reshape(len(mesh), -1), y])
+            for k in dict.fromkeys(mesh):
+                own = a[[i for i, v in enumerate(mesh) if v == k]]
+                sums[k] = sums[k] + own.T @ own if k in sums else own.T @ own
+            if len(sums) * a.shape[1] ** 2 * 8 > 1 << 27:  # what is held stays below 128 MB and one block
+                yield _blocks(sums, batch.schema.field("mesh").type)
+                sums = {}
+        if sums:
+            yield _blocks(sums, batch.schema.field("mesh").type)
+
+    def added(t: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(m) for m in t.column("m").to_pylist())
+        return pa.table({"mesh": t.column("mesh").slice(0, 1), "m": pa.array([total.tobytes()], pa.binary())})
+
+    def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
-        for pdf in rows:
-            if len(pdf):
-                m = _moments(pdf)
-                total = m if total is None else total + m
+        for batch in batches:
+            for m in batch.column(0).to_pylist():
+                total = np.frombuffer(m).copy() if total is None else total + np.frombuffer(m)
         if total is not None:
-            yield pd.DataFrame({"m": [total.ravel().tolist()]})
-
-    parts = [np.array(r[0]) for r in data.select("x", "y").mapInPandas(moments, "m array<double>").select(F.posexplode("m").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s.v)).collect()]
-    side = int(round(len(parts[0]) ** 0.5)) if parts and len(parts[0]) else 0
-    total = parts[0].reshape(side, side) if side else np.zeros((0, 0))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rest = total - _moments(pdf)
-        n = rest[0, 0]
-        if n < 0.5:
-            return pd.DataFrame({"mesh": pdf.mesh, "gene": pdf.gene, "score": 0.0})
-        mean = rest[0, 1:] / n
-        cov = rest[1:, 1:] - n * np.outer(mean, mean)
-        d = len(mean) - 1
-        b = np.linalg.solve(cov[:d, :d] + alpha * np.eye(d), cov[:d, d])
-        x = np.array(pdf.x.tolist()).reshape(len(pdf), d)
-        return pd.DataFrame({"mesh": pdf.mesh, "gene": pdf.gene, "score": mean[d] + (x - mean[:d]) @ b})
-
-    kinds = dict(data.dtypes)
-    return data.groupBy("mesh").applyInPandas(fold, f"mesh {kinds['mesh']}, gene {kinds['gene']}, score double")
-
-
-def _moments(pdf: pd.DataFrame) -> np.ndarray:
-    """Products of (1, x, y) with themselves, summed."""
-    a = np.column_stack([np.ones(len(pdf)), np.array(pdf.x.tolist()).reshape(len(pdf), -1), pdf.y.to_numpy()])
-    return a.T @ a
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["mesh", "m"])
+
+    own = keep(data.select("mesh", "y", "x").mapInArrow(partial, packed).groupBy("mesh").applyInArrow(added, packed), "moments")
+    whole = keep(own.select("m").mapInArrow(all_of, "mesh int, m binary").groupBy("mesh").applyInArrow(added, "mesh int, m binary"), "moments")
+
+    def solved(t: pa.Table) -> pa.Table:
+        mesh, base, slope = t.column("mesh"), [], []
+        for m, all_ in zip(t.column("m").to_pylist(), t.column("w").to_pylist(), strict=True):
+            rest = np.frombuffer(all_) - np.frombuffer(m)
+            rest = rest.reshape(int(round(len(rest) ** 0.5)), -1)
+            n, d = rest[0, 0], len(rest) - 2
+            if n < 0.5:
+                base.append(0.0)
+                slope.append([0.0] * d)
+                continue
+            mean = rest[0, 1:] / n
+            cov = rest[1:, 1:] - n * np.outer(mean, mean)
+            b = np.linalg.solve(cov[:d, :d] + alpha * np.eye(d), cov[:d, d])
+            base.append(float(mean[d] - mean[:d] @ b))
+            slope.append(b.tolist())
+        return pa.table({"mesh": mesh, "base": pa.array(base, pa.float64()), "slope": pa.array(slope, pa.list_(pa.float64()))})
+
+    def folds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield from solved(pa.Table.from_batches([batch.slice(i, 1)])).to_batches()
+
+    both = own.join(F.broadcast(whole.select(F.col("m").alias("w"))))  # one row, d x d numbers
+    fit = keep(both.select("mesh", "m", "w").mapInArrow(folds, f"mesh {kinds['mesh']}, base double, slope array<double>"), "folds")
+    dot = F.aggregate(F.zip_with("x", "slope", lambda x, b: x * b), F.col("base"), lambda a, x: a + x)
+    return data.join(fit.withColumnRenamed("mesh", "_mesh"), F.col("mesh").eqNullSafe(F.col("_mesh"))).select("mesh", "gene", dot.alias("score"))
+
+
+def _blocks(sums: dict[object, np.ndarray], kind: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(sums), kind), pa.array([m.tobytes() for m in sums.values()], pa.binary())], ["mesh", "m"])
 
 
 class Tree:

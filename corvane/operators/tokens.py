@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.session import keep
 
 SUPPORT = 50
 TENTHS = tuple(range(1, 10))
@@ -16,6 +17,17 @@ def token_triplets(triplets: DataFrame) -> DataFrame:
     return triplets.withColumn("tokens", T.stems()(F.concat_ws(" ", "h", "r", "t"), F.col("names")))
 
 
+def stemmed_pair_scores(triplets: DataFrame, least: int = 3) -> DataFrame:
+    """(mesh, gene, token, score) as pair_scores(token_triplets(triplets)) gives it, each distinct word stemmed once.
+
+    Words are split, filtered and counted by pair in the JVM; only the vocabulary goes to the stemmer.
+    """
+    words = F.filter(T.word_list(F.concat_ws(" ", "h", "r", "t")), lambda w: (F.length(w) >= least) & ~F.array_contains(F.coalesce("names", F.array().cast("array<string>")), w))
+    n = keep(triplets.select("mesh", "gene", F.explode(words).alias("word")).groupBy("mesh", "gene", "word").agg(F.count("*").alias("score")), "words")
+    stems = n.select("word").distinct().withColumn("token", T.stemmed(F.col("word")))
+    return n.join(stems, "word").groupBy("mesh", "gene", "token").agg(F.sum("score").alias("score"))
+
+
 def pair_scores(tokenized: DataFrame) -> tuple[DataFrame, DataFrame]:
     """scores (mesh, gene, token, score) and all pairs (mesh, gene), those without tokens too."""
     scores = tokenized.select("mesh", "gene", F.explode("tokens").alias("token")).groupBy("mesh", "gene", "token").agg(F.count("*").alias("score"))
@@ -73,10 +85,11 @@ def run_token_methods(scores: DataFrame, stats: DataFrame, curation: DataFrame |
 
 
 def token_evidence(tokenized: DataFrame, gold: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(token, label, mesh, gene, pmid, h, r, t): a row an occurrence of a token, in diseases with gold genes."""
+    """(token, label, mesh, gene, pmid, h, r, t): a row an occurrence of a token, in diseases with gold genes; with its rank, if tokens has one."""
+    rank = [c for c in ("rank",) if c in tokens.columns]
     d = tokenized.join(gold.select("mesh").distinct(), "mesh", "left_semi").select("pmid", "mesh", "gene", "h", "r", "t", F.explode("tokens").alias("token"))
-    d = d.join(tokens.select("token").distinct(), "token", "left_semi").join(gold.select("mesh", "gene").distinct().withColumn("y", F.lit(1)), ["mesh", "gene"], "left")
-    return d.select("token", F.coalesce("y", F.lit(0)).alias("label"), "mesh", "gene", "pmid", "h", "r", "t")
+    d = d.join(tokens.select("token", *rank).distinct(), "token").join(gold.select("mesh", "gene").distinct().withColumn("y", F.lit(1)), ["mesh", "gene"], "left")
+    return d.select("token", F.coalesce("y", F.lit(0)).alias("label"), "mesh", "gene", "pmid", "h", "r", "t", *rank)
 
 
 def nested_evidence(evidence: DataFrame, stats: DataFrame) -> DataFrame:

@@ -8,29 +8,14 @@ Floats are rounded on both sides, since sums run in another order.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.operators import asking, curation, embed, evidence, metrics, ore, rankers, tokens
+from corvane.plans.registry import QUERIES, SQL, query
 from corvane.session import keep, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 # ---- the evidence analogue -------------------------------------------------------------------
 
 
@@ -115,10 +100,10 @@ def q_multi_method_map(spark: SparkSession, sf: str) -> DataFrame:
     """How well does each kind of evidence rank the gold genes of a disease? All methods in one plan."""
     f = _facts(spark, sf)
     gold, e = _gold_of(f), _evidence_of(f)
-    pairs = keep(evidence.pair_table(gold, e, tuple(x for fs in METHODS.values() for x in fs)), "pairs")
+    pairs = keep(evidence.wide_pairs(f, tuple(x for fs in METHODS.values() for x in fs)), "pairs")
     odds = evidence.odds_scores(pairs, _odds(spark, sf), "or_count_0", "or_log_mean")
     logs = F.when(F.col("method") == "or_log_mean", F.round("score", 9)).otherwise(F.col("score"))
-    out = evidence.method_scores(pairs, METHODS).drop("y").unionByName(odds.withColumn("score", logs))
+    out = evidence.method_scores(pairs, METHODS).unionByName(odds.withColumn("score", logs))
     m = metrics.mean_ap_recall(out, evidence.co_paper_gold(gold, e))
     return m.select("method", F.round("mean_ap", 6).alias("mean_ap"), F.round("recall", 6).alias("recall"))
 
@@ -151,7 +136,8 @@ s AS (SELECT mesh, gene, y, feature, v, (v - min(v) OVER w) / CASE WHEN max(v) O
 SELECT mesh, gene, y, pos::INTEGER AS pos, feature, round(v, 8) AS value, round(sc, 8) AS scaled FROM s WHERE pos <= 10000""")
 def q_feature_matrix_cap(spark: SparkSession, sf: str) -> DataFrame:
     f = _facts(spark, sf)
-    m = evidence.capped(evidence.feature_matrix(_gold_of(f), _evidence_of(f), _odds(spark, sf), None, 0))
+    absent = [F.lit(None).cast("double").alias(x) for x in evidence.FEATURES if x not in f.columns]
+    m = evidence.capped(evidence.matrix_of(evidence.wide_pairs(f.select("*", *absent), evidence.FEATURES), _odds(spark, sf), None, 0))
     n = len(evidence.FEATURES) + 1
     names = F.array(*(F.lit(x) for x in (*evidence.FEATURES, "or_count_0")))
     cells = m.select("mesh", "gene", "y", "pos", F.explode(F.transform(names, lambda x, i: F.struct(x.alias("feature"), F.get("x", i).alias("value"), F.get("x", i + n).alias("scaled")))).alias("c"))
@@ -217,8 +203,8 @@ def q_top_token_restrict(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {TK} SELECT tok.token, CASE WHEN g.gene IS NULL THEN 0 ELSE 1 END AS label, tok.mesh, tok.gene, pmid, count(*) AS occurrences FROM tok SEMI JOIN ts USING (token) LEFT JOIN tg g ON tok.mesh = g.mesh AND tok.gene = g.gene WHERE tok.mesh IN (SELECT mesh FROM tg) GROUP BY 1, 2, 3, 4, 5")
 def q_token_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    rows, gold = _token_rows(spark, sf), _token_gold(spark, sf)
-    e = tokens.token_evidence(rows.withColumn("h", F.lit("")), gold, tokens.token_stats(tokens.pair_scores(rows)[0], gold))
+    rows, gold = keep(_token_rows(spark, sf).withColumn("h", F.lit("")), "tokens"), _token_gold(spark, sf)  # split once for statistics and evidence
+    e = tokens.token_evidence(rows, gold, tokens.token_stats(tokens.pair_scores(rows)[0], gold))
     return e.groupBy("token", "label", "mesh", "gene", "pmid").agg(F.count("*").alias("occurrences"))
 
 
@@ -234,7 +220,7 @@ def q_stratified_sample(spark: SparkSession, sf: str) -> DataFrame:
 def q_stem_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """Stemmed words of all documents by pair; there is no stemmer in SQL, so tests hold it against the published examples."""
     d = _token_rows(spark, sf).drop("tokens").withColumn("names", F.array(F.lit("the")))
-    return tokens.pair_scores(tokens.token_triplets(d))[0]
+    return tokens.stemmed_pair_scores(d)
 
 
 # ---- the embedding analogue ------------------------------------------------------------------
@@ -371,7 +357,7 @@ def q_match_triplets(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {MT}, g AS (SELECT * FROM m WHERE mh AND (gh OR vh)) SELECT dgp_id, 'disease' AS kind, word AS name, count(*) AS matches FROM g GROUP BY 1, 3 UNION ALL SELECT dgp_id, 'gene', gene, count(*) FROM g WHERE gh GROUP BY 1, 3 UNION ALL SELECT dgp_id, 'variant', name, count(*) FROM g WHERE vh GROUP BY 1, 3")
 def q_match_counters(spark: SparkSession, sf: str) -> DataFrame:
-    c = ore.counters(_matched(spark, sf)[1])
+    c = keep(ore.counters(_matched(spark, sf)[1]), "counters")
     flat = lambda kind, m: c.select("dgp_id", F.lit(kind).alias("kind"), F.explode(m).alias("name", "matches"))
     v = c.select("dgp_id", F.explode("vid_name_matches").alias("vid", "names")).select("dgp_id", F.lit("variant").alias("kind"), F.explode("names").alias("name", "matches"))
     return flat("disease", "mesh_name_to_matches").unionByName(flat("gene", "gene_name_to_matches")).unionByName(v)
@@ -441,17 +427,17 @@ def _ridge(spark: SparkSession, sf: str, dimension: int) -> DataFrame:
 
 
 @query()
-def q_ridge_loo_8d(spark: SparkSession, sf: str) -> DataFrame:
-    """Tests hold it against a fit per fold."""
-    return _ridge(spark, sf, 8).withColumn("score", F.round("score", 8))
+def q_ridge_loo(spark: SparkSession, sf: str) -> DataFrame:
+    """Over whole vectors; tests hold it against a fit per fold."""
+    return _ridge(spark, sf, 64).withColumn("score", F.round("score", 8))
 
 
 @query()
 def q_lambdamart_loo(spark: SparkSession, sf: str) -> DataFrame:
-    """Tests hold its mean average precision against single features."""
-    v = table(spark, sf, "embeddings").select(F.col("label").alias("mesh"), F.col("vec_id").alias("gene"), (F.col("vec_id") % 4 == 0).cast("int").alias("y"), F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("x"))
+    """Over whole vectors; tests hold its mean average precision against single features."""
+    v = table(spark, sf, "embeddings").select(F.col("label").alias("mesh"), F.col("vec_id").alias("gene"), (F.col("vec_id") % 4 == 0).cast("int").alias("y"), F.transform("embedding", lambda x: x.cast("double")).alias("x"))
     m = v.withColumn("pos", F.row_number().over(Window.partitionBy("mesh").orderBy(F.desc("y"), "gene")))
-    return rankers.lambdamart_loo(m, trees=20, leaves=8)
+    return rankers.lambdamart_loo(m)
 
 
 @query()
@@ -468,3 +454,6 @@ def q_event_windows(spark: SparkSession, sf: str) -> DataFrame:
 
     d = event_counts(table(spark, sf, "events"))
     return d.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
+
+
+from corvane.plans import records  # noqa: E402, F401  registers the queries of sources, sinks and services

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane import schemas
+from corvane.session import keep
 
 
 def json_objects(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -13,9 +14,16 @@ def json_objects(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def numbered(spark: SparkSession, path: str, first: int = 1, name: str = "line_no") -> DataFrame:
-    """(name, value): the lines of a text file in order. The number needs the sizes of all earlier partitions, which only the RDD counts."""
-    lines = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1] + first, x[0][0]))
-    return lines.toDF(f"{name} bigint, value string")
+    """(name, value): the lines of text files in order, the files by their paths.
+
+    A line's place is its split's, by file and offset, and its place within the split. The splits are
+    counted first, a row a task; their prefix sums are sent to the second scan, which has the same splits.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_n"))
+    splits = lines.groupBy("_f", "_b").agg(F.min("_n").alias("_at"), F.count("*").alias("_c"))
+    before = F.sum("_c").over(Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1))  # over splits, not lines
+    base = keep(splits.select("_f", "_b", (F.coalesce(before, F.lit(0)) - F.col("_at") + first).alias("_base")), "splits")
+    return lines.join(F.broadcast(base), ["_f", "_b"]).select((F.col("_n") + F.col("_base")).alias(name), "value")
 
 
 def numbered_objects(spark: SparkSession, path: str, schema: str, first: int = 1, name: str = "dgp_id") -> DataFrame:

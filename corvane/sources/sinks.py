@@ -54,6 +54,7 @@ def append_csv(df: DataFrame, path: str) -> None:
 
 def class_tree(samples: DataFrame, path: str) -> None:
     """samples of classes (operators.curation.class_samples), as full and concise CSV below main and sub class."""
+    # The headings of the class files.
     cls = [F.concat_ws(" ", F.col("main_id").cast("string"), "main_name").alias("main"), F.concat_ws(" ", F.concat_ws(".", F.col("main_id").cast("string"), F.col("sub_id").cast("string")), "sub_name").alias("sub")]
     full = [F.col("token").alias("key token"), F.col("explanation").alias("key semantics"), F.col("label").alias("pair-in-clinvar"), F.col("mesh").alias("disease"), "gene", F.col("pmid").alias("PMID"), "triplet"]
     for name, columns in (("full", full), ("concise", [F.col("explanation").alias("key semantics"), F.col("pmid").alias("PMID"), "triplet"])):
