@@ -16,15 +16,23 @@ def output_stream(spark: SparkSession, folder: str, files: int = 100) -> DataFra
 
 
 def matched_triplets(stream: DataFrame, papers: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Parses and matches each batch and writes it under its batch number, so a repeated batch replaces itself."""
+    """Parses and matches each batch and writes it under its batch number, so a repeated batch replaces itself; latest() reads it."""
 
     def batch(df: DataFrame, number: int) -> None:
-        got = ore.match(ore.facts(ore.parse(ore.raw(papers, df))))
-        got.select("dgp_id", "head_pos", "head", "choice", "pos", "h", "r", "t", "mesh_names", "gene_names", "is_match").write.mode("overwrite").parquet(f"{target}/batch={number}")
+        rows = ore.raw(papers, df)
+        got = ore.match(ore.facts(ore.parse(rows)))
+        got.select("dgp_id", "head_pos", "head", "choice", "pos", "h", "r", "t", "mesh_names", "gene_names", "is_match").write.mode("overwrite").parquet(f"{target}/triplets/batch={number}")
+        rows.select("dgp_id", F.explode("heads.head").alias("head")).write.mode("overwrite").parquet(f"{target}/heads/batch={number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def latest(spark: SparkSession, target: str) -> DataFrame:
+    """The triplets as they stand: of a (dgp_id, head) that came in several batches those of the last, also if it had none."""
+    last = spark.read.parquet(f"{target}/heads").groupBy("dgp_id", "head").agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{target}/triplets").join(last, ["dgp_id", "head", "batch"], "left_semi").drop("batch")
+
+
 def event_counts(events: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
     """Windowed counts and sums of an event stream, late rows dropped by watermark."""
     w = F.window("ts", size)

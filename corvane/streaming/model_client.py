@@ -1,19 +1,24 @@
-"""Calling a model service from Spark: quota, retries, resumption.
+"""Calling a model service from Spark: quota, concurrency, retries, a durable log, resumption.
 
-A client has complete(prompt, n) -> (texts, tokens) and embed(text) -> vector. Tasks share the quota
-by static division over partitions; each partition admits requests while its minute's share lasts.
+A client has complete(prompt, n) -> texts and embed(text) -> vector. The rows are dealt over so few
+partitions that each one's share of the quota still admits large requests; a partition admits
+requests while its minute's share lasts and has several of them in flight, its results in the order
+of its rows. logged() writes what is done batch by batch, so a lost job costs one batch of calls.
 """
 
 from __future__ import annotations
 
 import heapq
+import threading
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import Future, ThreadPoolExecutor
 from datetime import datetime
 from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from corvane.functions.text import count_pieces
 
@@ -47,32 +52,37 @@ class Recorded:
 
 
 class Quota:
-    """Requests and tokens a minute: taken on admission, corrected on completion, given back a minute after that."""
+    """Requests and tokens a minute: taken on admission, corrected on completion, given back a minute after that. Threads may share it."""
 
     def __init__(self, requests: int, tokens: int, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> None:
         self.most, self.requests, self.tokens = tokens, requests, tokens
-        self.clock, self.sleep = clock, sleep
+        self.clock, self.sleep, self.lock = clock, sleep, threading.Lock()
         self.back: list[tuple[float, int]] = []
 
-    def _release(self) -> None:
-        while self.back and self.back[0][0] + WINDOW_S <= self.clock():
-            _, cost = heapq.heappop(self.back)
-            self.requests += 1
-            self.tokens += cost
+    def _taken(self, cost: int) -> float | None:
+        """None if the request is admitted, else how long to wait before trying again."""
+        with self.lock:
+            while self.back and self.back[0][0] + WINDOW_S <= self.clock():
+                _, given = heapq.heappop(self.back)
+                self.requests += 1
+                self.tokens += given
+            if self.requests >= 1 and self.tokens >= cost:
+                self.requests -= 1
+                self.tokens -= cost
+                return None
+            # Requests in flight may free tokens before the oldest minute ends.
+            return min(1.0, max(0.01, self.back[0][0] + WINDOW_S - self.clock())) if self.back else 0.05
 
     def admit(self, cost: int) -> None:
         if cost > self.most:
             raise ValueError(f"a request of {cost} tokens never fits a quota of {self.most}")
-        self._release()
-        while self.requests < 1 or self.tokens < cost:
-            self.sleep(max(0.01, self.back[0][0] + WINDOW_S - self.clock()) if self.back else 1.0)
-            self._release()
-        self.requests -= 1
-        self.tokens -= cost
+        while (wait := self._taken(cost)) is not None:
+            self.sleep(wait)
 
     def done(self, cost: int, spent: int) -> None:
-        self.tokens += cost - spent
-        heapq.heappush(self.back, (self.clock(), spent))
+        with self.lock:
+            self.tokens += cost - spent
+            heapq.heappush(self.back, (self.clock(), spent))
 
 
 def called(f: Callable[[], object], runs: int) -> tuple[object, int, str | None]:
@@ -90,52 +100,105 @@ def _stamp() -> str:
     return datetime.now().isoformat()
 
 
-def completions(prompts: DataFrame, client: Callable[[], ModelClient], n: int = 3, requests: int = 3000, tokens: int = 250_000, runs: int = 10, column: str = "prompt", counter: Callable[[str], int] = count_pieces) -> DataFrame:
+def _dealt(rows: DataFrame, requests: int, tokens: int, partitions: int) -> tuple[DataFrame, tuple[int, int]]:
+    """The rows over at most so many partitions, and a partition's share: 10,000 tokens and one request a minute at least, so shares never add up to more than the quota."""
+    parts = max(1, min(partitions, requests, tokens // 10_000))
+    return rows.repartition(parts), (requests // parts, tokens // parts)
+
+
+def pumped(costs: list[int], call: Callable[[int], tuple[object, int]], quota: Quota, in_flight: int) -> list[object]:
+    """call(i) -> (result, tokens spent) for every i, so many at a time, each once the quota admits its cost; results in order.
+
+    What never fits the quota gives its error instead of a result.
+    """
+    open_, out = threading.Semaphore(in_flight), []
+
+    def run(i: int, cost: int) -> object:
+        spent = cost
+        try:
+            result, spent = call(i)
+            return result
+        finally:
+            quota.done(cost, spent)
+            open_.release()
+
+    with ThreadPoolExecutor(in_flight) as pool:
+        for i, cost in enumerate(costs):
+            open_.acquire()
+            try:
+                quota.admit(cost)
+            except ValueError as e:
+                open_.release()
+                out.append(e)
+                continue
+            out.append(pool.submit(run, i, cost))
+        return [x.result() if isinstance(x, Future) else x for x in out]
+
+
+def completions(prompts: DataFrame, client: Callable[[], ModelClient], n: int = 3, requests: int = 3000, tokens: int = 250_000, runs: int = 10, column: str = "prompt", counter: Callable[[str], int] = count_pieces, partitions: int = 16, in_flight: int = 16) -> DataFrame:
     """prompts and text_out_list, request_start_time, request_end_time, in_tokens, out_tokens, runs, error.
 
-    A request counts twice its prompt until its answers are known. What fails in all runs keeps a
-    row with its error instead of vanishing; resumption drops such rows from what is done.
+    A request counts twice its prompt until its answers are known. What fails in all runs, or is too
+    large for the quota, keeps a row with its error instead of vanishing; resumption drops such rows
+    from what is done.
     """
-    parts = max(1, prompts.rdd.getNumPartitions())
-    share = (max(1, requests // parts), max(1, tokens // parts))
+    dealt, share = _dealt(prompts, requests, tokens, partitions)
     more = "text_out_list array<string>, request_start_time string, request_end_time string, in_tokens bigint, out_tokens bigint, runs bigint, error string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         service, quota = client(), Quota(*share)
         for pdf in batches:
-            out = []
-            for prompt in pdf[column]:
-                cost = counter(prompt)
-                quota.admit(2 * cost)
+            asked = pdf[column].tolist()
+            costs = [counter(p) for p in asked]
+
+            def ask(i: int, asked=asked, costs=costs) -> tuple[tuple, int]:
                 start = _stamp()
-                texts, times, error = called(lambda p=prompt: service.complete(p, n), runs)
+                texts, times, error = called(lambda: service.complete(asked[i], n), runs)
                 spent = sum(map(counter, texts or ()))
-                quota.done(2 * cost, cost + spent)
-                out.append((texts, start, _stamp(), cost, spent, times, error))
+                return (texts, start, _stamp(), costs[i], spent, times, error), costs[i] + spent
+
+            got = pumped([2 * c for c in costs], ask, quota, in_flight)
+            out = [(None, None, None, c, 0, 0, f"ValueError: {x}") if isinstance(x, ValueError) else x for x, c in zip(got, costs, strict=True)]
             yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(out, columns=[c.split()[0] for c in more.split(", ")])], axis=1)
 
     own = ", ".join(f"`{c}` {t}" for c, t in prompts.dtypes)
-    return prompts.mapInPandas(run, f"{own}, {more}")
+    return dealt.mapInPandas(run, f"{own}, {more}")
 
 
-def embeddings(texts: DataFrame, client: Callable[[], ModelClient], requests: int = 3000, tokens: int = 1_000_000, runs: int = 10, counter: Callable[[str], int] = count_pieces) -> DataFrame:
+def embeddings(texts: DataFrame, client: Callable[[], ModelClient], requests: int = 3000, tokens: int = 1_000_000, runs: int = 10, counter: Callable[[str], int] = count_pieces, partitions: int = 16, in_flight: int = 16) -> DataFrame:
     """(text_id, text) with embedding, tokens, runs, error; the id is the text's own, so the order of completion is of no matter."""
-    parts = max(1, texts.rdd.getNumPartitions())
-    share = (max(1, requests // parts), max(1, tokens // parts))
+    dealt, share = _dealt(texts.select("text_id", "text"), requests, tokens, partitions)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         service, quota = client(), Quota(*share)
         for pdf in batches:
-            out = []
-            for text in pdf.text:
-                cost = counter(text)
-                quota.admit(cost)
-                vector, times, error = called(lambda t=text: service.embed(t), runs)
-                quota.done(cost, cost)
-                out.append((vector, cost, times, error))
+            asked = pdf.text.tolist()
+            costs = [counter(t) for t in asked]
+
+            def ask(i: int, asked=asked, costs=costs) -> tuple[tuple, int]:
+                vector, times, error = called(lambda: service.embed(asked[i]), runs)
+                return (vector, costs[i], times, error), costs[i]
+
+            got = pumped(costs, ask, quota, in_flight)
+            out = [(None, c, 0, f"ValueError: {x}") if isinstance(x, ValueError) else x for x, c in zip(got, costs, strict=True)]
             yield pd.concat([pdf[["text_id", "text"]].reset_index(drop=True), pd.DataFrame(out, columns=["embedding", "tokens", "runs", "error"])], axis=1)
 
-    return texts.select("text_id", "text").mapInPandas(run, "text_id bigint, text string, embedding array<double>, tokens bigint, runs bigint, error string")
+    return dealt.mapInPandas(run, "text_id bigint, text string, embedding array<double>, tokens bigint, runs bigint, error string")
+
+
+def logged(todo: DataFrame, key: list[str], call: Callable[[DataFrame], DataFrame], path: str, batches: int = 100) -> None:
+    """Runs call over todo in so many batches by a hash of the key, each appended to the JSON log as it ends; what the log has is not asked again.
+
+    A job that dies loses the batch it was in. Run again with the same number of batches or another, it goes on.
+    """
+    spark = todo.sparkSession
+    for k in range(batches):
+        part = todo.where(F.pmod(F.xxhash64(*key), F.lit(batches)) == k)
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            shape = ", ".join(f"`{c}` {t}" for c, t in todo.select(*key).dtypes)
+            part = remaining(part, spark.read.schema(f"{shape}, error string").json(path), *key)
+        call(part).write.mode("append").option("ignoreNullFields", False).json(path)
 
 
 def remaining(todo: DataFrame, log: DataFrame | None, *key: str) -> DataFrame:

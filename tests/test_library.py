@@ -4,6 +4,8 @@ import difflib
 import json
 import random
 import struct
+import threading
+import time
 
 import numpy as np
 import pytest
@@ -375,11 +377,54 @@ def test_quota_and_retries(spark):
     assert rows(model_client.embeddings(texts, lambda: model_client.Recorded({}, {"t": [1.0]})))[0]["embedding"] == [1.0]
 
 
+def test_requests_in_flight():
+    """Several at a time, in order, never above the quota; one too large for it gives its error."""
+    lock, open_, most = threading.Lock(), [0], [0]
+
+    def call(i):
+        with lock:
+            open_[0] += 1
+            most[0] = max(most[0], open_[0])
+        time.sleep(0.02)
+        with lock:
+            open_[0] -= 1
+        return i * 10, 1
+
+    got = model_client.pumped([1, 1, 99, *[1] * 20], call, model_client.Quota(100, 50), 4)
+    assert [x for i, x in enumerate(got) if i != 2] == [i * 10 for i in range(23) if i != 2] and isinstance(got[2], ValueError) and 1 < most[0] <= 4
+
+
+def test_log_resumes(spark, tmp_path):
+    todo = spark.createDataFrame([(i, f"p{i}") for i in range(20)], "dgp_id int, prompt string")
+    path = str(tmp_path / "log")
+
+    def call(df):
+        return df.withColumn("error", F.when(F.col("dgp_id") % 5 == 0, "failed"))
+
+    model_client.logged(todo.where("dgp_id < 10"), ["dgp_id"], call, path, 3)
+    model_client.logged(todo, ["dgp_id"], call, path, 4)
+    log = [(r["dgp_id"], r["error"]) for r in rows(spark.read.json(path))]
+    assert sorted(i for i, e in log if e is None) == [i for i in range(20) if i % 5] and sorted(i for i, e in log if e) == [0, 0, 5, 5, 10, 15]
+
+
+def test_words_of_the_jvm(spark):
+    """The column and the plain function split alike; words stemmed once count like words stemmed one by one."""
+    texts = ["It's a well-known fact: don't stop... 3.5% of U.S. -- naïve café's n't", "", None, "a_b 'll \u3000x\x1cy Ünïcode-Wört/eins", "CAN'T won't it 'S"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.w for r in d.select(T.word_list(F.col("t")).alias("w")).collect()] == [T.words(t or "") for t in texts]
+    tr = spark.createDataFrame([("D", "G", t, "causes", "running dogs", ["fact"]) for t in texts], "mesh string, gene string, h string, r string, t string, names array<string>")
+    want = sorted(map(tuple, tokens.pair_scores(tokens.token_triplets(tr))[0].collect()))
+    assert sorted(map(tuple, tokens.stemmed_pair_scores(tr).collect())) == want
+
+
 def test_streams(spark, tmp_path):
     src = tmp_path / "in"
     outputs(spark, *THREE).write.mode("append").json(str(src))
     incremental.matched_triplets(incremental.output_stream(spark, str(src)), paper(spark), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
-    assert spark.read.parquet(str(tmp_path / "out")).where("is_match").count() == 3
+    assert incremental.latest(spark, str(tmp_path / "out")).where("is_match").count() == 3
+    outputs(spark, "nothing", end="3").write.mode("append").json(str(src))  # a later output replaces an earlier batch's
+    incremental.matched_triplets(incremental.output_stream(spark, str(src)), paper(spark), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
+    assert incremental.latest(spark, str(tmp_path / "out")).count() == 0
     path = "/root/testdata/sf0.001/events.parquet"
     stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")
     q = incremental.event_counts(stream).writeStream.outputMode("complete").format("memory").queryName("counts").trigger(availableNow=True).start()
