@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from corvane.llm import chat, common, decontaminate, licenses, packing, quality, secrets, sharding, simhash, substring, urls
+from corvane.llm import chat, common, decontaminate, licenses, packing, quality, secrets, sharding, similar, simhash, substring, urls
 
 A = re.compile(r"[^\x20\x09-\x0D]+")
 B = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -61,7 +61,7 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], SHAPE)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     items = spark.createDataFrame([], "item_id long, text string")
-    for df in (substring.dedup(none), secrets.scan(none), secrets.redact(none), packing.pack(none), simhash.classes(none), simhash.first_of_each(none), quality.rules(none, labels), quality.kept_documents(none, labels), sharding.shards(none, 4), licenses.scan(none), decontaminate.judged(none, items), decontaminate.clean(none, items), urls.judged(spark.createDataFrame([], "page_id long, url string")), chat.read_back(chat.windows(spark.createDataFrame([], "conv_id long, turn long, role string, text string")))):
+    for df in (substring.dedup(none), secrets.scan(none), secrets.redact(none), packing.pack(none), simhash.classes(none), simhash.first_of_each(none), similar.near_classes(none), similar.first_of_near(none), quality.rules(none, labels), quality.kept_documents(none, labels), sharding.shards(none, 4), licenses.scan(none), decontaminate.judged(none, items), decontaminate.clean(none, items), urls.judged(spark.createDataFrame([], "page_id long, url string")), chat.read_back(chat.windows(spark.createDataFrame([], "conv_id long, turn long, role string, text string")))):
         assert df.count() == 0
 
 
@@ -222,6 +222,44 @@ def test_simhash(docs, rows, block, monkeypatch):
     assert sorted(r["doc_id"] for r in left if r["doc_id"] is not None) == sorted(least.values())
 
 
+@pytest.mark.parametrize("block, texts, set_bytes", [(3, 4, 1 << 26), (4096, 2048, 1 << 26), (4096, 2048, 3000)])
+def test_similar(spark, docs, rows, block, texts, set_bytes):
+    """Classes of texts alike by 0.8 or more, by brute force; edits of one to nine words in a hundred, appended and removed parts."""
+    r = random.Random(21)
+    vocab = [f"w{i}" for i in range(5000)]
+    more = []
+    for k in range(6):
+        base = [r.choice(vocab) for _ in range(120)]
+        for _ in range(14):
+            w = list(base)
+            for _ in range(r.randint(0, 9)):
+                w[r.randrange(len(w))] = r.choice(vocab)
+            more.append((1000 + len(more), " ".join(w[: r.choice([120, 120, 110, 97])] + [r.choice(vocab) for _ in range(r.choice([0, 0, 12, 25]))])))
+    all_ = rows + more
+    d = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    sets = [{tuple(w[p : p + 5]) for p in range(max(1, len(w) - 4))} for w in (A.findall(low(t or "")) for _, t in all_)]
+    root = list(range(len(all_)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(all_)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    classes = {}
+    for n, (i, t) in enumerate(all_):
+        classes.setdefault(find(n), []).append((str(i), zlib.crc32((t or "-").encode())))
+    got = {}
+    for x in d.withColumn("_th", F.xxhash64("text")).join(similar.near_classes(d, 5, 0.8, block, texts, set_bytes).select("component", F.col("text_hash").alias("_th")).distinct(), "_th").collect():
+        got.setdefault(x["component"], []).append((str(x["doc_id"]), zlib.crc32((x["text"] or "-").encode())))
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, classes.values()))
+    left = collected(similar.first_of_near(d)) if block == 4096 else []
+    assert not left or (len(left) == len(classes) and set(left[0]) == {"doc_id", "text"})
+
+
 def test_components(spark):
     r = random.Random(2)
     pairs = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(1000 + i, 1001 + i) for i in range(60)] + [(500, 600 + i) for i in range(50)]

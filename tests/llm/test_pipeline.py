@@ -4,7 +4,6 @@ import math
 import re
 
 import pytest
-import xxhash
 
 import corpus_pipeline
 from corvane.llm import common, quality, secrets
@@ -49,14 +48,14 @@ def good(rows, labels):
     return [r for r, (failed, s) in zip(rows, got) if not failed and not any(s[rule] > c for (lang, rule), c in cut.items() if lang == r[2])]
 
 
-def fingerprint(t):
+def shingled(t):
     w = A.findall(low(t or ""))
-    h = [xxhash.xxh64_intdigest(" ".join(w[p : p + 4]).encode(), 42) for p in range(max(1, len(w) - 3))] if w else []
-    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    return {tuple(w[p : p + 5]) for p in range(max(1, len(w) - 4))}
 
 
 def single(rows):
-    fps, root = [fingerprint(t) for _, t, _ in rows], list(range(len(rows)))
+    """One of each class of texts whose 5-word shingles are alike by 0.8 or more."""
+    sets, root = [shingled(t) for _, t, _ in rows], list(range(len(rows)))
 
     def find(x):
         while root[x] != x:
@@ -65,7 +64,7 @@ def single(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 4:
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
                 root[find(i)] = find(j)
     first = {}
     for n, r in enumerate(rows):
