@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from corvane.llm.common import arrow_batches, drop_at_exit, keep, shared_dir
+from corvane.llm.common import arrow_batches, drop_at_exit, keep, released, shared_dir
 
 _RNG = np.random.default_rng(13)
 _MULT = [_RNG.integers(0, 1 << 63, 512, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)]
@@ -223,7 +223,7 @@ def repeated_cells(packed: DataFrame, size: int, rows: int, slices: int, within:
         said = [squeezed(gaps(c[counts[c] > 1])) for c in cells]
         return pa.table({"part": t.column("part"), "grp": t.column("grp"), "data": pa.array(said, pa.binary())})
 
-    sent = packed.select("grp", "docs").mapInArrow(sketch, MESSAGE)
+    sent = packed.select("grp", "docs").mapInArrow(released(sketch), MESSAGE)
     back = sent.groupBy("part").applyInArrow(merge, MESSAGE)
     return keep(back.groupBy("grp").agg(F.collect_list(F.struct("part", "data")).alias("parts")), "cells")
 
@@ -298,7 +298,7 @@ def owned_elsewhere(packed: DataFrame, cells: DataFrame, size: int, rows: int, s
                 said.append(squeezed(gaps(places[order]), blocks_[order]))  # gaps wrap around where a block begins
         return pa.table({"grp": pa.array(groups, pa.int64()), "data": pa.array(said, pa.binary())})
 
-    sent = packed.join(cells, "grp", "left").select("grp", "no", "docs", "parts").mapInArrow(candidates, MESSAGE)
+    sent = packed.join(cells, "grp", "left").select("grp", "no", "docs", "parts").mapInArrow(released(candidates), MESSAGE)
     back = sent.groupBy("part").applyInArrow(decide, "grp long, data binary")
     return keep(back.groupBy("grp").agg(F.collect_list("data").alias("parts")), "owned")
 
@@ -352,4 +352,4 @@ def dedup(docs: DataFrame, size: int = 13, rows: int = 2, block_bytes: int = 1 <
 
     arrow_batches(docs.sparkSession)
     shape = "doc_id long, n_words long, n_removed long, kept string, removed array<struct<start: long, end: long>>"
-    return packed.join(owned, "grp", "left").select("no", "docs", "parts").mapInArrow(cut, shape)
+    return packed.join(owned, "grp", "left").select("no", "docs", "parts").mapInArrow(released(cut), shape)
