@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import atexit
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.session import keep, shared_dir, table
 
-__all__ = ["table", "keep", "shared_dir", "arrow_batches", "components", "join_by_class", "without", "LETTERS_UP", "LETTERS_LOW", "words_of", "once", "alnum_words_of"]
+__all__ = ["table", "keep", "shared_dir", "arrow_batches", "components", "join_by_class", "released", "without", "LETTERS_UP", "LETTERS_LOW", "words_of", "once", "alnum_words_of"]
 
 LETTERS_UP, LETTERS_LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -31,6 +32,21 @@ def arrow_batches(spark: SparkSession, rows: int = 2000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
+def released(run):
+    """run, a function over Arrow batches; when a task's rows end, memory that its worker no longer uses goes back to the system, for workers wait for more tasks."""
+
+    def released_(batches):
+        yield from run(batches)
+        import ctypes
+
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+        if trim:
+            trim(0)
+
+    return released_
+
+
 def once(column):
     """The column, evaluated once where it stands.
 
@@ -61,9 +77,14 @@ def join_by_class(rows: DataFrame, per: DataFrame, key: str, total: int) -> Data
 
     The rows of a heavy class stay where they are and meet their class by broadcast: at most
     1 / HEAVY rows of per, whatever the input. The others are joined by key, and no key among them
-    is heavy, so no task is.
+    is heavy, so no task is. per is written first, so that the plan has the first part only if there
+    are heavy classes.
     """
-    heavy = F.broadcast(per.where(F.col("_n") > total * HEAVY).drop("_n"))
+    per = keep(per, "per_class")
+    heavy = per.where(F.col("_n") > total * HEAVY).drop("_n")
+    if heavy.isEmpty():
+        return rows.join(per.drop("_n"), key)
+    heavy = F.broadcast(heavy)
     light = rows.join(heavy.select(key), key, "left_anti").join(per.where(F.col("_n") <= total * HEAVY).drop("_n"), key)
     return light.unionByName(rows.join(heavy, key))
 

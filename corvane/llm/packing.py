@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import arrow_batches, keep
+from corvane.llm.common import arrow_batches, keep, released
 
 #: Splits exactly as the vocabulary's own pattern does, without backtracking.
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
@@ -72,7 +72,7 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([pid] * len(ids), pa.int32()), pa.array(starts, pa.int64()), part.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())], ["pid", "local_start", "doc_id", "n_tokens", "ids"])
 
     arrow_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, f"pid int, local_start long, doc_id {kind}, n_tokens long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(released(run), f"pid int, local_start long, doc_id {kind}, n_tokens long, ids binary")
 
 
 def pack(docs: DataFrame, length: int = 1024, vocabulary: str = "byte_bpe_50k", end_id: int = 0) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import LETTERS_LOW, LETTERS_UP, arrow_batches
+from corvane.llm.common import LETTERS_LOW, LETTERS_UP, arrow_batches, released
 
 # The patterns and the least length of what they must match.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -225,5 +225,5 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", reach: int = 64, least: floa
             yield batch.set_column(k, batch.schema.field(k), pa.array(out, batch.schema.field(k).type))
 
     arrow_batches(docs.sparkSession)
-    done = docs.mapInArrow(run, docs.schema)
+    done = docs.mapInArrow(released(run), docs.schema)
     return done.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else done

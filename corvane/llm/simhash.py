@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import arrow_batches, components, join_by_class, keep, without
+from corvane.llm.common import arrow_batches, components, join_by_class, keep, released, without
 
 BYTES, BITS = 8, 4
 SHARED = BYTES - BITS  # bytes that linked fingerprints share at least
@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(got, np.uint64).view(np.int64))], ["doc_id", "text_hash", "fp"])
 
     arrow_batches(docs.sparkSession)
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, fp long")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(released(run), f"doc_id {kind}, text_hash long, fp long")
 
 
 def shared_bytes(x: np.ndarray) -> np.ndarray:
@@ -213,7 +213,7 @@ def links(fps: DataFrame, block: int = 4096) -> DataFrame:
                 yield _rows(*forest(x, _MARKS[k >> 24], None if m == n else y), [])
 
     arrow_batches(fps.sparkSession, 20000)
-    met = keep(postings(fps).repartition("key").sortWithinPartitions("key").mapInArrow(lists, EDGE), "links")
+    met = keep(postings(fps).repartition("key").sortWithinPartitions("key").mapInArrow(released(lists), EDGE), "links")
     found, blocks = met.where("key is null").select("a", "b"), met.where("key is not null")
     if blocks.isEmpty():
         return found
@@ -237,7 +237,7 @@ def classes(docs: DataFrame, size: int = 4) -> DataFrame:
     low = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("_n"))
     alone = distinct.join(of, "fp", "left_anti").select("fp", F.col("fp").alias("component"), F.col("low").alias("component_id"), F.col("_n").alias("_rows"))
     named = join_by_class(rooted.withColumnRenamed("_n", "_rows"), low, "root", rooted.count()).select("fp", F.col("root").alias("component"), "component_id", "_rows")
-    return join_by_class(each, keep(named.unionByName(alone), "named").withColumnRenamed("_rows", "_n"), "fp", each.count())
+    return join_by_class(each, named.unionByName(alone).withColumnRenamed("_rows", "_n"), "fp", each.count())
 
 
 def first_of_each(docs: DataFrame, size: int = 4) -> DataFrame:
@@ -253,7 +253,7 @@ def first_of(docs: DataFrame, of: DataFrame) -> DataFrame:
     of = keep(of, "classes")
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("text_hash").alias("t"))
     first = of.groupBy("component").agg(F.min(order).alias("o"), F.count("*").alias("_n")).where("_n > 1")
-    gone = join_by_class(of, keep(first, "first"), "component", of.count()).where(order != F.col("o"))
+    gone = join_by_class(of, first, "component", of.count()).where(order != F.col("o"))
     gone = keep(gone.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th")).distinct(), "gone")
     left = without(docs, gone)
     again = keep(of.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th")).agg(F.count("*").alias("_n")).where("_n > 1").select("_id", "_th"), "again")
