@@ -1,10 +1,11 @@
 """Chat formatting in budgeted, turn-aligned windows, in DataFrame functions only.
 
 Prefix sums of the turns' token estimates cut a conversation into spans of new turns that fit the
-budget less the system turn and the history allowance. A window is the system turn, the longest
-run of earlier turns that fits the history allowance, then the new turns. Assistant texts among the
-new turns are the targets; whatever is repeated (system, history) is masked. A single turn over the
-budget stands alone in its window, whole: nothing is cut or dropped.
+budget less the system turn and the history allowance, which is at most half of what the system turn
+leaves. A window is the system turn, the longest run of earlier turns that fits the allowance and
+what the new turns leave of the budget, then the new turns. Assistant texts among the new turns are
+the targets; whatever is repeated (system, history) is masked. A window exceeds the budget only if
+the system turn and one new turn do, for nothing is cut or dropped; it has no history then.
 
 A turn is written <|im_start|>role, newline, text, <|im_end|>, newline. Inside roles and texts every
 "<|" becomes "<||", so no control string can arise from them, and "<||" reads back as "<|"; in
@@ -62,8 +63,9 @@ def windows(turns: DataFrame, budget: int = 512, history: int = 128, tokens: Cal
     sums = F.aggregate("_t", F.array(F.lit(0).cast("bigint")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + tokens(x.text))))
     head = (F.get("_t", F.lit(0)).role == "system").cast("int")
     g = g.select("conv_id", once(F.col("_t")).alias("_t"), once(sums).alias("_p"), once(head).alias("_sys"))
-    room = F.greatest(F.lit(1), F.lit(budget - history) - F.when(F.col("_sys") == 1, F.get("_p", F.lit(1))).otherwise(F.lit(0)))
-    g = g.select("*", once(room).alias("_room"))
+    left = F.lit(budget) - F.when(F.col("_sys") == 1, F.get("_p", F.lit(1))).otherwise(F.lit(0))
+    g = g.select("*", once(left).alias("_left")).withColumn("_allow", F.greatest(F.lit(0), F.least(F.lit(history), F.floor(F.col("_left") / 2))))
+    g = g.select("*", once(F.greatest(F.lit(1), F.col("_left") - F.col("_allow"))).alias("_room"))
     # The fold keeps the starts of the windows so far; a turn that no longer fits opens the next one.
     opened = F.aggregate(
         F.sequence(F.lit(0), F.size("_t") - 1),
@@ -72,12 +74,14 @@ def windows(turns: DataFrame, budget: int = 512, history: int = 128, tokens: Cal
     )
     g = g.select("*", once(opened).alias("_o"))
 
-    def back(s: Column) -> Column:
-        """The first turn of the history before turn s."""
-        fits = F.filter(F.sequence(F.least(F.col("_sys"), s), s), lambda j: F.get("_p", s) - F.get("_p", j) <= history)
+    def back(s: Column, e: Column) -> Column:
+        """The first turn of the history before the new turns s to e."""
+        most = F.least(F.col("_allow"), F.col("_left") - (F.get("_p", e) - F.get("_p", s)))
+        fits = F.filter(F.sequence(F.least(F.col("_sys"), s), s), lambda j: F.get("_p", s) - F.get("_p", j) <= most)
         return F.greatest(F.col("_sys"), F.coalesce(F.array_min(fits), s))
 
-    span = lambda s, k: F.struct(back(s).alias("h"), s.alias("s"), F.coalesce(F.get("_o", k + 1), F.size("_t")).alias("e"), k.alias("k"))
+    end = lambda k: F.coalesce(F.get("_o", k + 1), F.size("_t"))
+    span = lambda s, k: F.struct(back(s, end(k)).alias("h"), s.alias("s"), end(k).alias("e"), k.alias("k"))
     g = g.select("conv_id", "_t", "_sys", once(F.transform("_o", span)).alias("_w"))
 
     def content(w: Column) -> Column:

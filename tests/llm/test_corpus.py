@@ -347,6 +347,21 @@ def test_chat(spark):
     assert any(t["repeated"] for x in whole for t in x["turns"])
 
 
+@pytest.mark.parametrize("system", [0, 40, 450, 700])
+def test_chat_budget(spark, system):
+    """A window exceeds the budget only if the system turn and one new turn do, and repeats nothing else then."""
+    r = random.Random(14)
+    turns = ([(1, 0, "system", "s" * 4 * system)] if system else []) + [(1, 1 + t, ("user", "assistant")[t % 2], "x" * 4 * r.choice([1, 5, 30, 90, 200, 400])) for t in range(60)]
+    cost = lambda t: max(1, -(-(t["end"] - t["start"]) // 4))
+    whole = collected(chat.windows(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), 512, 128))
+    assert sum(not t["repeated"] for x in whole for t in x["turns"]) == len(turns)
+    for x in whole:
+        new = [t for t in x["turns"] if not t["repeated"] and t["role"] != "system"]
+        old = [t for t in x["turns"] if t["repeated"] and t["role"] != "system"]
+        assert sum(map(cost, x["turns"])) <= 512 or (len(new) <= 1 and not old)
+        assert sum(map(cost, old)) <= 128
+
+
 def test_sharding(docs, rows):
     got = collected(sharding.shards(docs, 7))
     assert len(got) == len(rows)
