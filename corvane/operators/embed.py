@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,17 +46,50 @@ def pair_texts(triplets: DataFrame, text: Column, tokens: Column, kind: str) ->
 def pooled(items: DataFrame, vectors: DataFrame, weights: dict[str, bool] | None = None) -> DataFrame:
     """(d, g, kind, vector): means per kind, weighted by tokens where weights says so, and kind "one", the first vector of "text".
 
-    A kind without items gives no row; a weight sum of 0 gives nulls, not a division by zero. The
-    sums are per coordinate, so they are aggregated before the shuffle.
+    A kind without items gives no row; a weight sum of 0 gives nulls, not a division by zero; an item
+    without a weight counts nothing. Whole vectors are added up a group in each partition, so a
+    group sends one vector a task, however many items it has.
     """
     weights = weights or {"triplet": False, "paper": True, "text": True}
     w = F.lit(1.0)
     for kind, use in weights.items():
         w = F.when(F.col("kind") == kind, F.col("tokens").cast("double") if use else F.lit(1.0)).otherwise(w)
     d = items.join(vectors.select("embedding_id", "embedding"), "embedding_id").withColumn("_w", w)
-    long = d.select("d", "g", "kind", "_w", F.posexplode("embedding").alias("i", "x"))
-    cell = long.groupBy("d", "g", "kind", "i").agg(F.try_divide(F.sum(F.col("x") * F.col("_w")), F.sum("_w")).alias("v"))
-    means = cell.groupBy("d", "g", "kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s.v).alias("vector"))
+    kinds = dict(d.dtypes)
+    key = ", ".join(f"{c} {kinds[c]}" for c in ("d", "g", "kind"))
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, tuple[np.ndarray, float]] = {}
+        types = None
+
+        def sent() -> pa.RecordBatch:
+            columns = [pa.array([k[i] for k in sums], types[i]) for i in range(3)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([w for _, w in sums.values()], pa.float64()), pa.array([v for v, _ in sums.values()], pa.list_(pa.float64()))], ["d", "g", "kind", "w", "s"])
+
+        held = 0
+        for batch in batches:
+            types = [batch.schema.field(i).type for i in range(3)]
+            for k, w, x in zip(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True), batch.column(3).to_pylist(), batch.column(4), strict=True):
+                if w is None or not x.is_valid:
+                    continue
+                v = x.values.to_numpy(zero_copy_only=False) * w
+                if k in sums:
+                    sums[k] = (sums[k][0] + v, sums[k][1] + w)
+                else:
+                    sums[k], held = (v, w), held + v.nbytes
+            if held > 1 << 26:
+                yield sent()
+                sums, held = {}, 0
+        if sums:
+            yield sent()
+
+    def added(t: pa.Table) -> pa.Table:
+        total, w = sum(np.array(v.values) for v in t.column("s")), sum(t.column("w").to_pylist())
+        vector = (total / w).tolist() if w else [None] * len(total)
+        return pa.table({**{c: t.column(c).slice(0, 1) for c in ("d", "g", "kind")}, "vector": pa.array([vector], pa.list_(pa.float64()))})
+
+    parts = d.select("d", "g", "kind", "_w", F.transform("embedding", lambda x: x.cast("double")).alias("x")).mapInArrow(partial, f"{key}, w double, s array<double>")
+    means = parts.groupBy("d", "g", "kind").applyInArrow(added, f"{key}, vector array<double>")
     one = d.where("kind = 'text'").groupBy("d", "g").agg(F.min_by("embedding", "pos").alias("vector")).select("d", "g", F.lit("one").alias("kind"), F.transform("vector", lambda x: x.cast("double")).alias("vector"))
     return means.unionByName(one)
 

@@ -155,7 +155,7 @@ class LambdaMART:
         self.trees, self.rate, self.leaves, self.depth, self.least, self.top = trees, rate, leaves, depth, least, top
 
     def _bins(self, x: np.ndarray) -> np.ndarray:
-        return np.column_stack([np.searchsorted(c, x[:, f]) for f, c in enumerate(self.cuts)]).astype(np.int64)
+        return np.column_stack([np.searchsorted(c, x[:, f]) for f, c in enumerate(self.cuts)]).astype(np.uint8)  # at most 254 cuts
 
     def _gradients(self, y: np.ndarray, s: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         g, h = np.zeros(len(y)), np.zeros(len(y))
@@ -199,7 +199,7 @@ class LambdaMART:
         return self.rate * sum((t.predict(bins) for t in self.model), np.zeros(len(x)))
 
 
-def lambdamart_loo(matrix: DataFrame, most: int = 10_000, limit_rows: int = 1_000_000, **options) -> DataFrame:
+def lambdamart_loo(matrix: DataFrame, most: int = 10_000, limit_rows: int = 5_000_000, **options) -> DataFrame:
     """(mesh, gene, score) from (mesh, gene, y, pos, x): each disease is scored by a ranker trained on all others, `most` genes of each.
 
     A fold is a task. Every fold trains on nearly all rows, so a task holds the training table: its
