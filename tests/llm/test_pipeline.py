@@ -145,3 +145,29 @@ def test_clean_documents_stay(spark):
 @pytest.mark.parametrize("text", ["password=abcdef0123 and AKIA" + "Q1" * 9, "token: " + "0a" * 20])
 def test_redaction(text):
     assert "[SECRET]" in redacted(text) and "abcdef" not in redacted(text)
+
+
+def test_awkward_rows(spark):
+    """Nulls, repeated rows, ties, columns with clashing names, a text of 60,000 words; then an empty table."""
+    import random
+
+    r = random.Random(31)
+    vocab = [f"word{i}" for i in range(20000)]
+    text = lambda n: " ".join(r.choice(vocab) for _ in range(n))
+    long, same, near = text(60000), text(80), text(200)
+    edited = " ".join([*near.split()[:100], "changed", *near.split()[101:]])
+    rows = [(None, None), (1, None), (2, ""), (3, " \t\n"), (4, "few words only"), (5, long), (6, same), (6, same), (7, same), (None, same), (8, near), (9, edited), (None, text(50)), (10, text(40) + " token=abcdef123456 " + text(40)), (10, text(60))]
+    shape = "doc_id long, text string, lang string, source string, n_chars long, _row string, key int, component long, _n int"
+    docs = spark.createDataFrame([(i, t, None if n % 3 else "en", None, None if t is None else len(t), "r", n, 7, 1) for n, (i, t) in enumerate(rows)], shape)
+    got = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = common.keep(stage(spark, got, SF), "stage")
+        assert got.columns == docs.columns, name
+    left = sorted((str(x.doc_id), len(A.findall(x.text))) for x in got.collect())
+    assert left == sorted([("5", 60000), ("6", 80), ("8", 200), ("None", 50), ("10", 81), ("10", 60)])
+    pieces = corpus_pipeline.STAGES[-1][1](spark, got, SF).collect()
+    assert sum(p.length for p in pieces if p.doc_id == 5) > 60000 and all(p.offset + p.length <= 1024 for p in pieces)
+    none = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        none = common.keep(stage(spark, none, SF), "stage")
+        assert none.count() == 0, name
