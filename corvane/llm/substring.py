@@ -1,20 +1,19 @@
 """Substring dedup: a merged count-min sketch picks windows that may repeat, an exact pass decides.
 
-Texts are packed into blocks of a few MB, and blocks of a task into groups, in a table bucketed by
-group, so nothing after that moves a text. Each block hashes its windows of `size` words. Pass 1: a
-group's partial sketch is the set of cells its blocks' windows fall in, by sketch row, each with
-whether two blocks of the group have it; the cells are cut into slices, a slice of all groups'
-sketches is merged in one task, and each group gets back which of its cells more than one block
+Texts are packed into blocks of a few MB in a table bucketed by block, so nothing after that moves
+a text. Each block hashes its windows of `size` words. Pass 1: a block's partial sketch is the set
+of cells its windows fall in, by sketch row; the cells are cut into slices, a slice of all blocks'
+sketches is merged in one task, and each block gets back which of its cells more than one block
 counted. The width follows the number of windows, so the sketch is as sharp for any input, and no
 task or driver ever holds all of it. Counts can only be too high, so no repeated window is lost.
 Pass 2: windows whose cells all say so go, once a block with the smallest doc_id there, to exact
 groups by their 96-bit hash; a group tells each block which windows also start in a smaller doc_id
 elsewhere. Pass 3: the block adds what repeats within itself and removes the covered words.
 
-Messages are as many as groups times slices, what a shuffle of the cells would have in blocks: 8 MB
-of text and 2^25 cells a side keep them above a hundred cells up to some 700 GB, and above ten up to
-7 TB. For more give larger groups and slices (`group`, `slice_bits`), as the executors' memory allows:
-a window of a group takes 16 bytes, a cell of a slice one.
+Messages are as many as blocks times slices, what a shuffle of the cells would have in blocks: 4 MB
+of text and 2^25 cells a side keep them above a hundred cells up to some 350 GB, and above ten up to
+3.5 TB. For more give larger blocks and slices (`block_bytes`, `slice_bits`), as the executors'
+memory allows: a cell of a slice takes a byte, a block some twenty times its text.
 
 doc_id must be of an integer type. Null text has no words. Rows with a null doc_id are kept whole and
 own nothing. Rows that share a doc_id don't remove each other's words. A very long text makes a block
@@ -127,8 +126,8 @@ class Block:
         return order, np.cumsum(np.concatenate(([False], (h[1:] != h[:-1]) | (c[1:] != c[:-1]))))[: len(order)]
 
 
-def blocks(docs: DataFrame, size: int, block_bytes: int, group: int) -> DataFrame:
-    """The table (grp, no, n_windows, docs): packed documents, block no of a group; bucketed by group."""
+def blocks(docs: DataFrame, size: int, block_bytes: int) -> DataFrame:
+    """The table (block, n_windows, docs): packed documents, bucketed by block."""
     spark = docs.sparkSession
     if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
         raise TypeError("doc_id must be of an integer type, for windows belong to the smallest one")
@@ -147,7 +146,7 @@ def blocks(docs: DataFrame, size: int, block_bytes: int, group: int) -> DataFram
             with pa.ipc.new_stream(sink, t.schema) as w:
                 w.write_table(t)
             many = sum(max(0, len((x or "").encode().split()) - size + 1) for x in texts)
-            return pa.RecordBatch.from_arrays([pa.array([(pid << 24) | k // group], pa.int64()), pa.array([k % group], pa.int32()), pa.array([many], pa.int64()), pa.array([zstandard.ZstdCompressor(level=3).compress(sink.getvalue())], pa.binary())], ["grp", "no", "n_windows", "docs"])
+            return pa.RecordBatch.from_arrays([pa.array([(pid << 24) | k], pa.int64()), pa.array([many], pa.int64()), pa.array([zstandard.ZstdCompressor(level=3).compress(sink.getvalue())], pa.binary())], ["block", "n_windows", "docs"])
 
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -163,9 +162,9 @@ def blocks(docs: DataFrame, size: int, block_bytes: int, group: int) -> DataFram
     shared_dir(spark)
     arrow_batches(spark)
     name = f"corvane_blocks_{uuid.uuid4().hex}"
-    packed = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "grp long, no int, n_windows long, docs binary")
-    # A task writes a file only into the buckets of its own groups, so there are no more files than groups.
-    packed.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "grp").option("compression", "none").saveAsTable(name)
+    packed = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "block long, n_windows long, docs binary")
+    # A task writes a file only into the buckets of its own blocks, so there are no more files than blocks.
+    packed.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").option("compression", "none").saveAsTable(name)
     drop_at_exit(spark, name)
     return spark.table(name)
 
@@ -177,130 +176,91 @@ def _block(data: bytes, size: int) -> Block:
     return Block(t.column("id").to_pylist(), t.column("text").to_pylist(), size)
 
 
-MESSAGE = "part int, grp long, data binary"
+MESSAGE = "part int, block long, data binary"
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["part", "grp", "data"])
+def _batch(rows: list[tuple], names: tuple[str, ...] = ("part", "block", "data"), kinds=(pa.int32(), pa.int64(), pa.binary())) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], list(names))
 
 
 def repeated_cells(packed: DataFrame, size: int, rows: int, slices: int, within: int) -> DataFrame:
-    """(grp, parts array<(part, data)>): for each slice of 2^within cells and row, the group's cells there that more than one block has."""
+    """(block, parts array<(part, data)>): for each slice and row, bits for the block's distinct cells there, in order."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held = None, []
-
-        def sent() -> pa.RecordBatch:
-            out = []
-            for row in range(rows):
-                every = np.sort(np.concatenate([cells[row] for cells in held]))
-                new = np.concatenate(([True], every[1:] != every[:-1]))[: len(every)]
-                cells, twice = every[new], np.diff(np.append(np.flatnonzero(new), len(every))) > 1
-                bounds = np.searchsorted(cells, (np.arange(slices + 1, dtype=np.uint64) << np.uint64(within)))
-                for s in np.flatnonzero(np.diff(bounds)).tolist():
-                    own = slice(bounds[s], bounds[s + 1])
-                    inside = (cells[own] & np.uint64((1 << within) - 1)).astype("<u4")
-                    out.append((row * slices + s, group, squeezed(gaps(inside), twice[own].astype("u1"))))
-            return _batch(out)
-
         for batch in batches:
-            for at, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if held and at != group:
-                    yield sent()
-                    held = []
-                group, b = at, _block(data, size)
-                held.append([distinct(b.cells(row, slices, within)) for row in range(rows)])
-        if held:
-            yield sent()
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                b, out = _block(data, size), []
+                for row in range(rows):
+                    cells = distinct(b.cells(row, slices, within))
+                    bounds = np.searchsorted(cells, (np.arange(slices + 1, dtype=np.uint64) << np.uint64(within)))
+                    for s in np.flatnonzero(np.diff(bounds)).tolist():
+                        inside = (cells[bounds[s] : bounds[s + 1]] & np.uint64((1 << within) - 1)).astype("<u4")
+                        out.append((row * slices + s, block, squeezed(gaps(inside))))
+                yield _batch(out)
 
     def merge(t: pa.Table) -> pa.Table:
         counts, cells = np.zeros(1 << within, np.uint8), []
         for data in t.column("data").to_pylist():
-            own, twice = unsqueezed(data, "<u4", "u1")
-            cells.append(np.cumsum(own, dtype=np.uint32))
-            counts[cells[-1]] = np.minimum(counts[cells[-1]] + 1 + twice, 2)
-        said = [squeezed(gaps(c[counts[c] > 1])) for c in cells]
-        return pa.table({"part": t.column("part"), "grp": t.column("grp"), "data": pa.array(said, pa.binary())})
+            cells.append(np.cumsum(unsqueezed(data, "<u4")[0], dtype=np.uint32))
+            counts[cells[-1]] = np.minimum(counts[cells[-1]] + 1, 2)
+        said = [squeezed(np.packbits(counts[c] > 1)) for c in cells]
+        return pa.table({"part": t.column("part"), "block": t.column("block"), "data": pa.array(said, pa.binary())})
 
-    sent = packed.select("grp", "docs").mapInArrow(released(sketch), MESSAGE)
+    sent = packed.select("block", "docs").mapInArrow(released(sketch), MESSAGE)
     back = sent.groupBy("part").applyInArrow(merge, MESSAGE)
-    return keep(back.groupBy("grp").agg(F.collect_list(F.struct("part", "data")).alias("parts")), "cells")
-
-
-def _held(parts: list[dict] | None, rows: int, slices: int, within: int) -> list[np.ndarray]:
-    """By row, the group's repeated cells in order. A group read by two tasks has two answers a slice, which say the same of the cells they share."""
-    out: list[list[np.ndarray]] = [[] for _ in range(rows)]
-    for p in parts or ():
-        row, s = divmod(p["part"], slices)
-        out[row].append(np.cumsum(unsqueezed(p["data"], "<u4")[0], dtype=np.uint64) | np.uint64(s << within))
-    return [np.sort(np.concatenate([np.empty(0, np.uint64), *x])) for x in out]
+    return keep(back.groupBy("block").agg(F.collect_list(F.struct("part", "data")).alias("parts")), "cells")
 
 
 def owned_elsewhere(packed: DataFrame, cells: DataFrame, size: int, rows: int, slices: int, within: int) -> DataFrame:
-    """(grp, parts array<binary>): of each block's windows, one of each kind that also starts in a smaller doc_id in another block."""
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, repeated, held = None, [], []
-
-        def sent() -> pa.RecordBatch:
-            h, c, w, doc, no = (np.concatenate([x[i] for x in held]) for i in range(5))
-            order = np.argsort(h)
-            h, c, w, doc, no = h[order], c[order], w[order], doc[order], no[order]
-            bounds, out = np.searchsorted(_part(h, slices), np.arange(slices + 1, dtype=np.uint64)), []
-            for s in np.flatnonzero(np.diff(bounds)).tolist():
-                own = slice(bounds[s], bounds[s + 1])
-                low = int(doc[own].min())
-                out.append((s, group, low.to_bytes(8, "little", signed=True) + squeezed(gaps(h[own]), c[own], w[own], (doc[own] - low).astype("<u8"), no[own])))
-            return _batch(out)
+    """(block, parts array<binary>): of a block's windows, one of each kind that also starts in a smaller doc_id in another block."""
 
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, no, data, parts in zip(*(batch.column(i) for i in range(4)), strict=True):
-                if (at := at.as_py()) != group:
-                    if held:
-                        yield sent()
-                    group, repeated, held = at, _held(parts.as_py(), rows, slices, within), []
-                b = _block(data.as_py(), size)
-                may = np.ones(len(b.hash), bool)
+            for block, data, parts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                b, out = _block(data, size), []
+                may, got = np.ones(len(b.hash), bool), {p["part"]: p["data"] for p in parts or ()}
                 for row in range(rows):
-                    one, back = np.unique(b.cells(row, slices, within), return_inverse=True)
-                    place = np.searchsorted(repeated[row], one)
-                    may &= (np.append(repeated[row], np.uint64(2**64 - 1))[place] == one)[back]
-                order, kind = b.groups(np.flatnonzero(may))
-                one = order[np.concatenate(([True], kind[1:] != kind[:-1]))[: len(order)]]
-                if len(one):
-                    held.append((b.hash[one], b.check[one], one.astype("<u4"), b.doc_id[one], np.full(len(one), no.as_py(), "u1")))
-        if held:
-            yield sent()
+                    own, back = np.unique(b.cells(row, slices, within), return_inverse=True)
+                    many = np.diff(np.searchsorted(own, np.arange(slices + 1, dtype=np.uint64) << np.uint64(within)))
+                    flags = [np.unpackbits(unsqueezed(got[row * slices + s], "u1")[0])[: many[s]] for s in np.flatnonzero(many).tolist()]
+                    may &= np.concatenate([np.empty(0, np.uint8), *flags]).astype(bool)[back]
+                order, group = b.groups(np.flatnonzero(may))
+                one = order[np.concatenate(([True], group[1:] != group[:-1]))[: len(order)]]
+                bounds = np.searchsorted(_part(b.hash[one], slices), np.arange(slices + 1, dtype=np.uint64))
+                for s in np.flatnonzero(np.diff(bounds)).tolist():
+                    w = one[bounds[s] : bounds[s + 1]]
+                    low = int(b.doc_id[w].min())
+                    ids = (b.doc_id[w] - low).astype("<u8")
+                    out.append((s, block, low.to_bytes(8, "little", signed=True) + squeezed(gaps(b.hash[w]), b.check[w], w.astype("<u4"), ids)))
+                if out:
+                    yield _batch(out)
 
     def decide(t: pa.Table) -> pa.Table:
-        h, c, w, doc, no, of = [], [], [], [], [], []
+        h, c, w, doc, of = [], [], [], [], []
         for n, data in enumerate(t.column("data").to_pylist()):
-            a, b, i, d, k = unsqueezed(data[8:], "<u8", "<u4", "<u4", "<u8", "u1")
+            a, b, i, d = unsqueezed(data[8:], "<u8", "<u4", "<u4", "<u8")
             h.append(np.cumsum(a, dtype=np.uint64))
             c.append(b)
             w.append(i)
             doc.append(d.astype(np.int64) + int.from_bytes(data[:8], "little", signed=True))
-            no.append(k)
-            of.append(np.full(len(b), n, np.int32))
-        h, c, w, doc, no, of = map(np.concatenate, (h, c, w, doc, no, of))
+            of.append(np.full(len(b), n))
+        h, c, w, doc, of = map(np.concatenate, (h, c, w, doc, of))
         order = np.lexsort((doc, c, h))
         start = np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1])))
         least = doc[order][np.maximum.accumulate(np.where(start, np.arange(len(order)), 0))]
         lost = np.empty(len(order), bool)
         lost[order] = least < doc[order]
-        groups, said = [], []
-        for n, group in enumerate(t.column("grp").to_pylist()):
+        blocks_, said = [], []
+        for n, block in enumerate(t.column("block").to_pylist()):
             own = _range(of, n)
-            if lost[own].any():
-                places, blocks_ = w[own][lost[own]], no[own][lost[own]]
-                order = np.lexsort((places, blocks_))
-                groups.append(group)
-                said.append(squeezed(gaps(places[order]), blocks_[order]))  # gaps wrap around where a block begins
-        return pa.table({"grp": pa.array(groups, pa.int64()), "data": pa.array(said, pa.binary())})
+            if len(x := np.sort(w[own][lost[own]])):
+                blocks_.append(block)
+                said.append(squeezed(gaps(x)))
+        return pa.table({"block": pa.array(blocks_, pa.int64()), "data": pa.array(said, pa.binary())})
 
-    sent = packed.join(cells, "grp", "left").select("grp", "no", "docs", "parts").mapInArrow(released(candidates), MESSAGE)
-    back = sent.groupBy("part").applyInArrow(decide, "grp long, data binary")
-    return keep(back.groupBy("grp").agg(F.collect_list("data").alias("parts")), "owned")
+    sent = packed.join(cells, "block", "left").select("block", "docs", "parts").mapInArrow(released(candidates), MESSAGE)
+    back = sent.groupBy("part").applyInArrow(decide, "block long, data binary")
+    return keep(back.groupBy("block").agg(F.collect_list("data").alias("parts")), "owned")
 
 
 def _range(of: np.ndarray, n: int) -> slice:
@@ -308,9 +268,9 @@ def _range(of: np.ndarray, n: int) -> slice:
     return slice(int(lo), int(hi))
 
 
-def dedup(docs: DataFrame, size: int = 13, rows: int = 2, block_bytes: int = 1 << 22, group: int = 2, slice_bits: int = 25) -> DataFrame:
+def dedup(docs: DataFrame, size: int = 13, rows: int = 2, block_bytes: int = 1 << 22, slice_bits: int = 25) -> DataFrame:
     """(doc_id, n_words, n_removed, kept, removed): kept is the words left, joined by spaces; removed the word ranges [start, end)."""
-    packed = blocks(docs, size, block_bytes, min(group, 256))
+    packed = blocks(docs, size, block_bytes)
     total = packed.agg(F.sum("n_windows")).first()[0] or 0
     slices = (4 * total >> slice_bits) + 1  # four cells a window
     within = slice_bits if slices > 1 else min(slice_bits, max(10, math.ceil(math.log2(4 * total + 1))))
@@ -319,7 +279,7 @@ def dedup(docs: DataFrame, size: int = 13, rows: int = 2, block_bytes: int = 1 <
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shape = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            for no, data, parts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for data, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 b = _block(data, size)
                 order, group = b.groups(np.arange(len(b.hash)))
                 lost = np.zeros(len(order), bool)
@@ -328,8 +288,7 @@ def dedup(docs: DataFrame, size: int = 13, rows: int = 2, block_bytes: int = 1 <
                     least = b.doc_id[order][np.flatnonzero(start)]
                     away = np.zeros(len(b.hash), bool)
                     for p in parts or ():
-                        places, of = unsqueezed(p, "<u4", "u1")
-                        away[np.cumsum(places, dtype=np.uint32)[of == no]] = True
+                        away[np.cumsum(unsqueezed(p, "<u4")[0], dtype=np.int64)] = True
                     gone = np.zeros(len(least), bool)
                     gone[group[away[order]]] = True
                     lost[order] = gone[group] | (b.doc_id[order] > least[group])
@@ -352,4 +311,4 @@ def dedup(docs: DataFrame, size: int = 13, rows: int = 2, block_bytes: int = 1 <
 
     arrow_batches(docs.sparkSession)
     shape = "doc_id long, n_words long, n_removed long, kept string, removed array<struct<start: long, end: long>>"
-    return packed.join(owned, "grp", "left").select("no", "docs", "parts").mapInArrow(released(cut), shape)
+    return packed.join(owned, "block", "left").select("docs", "parts").mapInArrow(released(cut), shape)

@@ -65,8 +65,8 @@ def test_empty_tables(spark):
         assert df.count() == 0
 
 
-@pytest.mark.parametrize("block_bytes, group, slice_bits", [(300, 3, 9), (300, 8, 25), (5000, 2, 12), (1 << 22, 8, 25)])
-def test_substring(docs, rows, block_bytes, group, slice_bits):
+@pytest.mark.parametrize("block_bytes, slice_bits", [(300, 9), (300, 25), (5000, 12), (1 << 22, 25)])
+def test_substring(docs, rows, block_bytes, slice_bits):
     words = [A.findall(t or "") for _, t in rows]
     owner = {}
     for (i, _), w in zip(rows, words):
@@ -78,7 +78,7 @@ def test_substring(docs, rows, block_bytes, group, slice_bits):
     for (i, _), w in zip(rows, words):
         gone = {q for p in range(len(w) - 12) if i is not None and owner[tuple(w[p : p + 13])] < i for q in range(p, p + 13)}
         want.append((i, len(w), len(gone), " ".join(x for q, x in enumerate(w) if q not in gone)))
-    got = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in collected(substring.dedup(docs, 13, block_bytes=block_bytes, group=group, slice_bits=slice_bits))]
+    got = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in collected(substring.dedup(docs, 13, block_bytes=block_bytes, slice_bits=slice_bits))]
     key = lambda x: (x[0] is None, x[0] or 0, x[1:])
     assert sorted(got, key=key) == sorted(want, key=key)
 
