@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import chat, decontaminate, licenses, packing, quality, secrets, sharding, simhash, substring, urls
+from corvane.llm import chat, decontaminate, interaction, licenses, packing, quality, secrets, sharding, simhash, substring, tokencount, urls
 from corvane.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +155,25 @@ m AS (SELECT doc_id, max(k / n) AS share, list(DISTINCT label) AS labels FROM f
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, a::BIGINT AS first_word, z::BIGINT AS last_word, coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,
 coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(m.labels, [])))), ','), '') AS labels, CASE WHEN n > 0 THEN 1.0 ELSE coalesce(share, 0.0) END::DOUBLE AS score
 FROM d LEFT JOIN b USING (doc_id) LEFT JOIN m USING (doc_id)"""
+
+
+@query
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.counts(table(spark, sf_dir, "documents"), "byte_bpe_50k", 512)
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+SQL["op12_filter_audit"] = f"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {_WORD}) AS w FROM documents),
+m AS (SELECT doc_id, part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS f FROM d),
+c AS (SELECT part, f, count(*) AS n, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) AS g, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)) AS x FROM m GROUP BY ALL),
+l AS (SELECT unnest(range(1, 6)) AS i),
+o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT part, o, i AS step, o[i] AS z, f[o[i]] AS fails, len(list_filter(o[1 : i - 1], lambda j: f[j])) > 0 AS gone, len(list_filter(f, lambda y: y)) = 1 AS alone, n, g, x FROM c, o, l),
+r AS (SELECT part, o, step, z, coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (fails AND NOT gone), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (fails AND gone), 0)::BIGINT AS redundant,
+      coalesce(sum(n) FILTER (fails AND alone), 0)::BIGINT AS unique_fails, coalesce(sum(g) FILTER (fails AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(x) FILTER (fails AND NOT gone), 0)::BIGINT AS toxic_lost FROM s GROUP BY ALL)
+SELECT part, array_to_string(list_transform(o, lambda j: 'ABCDE'[j]), '') AS filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, z)::BIGINT AS shapley FROM r"""
