@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import chat, decontaminate, interaction, licenses, packing, quality, secrets, sharding, simhash, substring, tokencount, urls
+from corvane.llm import chat, collocations, decontaminate, interaction, licenses, packing, quality, secrets, sharding, simhash, substring, tokencount, urls
 from corvane.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -177,3 +177,22 @@ s AS (SELECT part, o, i AS step, o[i] AS z, f[o[i]] AS fails, len(list_filter(o[
 r AS (SELECT part, o, step, z, coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (fails AND NOT gone), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (fails AND gone), 0)::BIGINT AS redundant,
       coalesce(sum(n) FILTER (fails AND alone), 0)::BIGINT AS unique_fails, coalesce(sum(g) FILTER (fails AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(x) FILTER (fails AND NOT gone), 0)::BIGINT AS toxic_lost FROM s GROUP BY ALL)
 SELECT part, array_to_string(list_transform(o, lambda j: 'ABCDE'[j]), '') AS filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, z)::BIGINT AS shapley FROM r"""
+
+
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=30, most=2000)
+
+
+SQL["op11_collocations"] = """
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+g AS (SELECT lang, k, w[i : i + k - 1] AS s FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest(range(1, 5)) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, s, count(*) AS a FROM g GROUP BY ALL),
+t AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE k > 1 AND a >= 30),
+u AS (SELECT c.lang, c.s, c.a, j, x.a AS l, y.a AS r, ((2000000::HUGEINT * c.a) // (x.a + y.a))::BIGINT AS score FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c JOIN f x ON x.lang = c.lang AND x.s = c.s[1 : j] JOIN f y ON y.lang = c.lang AND y.s = c.s[j + 1 :]),
+b AS (SELECT lang, s, a, l, r, score FROM u QUALIFY row_number() OVER (PARTITION BY lang, s ORDER BY score, j) = 1),
+i AS (SELECT lang, s[i : i + m - 1] AS s, max(a) AS longer FROM (SELECT lang, s, a, m, unnest(range(1, k - m + 2)) AS i FROM c, (SELECT unnest([2, 3]) AS m) WHERE m < k) GROUP BY ALL),
+z AS (SELECT b.lang, array_to_string(b.s, ' ') AS phrase, a, l, r, score FROM b LEFT JOIN i ON i.lang = b.lang AND i.s = b.s WHERE longer IS NULL OR 100 * longer < 80 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM z JOIN t USING (lang) QUALIFY rank <= 2000"""
