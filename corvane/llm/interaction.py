@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 FILTERS = "ABCDE"
 
-#: Bytes of text that a task chains before it passes on what it has.
-HELD = 32 << 20
+#: Bytes of text that a task chains before it passes on what it has, and bytes of all texts a partition that they are routed to.
+HELD, ROUTED = 32 << 20, 64 << 20
 
 _MARK = re.compile("[#$%&*|]")
 _CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -106,7 +106,8 @@ def masks(docs: DataFrame) -> DataFrame:
     """(doc_id, part, mask, n): the bits of the filters that fail, counted by document."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))).rdd
-    parts = max(rows.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(size // ROUTED, int(spark.conf.get("spark.sql.shuffle.partitions")))
     routed = rows.mapPartitions(chained).repartitionAndSortWithinPartitions(parts, lambda key: key[0] % parts)
     return spark.createDataFrame(routed.mapPartitions(judged), "doc_id long, part string, mask int, n long")
 
