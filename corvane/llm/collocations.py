@@ -170,7 +170,7 @@ class Slots:
 
     @staticmethod
     def _at(h: np.ndarray, g: np.ndarray, level: int, size: int) -> np.ndarray:
-        return (mixed(h + g * np.uint64(2 * level + 1) + _TURN * np.uint64(level)) % np.uint64(size)).astype(np.int64)
+        return (mixed(h + g * np.uint64(2 * level + 1) + np.uint64(int(_TURN) * level & (1 << 64) - 1)) % np.uint64(size)).astype(np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The slot of each row, -1 where it is no key."""
