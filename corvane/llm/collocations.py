@@ -16,8 +16,8 @@ Then, for phrases of 2, 3 and 4 words in turn, over the chunks:
    phrases of their chunks, compare the stored key, count slots in an array, and the arrays are
    summed in a tree, slice by slice. There is one pass for each block.
 
-What may be frequent is passed on to the next length as a bitmap of fixed size (2^FILTER bits); where
-it is too small for a corpus it lets more phrases through to the counts, and changes no result.
+What may be frequent is passed on to the next length as a bitmap of at most 2^FILTER bits; where that
+is too small for a corpus it lets more phrases through to the counts, and changes no result.
 The counts of the parts of a candidate's cuts are read by slot from the frequent phrases, block by
 block. Scores are integer divisions of decimals, for products pass 64 bits.
 
@@ -45,8 +45,8 @@ from pyspark.sql import functions as F
 from corvane.llm.common import arrow_batches, keep, released
 from corvane.llm.substring import distinct, gaps, mixed, squeezed, unsqueezed
 
-#: Words of a chunk, phrases that a task collects before it sends them, keys of a broadcast block, bits of a filter (as a power of two), slots of a slice, tasks whose arrays are added at a time.
-CHUNK, HELD, BLOCK, FILTER, SLICE, FAN = 1 << 20, 1 << 22, 1 << 19, 27, 1 << 16, 64
+#: Words of a chunk, phrases that a task collects before it sends them, keys of a broadcast block, most bits of a filter (as a power of two), slots of a slice, tasks whose arrays are added at a time.
+CHUNK, HELD, BLOCK, FILTER, SLICE, FAN = 1 << 20, 1 << 22, 1 << 19, 26, 1 << 16, 64
 
 _ENDS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", b"." * 10)
 _STEP, _TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -189,15 +189,15 @@ class Slots:
 
 
 def has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = (h >> np.uint64(64 - FILTER)).astype(np.int64)
+    at = (h >> np.uint64(62 - len(bits).bit_length())).astype(np.int64)  # 8 bits a byte
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def phrases(batch: pa.RecordBatch, size: int, filters: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(word numbers of a chunk, starts, hashes) of the phrases of so many words all of whose parts pass the filters, and they too if there is one for them."""
+def phrases(batch: pa.RecordBatch, size: int, filters: list) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(word numbers of a chunk, starts, hashes) of the phrases of so many words all of whose parts pass the (broadcast) filters, and they too if there is one for them."""
     for own, codes in zip(batch.column(0), batch.column(1), strict=True):
         table, at = np.frombuffer(own.as_py(), np.uint64), np.frombuffer(codes.as_py(), np.int32)
-        fine = has(filters[0], table)
+        fine = has(filters[0].value, table)
         fine[0] = False
         ids, ok = table[at], fine[at]
         h = ids
@@ -207,7 +207,7 @@ def phrases(batch: pa.RecordBatch, size: int, filters: list[np.ndarray]) -> Iter
             start = np.flatnonzero(ok[:-1] & ok[1:])
             found = longer(h[start], ids[start + k - 1])
             if k <= len(filters):
-                passed = has(filters[k - 1], found)
+                passed = has(filters[k - 1].value, found)
                 start, found = start[passed], found[passed]
             if k < size:
                 ok = np.zeros(max(len(ok) - 1, 0), bool)
@@ -237,36 +237,35 @@ def only(keys: np.ndarray) -> np.ndarray:
 # ---- the three steps of a length -------------------------------------------------------------
 
 
-def _filter_bits(shard: int, shards: int, h: np.ndarray) -> bytes:
-    """The shard's part of the filter; h: leading bits of hashes, moved to the top."""
-    own = FILTER - shards
+def _filter_bits(shard: int, shards: int, power: int, h: np.ndarray) -> bytes:
+    """The shard's part of a filter of 2^power bits; h: leading bits of hashes, moved to the top."""
+    own = power - shards
     bits = np.zeros(1 << own, bool)
-    bits[(h >> np.uint64(64 - FILTER)).astype(np.int64) - (shard << own)] = True
+    bits[(h >> np.uint64(64 - power)).astype(np.int64) - (shard << own)] = True
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def collected_filter(df: DataFrame, shards: int) -> np.ndarray:
-    """The filter from its shards' parts (shard, bits): 2^FILTER bits, whatever the corpus."""
-    own = 1 << (FILTER - shards - 3)
+def collected_filter(df: DataFrame, shards: int, power: int):
+    """The filter from its shards' parts (shard, bits), broadcast: 2^power bits, whatever the corpus."""
+    own = 1 << (power - shards - 3)
     bits = np.zeros(own << shards, np.uint8)
     t = df.select("shard", "bits").toArrow()
     for shard, part in zip(t.column(0).to_pylist(), t.column(1).to_pylist(), strict=True):
         bits[shard * own : (shard + 1) * own] = np.frombuffer(part, np.uint8)
-    return bits
+    return df.sparkSession.sparkContext.broadcast(bits)
 
 
-def word_filter(words: DataFrame, least: int, shards: int) -> np.ndarray:
+def word_filter(words: DataFrame, least: int, shards: int, power: int):
     def bits(t: pa.Table) -> pa.Table:
         shard = t.column("shard")[0].as_py()
-        return pa.table({"shard": pa.array([shard], pa.int32()), "bits": pa.array([_filter_bits(shard, shards, t.column("id").to_numpy().astype(np.int64).view(np.uint64))], pa.binary())})
+        return pa.table({"shard": pa.array([shard], pa.int32()), "bits": pa.array([_filter_bits(shard, shards, power, t.column("id").to_numpy().astype(np.int64).view(np.uint64))], pa.binary())})
 
     frequent = words.where(F.col("n") >= least).select(F.shiftrightunsigned("id", 64 - shards).cast("int").alias("shard"), "id")
-    return collected_filter(frequent.groupBy("shard").applyInArrow(bits, "shard int, bits binary"), shards)
+    return collected_filter(frequent.groupBy("shard").applyInArrow(bits, "shard int, bits binary"), shards, power)
 
 
-def buckets(chunks: DataFrame, size: int, filters: list[np.ndarray], least: int, shards: int) -> DataFrame:
+def buckets(chunks: DataFrame, size: int, filters: list, least: int, shards: int, power: int) -> DataFrame:
     """(shard, n, codes, bits): the buckets that at least so many phrases fall in, and the shard's part of their filter."""
-    held = chunks.sparkSession.sparkContext.broadcast(filters)
     low = np.uint64(32 - shards)  # a code is the shard, then 32 bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +282,7 @@ def buckets(chunks: DataFrame, size: int, filters: list[np.ndarray], least: int,
 
         codes, count = [], 0
         for batch in batches:
-            for _, _, h in phrases(batch, size, held.value):
+            for _, _, h in phrases(batch, size, filters):
                 codes.append(h >> low)
                 count += len(h)
                 if count >= HELD:
@@ -300,7 +299,7 @@ def buckets(chunks: DataFrame, size: int, filters: list[np.ndarray], least: int,
         code, n = code[order], n[order]
         first = np.concatenate(([0], np.flatnonzero(code[1:] != code[:-1]) + 1))
         code = code[first][np.add.reduceat(n, first) >= least].astype(np.uint64) | np.uint64(shard) << np.uint64(32)
-        return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([len(code)], pa.int64()), "codes": pa.array([code.tobytes()], pa.binary()), "bits": pa.array([_filter_bits(shard, shards, code << low)], pa.binary())})
+        return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([len(code)], pa.int64()), "codes": pa.array([code.tobytes()], pa.binary()), "bits": pa.array([_filter_bits(shard, shards, power, code << low)], pa.binary())})
 
     return keep(chunks.mapInArrow(released(run), "shard int, data binary").groupBy("shard").applyInArrow(summed, "shard int, n long, codes binary, bits binary"), "buckets")
 
@@ -323,10 +322,9 @@ def block_of(df: DataFrame, column: str, block: tuple[int, int]) -> np.ndarray:
     return np.frombuffer(b"".join(t.column(1).to_pylist()), np.uint64)
 
 
-def candidate_keys(chunks: DataFrame, size: int, filters: list[np.ndarray], found: DataFrame, shards: int) -> DataFrame:
+def candidate_keys(chunks: DataFrame, size: int, filters: list, found: DataFrame, shards: int) -> DataFrame:
     """(shard, n, keys): the distinct phrases that fall in the buckets found."""
     sc, low, schema = chunks.sparkSession.sparkContext, np.uint64(32 - shards), "shard int, n long, keys binary"
-    held = sc.broadcast(filters)
 
     def of(keys: np.ndarray) -> Iterator[pa.RecordBatch]:
         shard = (hashes(keys)[0] >> np.uint64(64 - shards)).astype(np.int64)
@@ -340,7 +338,7 @@ def candidate_keys(chunks: DataFrame, size: int, filters: list[np.ndarray], foun
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys, count = [], 0
             for batch in batches:
-                for ids, start, h in phrases(batch, size, held.value):
+                for ids, start, h in phrases(batch, size, filters):
                     code = h >> low
                     at = np.minimum(np.searchsorted(codes.value, code), len(codes.value) - 1)
                     keys.append(only(rows_of(ids, start[codes.value[at] == code], size)))
@@ -361,10 +359,12 @@ def candidate_keys(chunks: DataFrame, size: int, filters: list[np.ndarray], foun
         return pa.table({"shard": t.column("shard").slice(0, 1), "n": pa.array([len(keys)], pa.int64()), "keys": pa.array([keys.tobytes()], pa.binary())})
 
     def pass_of(block: tuple[int, int]) -> DataFrame:
-        codes = block_of(found, "codes", block)
-        return chunks.mapInArrow(released(seen_in(sc.broadcast(codes))), schema) if len(codes) else chunks.sparkSession.createDataFrame([], schema)
+        codes = sc.broadcast(block_of(found, "codes", block))
+        done = keep(chunks.mapInArrow(released(seen_in(codes)), schema).groupBy("shard").applyInArrow(merged, schema), "keys")
+        codes.destroy()
+        return done
 
-    return _all(chunks, [keep(pass_of(b).groupBy("shard").applyInArrow(merged, schema), "keys") for b in shard_blocks(found.where("n > 0"))], schema)
+    return _all(chunks, [pass_of(b) for b in shard_blocks(found.where("n > 0"))], schema)
 
 
 def _all(like: DataFrame, parts: list[DataFrame], schema: str) -> DataFrame:
@@ -392,10 +392,10 @@ def tree_sum(df: DataFrame, tasks: int) -> DataFrame:
     return df
 
 
-def counted(chunks: DataFrame, size: int, filters: list[np.ndarray], keys: DataFrame, least: int, shards: int) -> DataFrame:
+def counted(chunks: DataFrame, size: int, filters: list, keys: DataFrame, least: int, shards: int) -> DataFrame:
     """(key, a): the phrases among keys that occur at least so often, with their exact counts; a pass over the chunks for each block of keys."""
     sc = chunks.sparkSession.sparkContext
-    held, tasks = sc.broadcast(filters), chunks.rdd.getNumPartitions()
+    tasks = chunks.rdd.getNumPartitions()
 
     def pass_of(block: tuple[int, int]) -> DataFrame:
         slots = sc.broadcast(Slots(block_of(keys, "keys", block).reshape(-1, size)))
@@ -405,7 +405,7 @@ def counted(chunks: DataFrame, size: int, filters: list[np.ndarray], keys: DataF
 
             n = np.zeros(len(slots.value.keys), np.int64)
             for batch in batches:
-                for ids, start, h in phrases(batch, size, held.value):
+                for ids, start, h in phrases(batch, size, filters):
                     shard = h >> np.uint64(64 - shards)
                     got = slots.value.find(rows_of(ids, start[(shard >= block[0]) & (shard < block[1])], size))
                     n += np.bincount(got[got >= 0], minlength=len(n))
@@ -422,7 +422,9 @@ def counted(chunks: DataFrame, size: int, filters: list[np.ndarray], keys: DataF
                     at = np.cumsum(step, dtype=np.uint32)[often].astype(np.int64) + which * SLICE
                     yield pa.RecordBatch.from_arrays([pa.array([k.tobytes() for k in slots.value.keys[at]], pa.binary()), pa.array(n[often].astype(np.int64))], ["key", "a"])
 
-        return keep(tree_sum(chunks.mapInArrow(released(run), "slice int, node int, data binary"), tasks).mapInArrow(named, "key binary, a long"), "counted")
+        done = keep(tree_sum(chunks.mapInArrow(released(run), "slice int, node int, data binary"), tasks).mapInArrow(named, "key binary, a long"), "counted")
+        slots.destroy()
+        return done
 
     return _all(chunks, [pass_of(b) for b in shard_blocks(keys)], "key binary, a long")
 
@@ -462,7 +464,9 @@ def cuts(candidates: DataFrame, parts: DataFrame, size: int = 4) -> DataFrame:
                             got[f"{side}{c}"][own] = np.where(at >= 0, n[at] if len(n) else -1, -1)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, mask=v < 0) for v in got.values())], ["key", "a", *names])
 
-        return keep(candidates.select("key", "a").mapInArrow(run, "key binary, a long, " + ", ".join(f"{c} long" for c in names)), "cuts")
+        done = keep(candidates.select("key", "a").mapInArrow(run, "key binary, a long, " + ", ".join(f"{c} long" for c in names)), "cuts")
+        held.destroy()
+        return done
 
     read = [pass_of(b) for b in range(blocks)]
     return read[0] if blocks == 1 else reduce(DataFrame.unionByName, read).groupBy("key", "a").agg(*(F.max(c).alias(c) for c in names))
@@ -480,12 +484,15 @@ def frequent_phrases(docs: DataFrame, least: int = 30, size: int = 4) -> tuple[D
     chunks, words = numbered(docs)
     total = words.agg(F.sum("n")).first()[0] or 0
     shards = min(max(6, (total >> 21).bit_length()), 20)
-    filters, out = [word_filter(words, least, shards)], []
+    power = min(max(total.bit_length() + 2, shards + 3), FILTER)
+    filters, out = [word_filter(words, least, shards, power)], []
     for k in range(2, size + 1):
-        found = buckets(chunks, k, filters, least, shards)
-        filters.append(collected_filter(found, shards))
+        found = buckets(chunks, k, filters, least, shards, power)
+        filters.append(collected_filter(found, shards, power))
         keys = candidate_keys(chunks, k, filters, found, shards)
         out.append(counted(chunks, k, filters, keys, least, shards))
+    for held in filters:
+        held.destroy()
     return words, _all(chunks, out, "key binary, a long")
 
 
