@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.operators.ranks import numbered, percentiles
+
 # The evidence features, in the order of the feature vector.
 FEATURES = ("paper", "sentence", "cre_Cause-associated", "cre_Appositive", "cre_In-patient", "spacy_ore", "openie_ore", "tagore_positive", "tagore_mutation", "tagore_mutations", "tagore_glof", "gpt_paper", "gpt_triplet")
 # Thresholds and percentiles of odds ratios.
@@ -19,8 +21,8 @@ def last_line(ann: DataFrame) -> DataFrame:
     """One row a disease: of repeated lines the last."""
     if "line_no" not in ann.columns:
         return ann
-    r = F.row_number().over(Window.partitionBy("mesh").orderBy(F.desc("line_no")))
-    return ann.withColumn("_r", r).where("_r = 1").drop("_r")
+    last = ann.groupBy(F.col("mesh").alias("_m")).agg(F.max_by(F.struct(*ann.columns), "line_no").alias("r"))
+    return last.select("r.*")
 
 
 def normalized(ann: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -85,13 +87,21 @@ def feature_scores(gold: DataFrame, evidence: DataFrame, methods: dict[str, list
     return method_scores(pair_table(gold, evidence, tuple(f for fs in methods.values() for f in fs)), methods).drop("y")
 
 
-def odds_stats(odds: DataFrame, *more: str) -> DataFrame:
-    """(mesh, gene, more.., or_count_N.., or_log_mean, or_percentile_N..): positive odds ratios at or above each threshold; logs of the positive ones, 0 if none."""
+def odds_stats(odds: DataFrame, *more: str, with_percentiles: bool = True) -> DataFrame:
+    """(mesh, gene, more.., or_count_N.., or_log_mean, or_percentile_N..): positive odds ratios at or above each threshold; logs of the positive ones, 0 if none.
+
+    The percentiles are exact for a pair with any number of ratios (ranks.percentiles).
+    """
     good = (F.col("odds_ratio") > 0) & ~F.isnan("odds_ratio")
     log = F.when(good, F.ln("odds_ratio"))
-    pct = F.percentile(log, F.array(*(F.lit(p / 100) for p in PERCENTILES)))
-    g = odds.groupBy("mesh", "gene", *more).agg(*(F.count_if(good & (F.col("odds_ratio") >= t)).alias(f"or_count_{t}") for t in THRESHOLDS), F.coalesce(F.avg(log), F.lit(0.0)).alias("or_log_mean"), pct.alias("_p"))
-    return g.select("mesh", "gene", *more, *(f"or_count_{t}" for t in THRESHOLDS), "or_log_mean", *(F.coalesce(F.get("_p", F.lit(i)), F.lit(0.0)).alias(f"or_percentile_{p}") for i, p in enumerate(PERCENTILES)))
+    by, names = ["mesh", "gene", *more], [f"or_percentile_{p}" for p in PERCENTILES]
+    g = odds.groupBy(*by).agg(*(F.count_if(good & (F.col("odds_ratio") >= t)).alias(f"or_count_{t}") for t in THRESHOLDS), F.coalesce(F.avg(log), F.lit(0.0)).alias("or_log_mean"))
+    if not with_percentiles:
+        return g
+    p = percentiles(odds.select(*by, log.alias("_log")), by, "_log", dict(zip(names, (p / 100 for p in PERCENTILES), strict=True)))
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)]
+    both = g.join(p.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(by)), *names), same, "left")
+    return both.select(*g.columns, *(F.coalesce(c, F.lit(0.0)).alias(c) for c in names))
 
 
 def odds_scores(pairs: DataFrame, odds: DataFrame, *features: str) -> DataFrame:
@@ -103,7 +113,7 @@ def odds_scores(pairs: DataFrame, odds: DataFrame, *features: str) -> DataFrame:
     for f in features:
         if f not in known and f.startswith(("or_count_", "or_percentile_")):
             raise KeyError(f)
-    s = odds_stats(odds.join(pairs.select("mesh", "gene", "y"), ["mesh", "gene"]), "y")
+    s = odds_stats(odds.join(pairs.select("mesh", "gene", "y"), ["mesh", "gene"]), "y", with_percentiles=any(f.startswith("or_percentile_") for f in features))
     cell = lambda f: F.struct(F.lit(f).alias("method"), F.when(F.col(f if f.startswith("or_count_") else "or_count_0") > 0, F.col(f).cast("double")).alias("score"))
     cells = [cell(f) for f in features if f in known] or [F.struct(F.lit("").alias("method"), F.lit(None).cast("double").alias("score"))]
     return s.select("mesh", "gene", "y", F.explode(F.array(*cells)).alias("m")).select("m.method", "mesh", "gene", "y", "m.score").where("score is not null")
@@ -142,16 +152,17 @@ def feature_matrix(gold: DataFrame, evidence: DataFrame, odds: DataFrame, vector
 def matrix_of(pairs: DataFrame, odds: DataFrame, vectors: DataFrame | None, dimension: int, features: tuple[str, ...] = FEATURES) -> DataFrame:
     """The feature matrix of a pair table that has the features. Genes are counted among keys and numbers; vectors join after that."""
     names = [f"f{i}" for i in range(len(features) + 1)]
-    wide = pairs.select("mesh", "gene", "y", *(F.col(f"`f:{f}`").alias(n) for f, n in zip(features, names, strict=False)), gold_first().alias("pos"))
-    d = wide.join(odds_stats(odds).select("mesh", "gene", F.col("or_count_0").cast("double").alias(names[-1])), ["mesh", "gene"], "left")
+    wide = gold_first(pairs.select("mesh", "gene", "y", *(F.col(f"`f:{f}`").alias(n) for f, n in zip(features, names, strict=False))))
+    d = wide.join(odds_stats(odds, with_percentiles=False).select("mesh", "gene", F.col("or_count_0").cast("double").alias(names[-1])), ["mesh", "gene"], "left")
     d = min_max(d.select("mesh", "gene", "y", "pos", *(F.coalesce(n, F.lit(0.0)).alias(n) for n in names)), names, "mesh")
     zero = F.array_repeat(F.lit(0.0), dimension)
     d = d.join(vectors.select("mesh", "gene", "vector"), ["mesh", "gene"], "left") if vectors is not None else d.withColumn("vector", F.lit(None).cast("array<double>"))
     return d.select("mesh", "gene", "y", "pos", F.concat(F.array(*names, *(f"{n}_scaled" for n in names)), F.coalesce("vector", zero)).alias("x"))
 
 
-def gold_first() -> Column:
-    return F.row_number().over(Window.partitionBy("mesh").orderBy(F.desc("y"), "gene"))
+def gold_first(pairs: DataFrame) -> DataFrame:
+    """pairs with pos, the place of a gene in its disease, the gold ones first."""
+    return numbered(pairs, ["mesh"], ["-y", "gene"], "pos")
 
 
 def capped(matrix: DataFrame, most: int = MOST_GENES) -> DataFrame:

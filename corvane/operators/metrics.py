@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.operators.ranks import running
+
 
 def average_precision(scored: DataFrame, *by: str) -> DataFrame:
     """(by.., positives, ap) from rows (by.., score, y): rows that tie in score share a threshold.
 
-    Rows are first summed up by score, so the window sees distinct scores only.
+    Rows are first summed up by score; counts run down the scores over range partitions, so a group
+    with most of the rows, all of different scores, is spread too.
     """
-    steps = scored.groupBy(*by, "score").agg(F.count("*").alias("n"), F.sum(F.col("y").cast("bigint")).alias("p"))
-    down = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    part = steps.select(*by, "p", (F.col("p") * F.sum("p").over(down) / F.sum("n").over(down)).alias("a"))
+    steps = scored.groupBy(*by, "score").agg(F.count("*").alias("_n"), F.sum(F.col("y").cast("bigint")).alias("p"))
+    down = running(steps, list(by), ["-score"], _cn=F.col("_n"), _cp=F.col("p"))
+    part = down.select(*by, "p", (F.col("p") * F.col("_cp") / F.col("_cn")).alias("a"))
     return part.groupBy(*by).agg(F.sum("p").alias("positives"), F.try_divide(F.sum("a"), F.sum("p")).alias("ap"))
 
 

@@ -1,229 +1,150 @@
-"""Leave-one-disease-out rankers: ridge regression by moments, and LambdaMART."""
+"""Leave-one-disease-out rankers: ridge regression by moments, and runs of both rankers."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.operators.boosting import lambdamart_loo
 from corvane.session import keep
 
 
-def ridge_loo(matrix: DataFrame, alpha: float = 1.0, column: str = "vector") -> DataFrame:
+#: Columns of a tile of a Gram matrix, and tiles that a task adds up at a time.
+TILE, FAN = 512, 16
+
+
+def _tiles(gram: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """The upper triangle of a symmetric matrix in tiles."""
+    for i in range(0, len(gram), TILE):
+        for j in range(i, len(gram), TILE):
+            yield i // TILE, j // TILE, np.ascontiguousarray(gram[i : i + TILE, j : j + TILE]).tobytes()
+
+
+def _square(t: pa.Table, size: int) -> np.ndarray:
+    """The matrix of its tiles (i, j, m)."""
+    out = np.zeros((size, size))
+    for i, j, m in zip(t.column("i").to_pylist(), t.column("j").to_pylist(), t.column("m").to_pylist(), strict=True):
+        a, b = slice(i * TILE, min(size, (i + 1) * TILE)), slice(j * TILE, min(size, (j + 1) * TILE))
+        out[a, b] = np.frombuffer(m).reshape(a.stop - a.start, -1)
+        out[b, a] = out[a, b].T
+    return out
+
+
+def _added(tiles: DataFrame, parts: int, *by: str) -> DataFrame:
+    """(by.., i, j, m) from (by.., part, i, j, m): tiles are added FAN at a time, so a task's memory does not grow with their number."""
+    kinds = dict(tiles.dtypes)
+    key = [*by, "i", "j"]
+
+    def add(t: pa.Table) -> pa.Table:
+        total = np.zeros(len(t.column("m")[0].as_py()) // 8)
+        for m in t.column("m"):
+            total += np.frombuffer(m.as_buffer())
+        return pa.table({**{c: t.column(c).slice(0, 1) for c in [*key, "part"]}, "m": pa.array([total.tobytes()], pa.binary())})
+
+    while parts > 1:
+        parts = -(-parts // FAN)
+        tiles = tiles.withColumn("part", F.expr(f"part div {FAN}").cast("int"))
+        tiles = tiles.groupBy(*key, "part").applyInArrow(add, ", ".join(f"{c} {kinds[c]}" for c in [*key, "part"]) + ", m binary")
+    return tiles.drop("part")
+
+
+def _rows(y: pa.Array, x: pa.Array, size: int) -> np.ndarray:
+    """Ones, features, labels: what a Gram matrix is of."""
+    y, x = y.to_numpy(zero_copy_only=False), x.flatten().to_numpy(zero_copy_only=False)
+    return np.column_stack([np.ones(len(y)), x.reshape(len(y), size - 2), y])
+
+
+def ridge_loo(matrix: DataFrame, alpha: float = 1.0, column: str = "vector", most_rows: int | None = None) -> DataFrame:
     """(mesh, gene, score) from (mesh, gene, y, vector): each disease is scored by a ridge fitted on all others.
 
-    With an intercept that isn't penalized. The fit needs sums of products only. Each partition adds
-    up a packed d x d block a disease, blocks are added by disease, and then over all diseases; a
-    disease's own are subtracted before its system is solved. Its coefficients, d numbers, are joined
-    to its rows and applied in the JVM, so a large disease is spread over tasks, and the data is read
-    twice, not once a fold.
+    With an intercept that isn't penalized; null diseases are one more disease, a vector may not hold
+    nulls. The Gram matrix of all rows is summed a task, and over tasks tile by tile. Let P be the inverse
+    of its centred part plus alpha. A disease of at most `most_rows` rows (as many as columns, if not
+    given) is a correction of low rank to it: with Z its centred rows, H = 1/n + Z P Z' and e its
+    residuals in the fit of all rows, its scores without itself are y - (I - H)^-1 e, one system of its own
+    size. A larger one has more rows than the matrix has columns, so the tiles of its own Gram matrix,
+    of parts of as many rows, are no more than the rows: they are added, taken from the total, and the
+    solution is joined to its rows, which stay spread over tasks. Nothing held grows with the rows or tasks.
     """
-    kinds = dict(matrix.dtypes)
-    data = matrix.select("mesh", "gene", F.col("y").cast("double").alias("y"), F.transform(column, lambda x: x.cast("double")).alias("x"))
-    packed = f"mesh {kinds['mesh']}, m binary"
+    spark, kinds = matrix.sparkSession, dict(matrix.dtypes)
+    mesh, gene = kinds["mesh"], kinds["gene"]
+    data = keep(matrix.select("mesh", "gene", F.col("y").cast("double").alias("y"), F.transform(column, lambda x: x.cast("double")).alias("x")), "ridge")
+    seen = data.agg(F.max(F.size("x")).alias("d"), F.count("*").alias("n")).first()
+    if not seen["n"]:
+        return data.select("mesh", "gene", F.lit(0.0).alias("score"))
+    size, total_rows = seen["d"] + 2, seen["n"]
+    most_rows = most_rows or max(64, size)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[object, np.ndarray] = {}
-        for batch in batches:
-            mesh, y, x = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2)
-            a = np.column_stack([np.ones(len(mesh)), x.flatten().to_numpy(zero_copy_only=False).reshape(len(mesh), -1), y])
-            for k in dict.fromkeys(mesh):
-                own = a[[i for i, v in enumerate(mesh) if v == k]]
-                sums[k] = sums[k] + own.T @ own if k in sums else own.T @ own
-            if len(sums) * a.shape[1] ** 2 * 8 > 1 << 27:  # what is held stays below 128 MB and one block
-                yield _blocks(sums, batch.schema.field("mesh").type)
-                sums = {}
-        if sums:
-            yield _blocks(sums, batch.schema.field("mesh").type)
-
-    def added(t: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(m) for m in t.column("m").to_pylist())
-        return pa.table({"mesh": t.column("mesh").slice(0, 1), "m": pa.array([total.tobytes()], pa.binary())})
-
-    def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            for m in batch.column(0).to_pylist():
-                total = np.frombuffer(m).copy() if total is None else total + np.frombuffer(m)
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["mesh", "m"])
-
-    own = keep(data.select("mesh", "y", "x").mapInArrow(partial, packed).groupBy("mesh").applyInArrow(added, packed), "moments")
-    whole = keep(own.select("m").mapInArrow(all_of, "mesh int, m binary").groupBy("mesh").applyInArrow(added, "mesh int, m binary"), "moments")
-
-    def solved(t: pa.Table) -> pa.Table:
-        mesh, base, slope = t.column("mesh"), [], []
-        for m, all_ in zip(t.column("m").to_pylist(), t.column("w").to_pylist(), strict=True):
-            rest = np.frombuffer(all_) - np.frombuffer(m)
-            rest = rest.reshape(int(round(len(rest) ** 0.5)), -1)
-            n, d = rest[0, 0], len(rest) - 2
-            if n < 0.5:
-                base.append(0.0)
-                slope.append([0.0] * d)
-                continue
-            mean = rest[0, 1:] / n
-            cov = rest[1:, 1:] - n * np.outer(mean, mean)
-            b = np.linalg.solve(cov[:d, :d] + alpha * np.eye(d), cov[:d, d])
-            base.append(float(mean[d] - mean[:d] @ b))
-            slope.append(b.tolist())
-        return pa.table({"mesh": mesh, "base": pa.array(base, pa.float64()), "slope": pa.array(slope, pa.list_(pa.float64()))})
+        from pyspark import TaskContext
 
-    def folds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gram = None
         for batch in batches:
-            for i in range(batch.num_rows):
-                yield from solved(pa.Table.from_batches([batch.slice(i, 1)])).to_batches()
-
-    both = own.join(F.broadcast(whole.select(F.col("m").alias("w"))))  # one row, d x d numbers
-    fit = keep(both.select("mesh", "m", "w").mapInArrow(folds, f"mesh {kinds['mesh']}, base double, slope array<double>"), "folds")
-    dot = F.aggregate(F.zip_with("x", "slope", lambda x, b: x * b), F.col("base"), lambda a, x: a + x)
-    return data.join(fit.withColumnRenamed("mesh", "_mesh"), F.col("mesh").eqNullSafe(F.col("_mesh"))).select("mesh", "gene", dot.alias("score"))
-
-
-def _blocks(sums: dict[object, np.ndarray], kind: pa.DataType) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(sums), kind), pa.array([m.tobytes() for m in sums.values()], pa.binary())], ["mesh", "m"])
-
-
-class Tree:
-    """A regression tree on binned features, grown leaf by leaf where the gain is largest."""
-
-    def __init__(self, leaves: int, depth: int, least: int, ridge: float = 1e-3) -> None:
-        self.leaves, self.depth, self.least, self.ridge = leaves, depth, least, ridge
-        self.nodes: list[tuple[int, int, int, int]] = []
-        self.values: list[float] = []
-
-    def _best(self, rows: np.ndarray) -> tuple[float, int, int]:
-        best = (0.0, -1, -1)
-        g, h, n = self.g[rows], self.h[rows], len(rows)
-        if n < 2 * self.least:
-            return best
-        base = g.sum() ** 2 / (h.sum() + self.ridge)
-        for f in range(self.bins.shape[1]):
-            b = self.bins[rows, f]
-            cg, ch, cn = (np.cumsum(np.bincount(b, w, 256)) for w in (g, h, None))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                gain = cg**2 / (ch + self.ridge) + (cg[-1] - cg) ** 2 / (ch[-1] - ch + self.ridge) - base
-            gain[(cn < self.least) | (n - cn < self.least)] = 0
-            k = int(gain.argmax())
-            if gain[k] > best[0] + 1e-12:
-                best = (float(gain[k]), f, k)
-        return best
-
-    def fit(self, bins: np.ndarray, g: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """Grows the tree; returns the value of each row's leaf."""
-        self.bins, self.g, self.h = bins, g, h
-        rows = np.arange(len(g))
-        open_ = {0: (rows, 0, self._best(rows))}
-        self.nodes = [(-1, 0, 0, 0)]
-        while len(open_) < self.leaves:
-            k = max(open_, key=lambda i: open_[i][2][0])
-            own, deep, (gain, f, cut) = open_[k]
-            if gain <= 0:
-                break
-            del open_[k]
-            left = self.bins[own, f] <= cut
-            at = len(self.nodes)
-            self.nodes[k] = (f, cut, at, at + 1)
-            self.nodes += [(-1, 0, 0, 0)] * 2
-            for i, part in ((at, own[left]), (at + 1, own[~left])):
-                more = self.depth <= 0 or deep + 1 < self.depth
-                open_[i] = (part, deep + 1, self._best(part) if more else (0.0, -1, -1))
-        self.values = [0.0] * len(self.nodes)
-        out = np.zeros(len(g))
-        for i, (own, _, _) in open_.items():
-            self.values[i] = float(g[own].sum() / (h[own].sum() + self.ridge))
-            out[own] = self.values[i]
-        del self.bins, self.g, self.h
+            a = _rows(batch.column(0), batch.column(1), size)
+            gram = a.T @ a if gram is None else np.add(gram, a.T @ a, out=gram)
+        for i, j, m in _tiles(gram) if gram is not None else ():
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([i], pa.int32()), pa.array([j], pa.int32()), pa.array([m], pa.binary())], ["part", "i", "j", "m"])
+
+    def inverse(t: pa.Table) -> pa.Table:
+        gram = _square(t, size)
+        n, mean = gram[0, 0], gram[0, 1:] / gram[0, 0]
+        cov = gram[1:, 1:] - n * np.outer(mean, mean)
+        p = np.linalg.inv(cov[:-1, :-1] + alpha * np.eye(size - 2))
+        said = {"gram": gram, "p": p, "mean": mean, "b": p @ cov[:-1, -1]}
+        return pa.table({"what": pa.array(list(said)), "m": pa.array([v.tobytes() for v in said.values()], pa.binary())})
+
+    sums = data.select("y", "x").mapInArrow(partial, "part int, i int, j int, m binary")
+    tiles = _added(sums, data.rdd.getNumPartitions())
+    got = {r["what"]: np.frombuffer(r["m"]) for r in tiles.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(inverse, "what string, m binary").collect()}  # d x d numbers, whatever the rows
+    held = spark.sparkContext.broadcast({"gram": got["gram"].reshape(size, size), "p": got["p"].reshape(size - 2, size - 2), "mean": got["mean"], "b": got["b"]})
+
+    def own_size(t: pa.Table) -> pa.Table:
+        fit, a = held.value, _rows(t.column("y").combine_chunks(), t.column("x").combine_chunks(), size)
+        n, y = fit["gram"][0, 0], a[:, -1]
+        if len(y) == total_rows:
+            score = np.zeros(len(y))
+        else:
+            z = a[:, 1:-1] - fit["mean"][:-1]
+            e = y - fit["mean"][-1] - z @ fit["b"]
+            score = y - np.linalg.solve(np.eye(len(y)) - 1 / n - z @ fit["p"] @ z.T, e)
+        return pa.table({"mesh": t.column("mesh"), "gene": t.column("gene"), "score": pa.array(score)})
+
+    counts = keep(data.groupBy("mesh").agg(F.count("*").alias("rows")), "sizes")
+    of = data.join(counts.withColumnRenamed("mesh", "_m"), F.col("mesh").eqNullSafe(F.col("_m"))).drop("_m")
+    out = of.where(F.col("rows") <= most_rows).groupBy("mesh").applyInArrow(own_size, f"mesh {mesh}, gene {gene}, score double")
+    largest = counts.agg(F.max("rows")).first()[0]
+    if largest <= most_rows:
         return out
 
-    def predict(self, bins: np.ndarray) -> np.ndarray:
-        at = np.zeros(len(bins), int)
-        nodes = np.array(self.nodes)
-        while (inner := nodes[at, 0] >= 0).any():
-            f, cut, left, right = nodes[at[inner]].T
-            at[inner] = np.where(bins[inner, f] <= cut, left, right)
-        return np.array(self.values)[at]
-
-
-class LambdaMART:
-    """Gradient-boosted trees on LambdaRank gradients (NDCG), binary or graded labels."""
-
-    def __init__(self, trees: int = 100, rate: float = 0.1, leaves: int = 31, depth: int = -1, least: int = 20, top: int = 30) -> None:
-        self.trees, self.rate, self.leaves, self.depth, self.least, self.top = trees, rate, leaves, depth, least, top
-
-    def _bins(self, x: np.ndarray) -> np.ndarray:
-        return np.column_stack([np.searchsorted(c, x[:, f]) for f, c in enumerate(self.cuts)]).astype(np.uint8)  # at most 254 cuts
-
-    def _gradients(self, y: np.ndarray, s: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        g, h = np.zeros(len(y)), np.zeros(len(y))
-        for a, b in zip(bounds, bounds[1:], strict=False):
-            lab, sc = y[a:b], s[a:b]
-            gain = 2.0**lab - 1
-            ideal = (np.sort(gain)[::-1][: self.top] / np.log2(np.arange(2, min(self.top, b - a) + 2))).sum()
-            if ideal <= 0 or lab.min() == lab.max():
-                continue
-            rank = np.empty(b - a, int)
-            rank[np.argsort(-sc, kind="stable")] = np.arange(b - a)
-            weight = 1 / np.log2(rank + 2)
-            for v in np.unique(lab)[1:]:
-                hi, lo = np.flatnonzero(lab == v), np.flatnonzero(lab < v)
-                for part in np.array_split(lo, max(1, len(lo) * len(hi) // 1_000_000)):
-                    near = np.minimum(rank[hi][:, None], rank[part][None, :]) < self.top
-                    delta = np.abs((gain[hi][:, None] - gain[part][None, :]) * (weight[hi][:, None] - weight[part][None, :])) / ideal * near
-                    p = 1 / (1 + np.exp(np.clip(sc[hi][:, None] - sc[part][None, :], -50, 50)))
-                    lam, hess = p * delta, p * (1 - p) * delta
-                    np.add.at(g, a + hi, lam.sum(1))
-                    np.add.at(g, a + part, -lam.sum(0))
-                    np.add.at(h, a + hi, hess.sum(1))
-                    np.add.at(h, a + part, hess.sum(0))
-        return g, h
-
-    def fit(self, x: np.ndarray, y: np.ndarray, groups: list[int]) -> LambdaMART:
-        self.cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, 256)[1:-1], method="lower")) for f in range(x.shape[1])]
-        bins, bounds = self._bins(x), np.concatenate(([0], np.cumsum(groups)))
-        score, self.model = np.zeros(len(y)), []
-        for _ in range(self.trees):
-            g, h = self._gradients(y, score, bounds)
-            if not np.abs(g).any():
-                break
-            t = Tree(self.leaves, self.depth, self.least)
-            score += self.rate * t.fit(bins, g, h)
-            self.model.append(t)
-        return self
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        bins = self._bins(x)
-        return self.rate * sum((t.predict(bins) for t in self.model), np.zeros(len(x)))
-
-
-def lambdamart_loo(matrix: DataFrame, most: int = 10_000, limit_rows: int = 5_000_000, **options) -> DataFrame:
-    """(mesh, gene, score) from (mesh, gene, y, pos, x): each disease is scored by a ranker trained on all others, `most` genes of each.
-
-    A fold is a task. Every fold trains on nearly all rows, so a task holds the training table: its
-    rows are counted first and refused above limit_rows, beyond which one would train on fewer
-    diseases. The labels and features are sent once, as float32.
-    """
-    train = matrix.where(F.col("pos") <= most)
-    if (rows := train.count()) > limit_rows:
-        raise ValueError(f"{rows} training rows don't fit in one task; the limit is {limit_rows}")
-    pdf = train.select("mesh", "pos", "y", "x").orderBy("mesh", "pos").toPandas()
-    x = np.array(pdf.x.tolist(), np.float32) if len(pdf) else np.zeros((0, 1), np.float32)
-    held = matrix.sparkSession.sparkContext.broadcast((pdf.mesh.to_numpy(), pdf.y.to_numpy(float), x))
-
-    def fold(test: pd.DataFrame) -> pd.DataFrame:
-        mesh, y, x = held.value
-        rest = mesh != test.mesh.iloc[0]
-        out = np.zeros(len(test))
-        if rest.any():
-            groups = np.diff(np.flatnonzero(np.concatenate(([True], mesh[rest][1:] != mesh[rest][:-1], [True])))).tolist()
-            out = LambdaMART(**options).fit(x[rest], y[rest], groups).predict(np.array(test.x.tolist(), np.float32))
-        return pd.DataFrame({"mesh": test.mesh, "gene": test.gene, "score": out})
-
-    kinds = dict(matrix.dtypes)
-    return matrix.groupBy("mesh").applyInPandas(fold, f"mesh {kinds['mesh']}, gene {kinds['gene']}, score double")
+    def own_gram(t: pa.Table) -> pa.Table:
+        a = _rows(t.column("y").combine_chunks(), t.column("x").combine_chunks(), size)
+        lines = list(_tiles(a.T @ a))
+        one = t.select(["mesh", "part"]).take([0] * len(lines))
+        return pa.table({"mesh": one.column("mesh"), "part": one.column("part"), "i": pa.array([x[0] for x in lines], pa.int32()), "j": pa.array([x[1] for x in lines], pa.int32()), "m": pa.array([x[2] for x in lines], pa.binary())})
+
+    def without(t: pa.Table) -> pa.Table:
+        rest = held.value["gram"] - _square(t, size)
+        n, d = rest[0, 0], size - 2
+        if n < 0.5:
+            base, slope = 0.0, np.zeros(d)
+        else:
+            mean = rest[0, 1:] / n
+            cov = rest[1:, 1:] - n * np.outer(mean, mean)
+            slope = np.linalg.solve(cov[:d, :d] + alpha * np.eye(d), cov[:d, d])
+            base = float(mean[d] - mean[:d] @ slope)
+        return pa.table({"mesh": t.column("mesh").slice(0, 1), "base": pa.array([base]), "slope": pa.array([slope.tolist()])})
+
+    parts = -(-largest // most_rows)
+    large = of.where(F.col("rows") > most_rows)
+    dealt = large.withColumn("part", F.pmod(F.xxhash64("gene", "y"), F.ceil(F.col("rows") / most_rows)).cast("int")).drop("rows", "gene")
+    grams = _added(dealt.groupBy("mesh", "part").applyInArrow(own_gram, f"mesh {mesh}, part int, i int, j int, m binary"), parts, "mesh")
+    fit = keep(grams.groupBy("mesh").applyInArrow(without, f"mesh {mesh}, base double, slope array<double>"), "folds")
+    dot = F.aggregate(F.zip_with("x", "slope", lambda x, b: x * b), F.col("base"), lambda a, x: a + x)
+    return out.unionByName(large.join(fit.withColumnRenamed("mesh", "_mesh"), F.col("mesh").eqNullSafe(F.col("_mesh"))).select("mesh", "gene", dot.alias("score")))
 
 
 def run_ridge(gold: DataFrame, evidence: DataFrame, vectors: DataFrame, alpha: float = 1.0, method: str = "ridge") -> tuple[DataFrame, DataFrame]:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.operators.ranks import first_rows, numbered
 from corvane.session import keep
 
 SUPPORT = 50
@@ -41,15 +42,11 @@ def token_stats(scores: DataFrame, gold: DataFrame, support: int = SUPPORT) -> D
     return s.where(F.col("dgs") >= support)
 
 
-def ranking() -> list[Column]:
-    """By gold share of the score, gold pairs, gold share of the pairs, all falling; then by token."""
-    return [F.desc(F.col("gold_score") / F.col("score")), F.desc("gold_dgs"), F.desc(F.col("gold_dgs") / F.col("dgs")), F.asc("token")]
-
-
 def ranked(stats: DataFrame) -> DataFrame:
-    """stats with gold_score_ratio as a percentage and rank. The table has a row a token of the vocabulary that has support, no more."""
+    """stats with gold_score_ratio as a percentage and rank: by gold share of the score, gold pairs, gold share of the pairs, all falling; then by token."""
     pct = T.percent(F.col("gold_score") / F.col("score"))
-    return stats.select("token", pct.alias("gold_score_ratio"), "gold_score", "score", "gold_dgs", "dgs", F.row_number().over(Window.orderBy(*ranking())).alias("rank"))
+    d = stats.select("token", pct.alias("gold_score_ratio"), "gold_score", "score", "gold_dgs", "dgs", (F.col("gold_score") / F.col("score")).alias("_share"), (F.col("gold_dgs") / F.col("dgs")).alias("_pairs"))
+    return numbered(d, [], ["-_share", "-gold_dgs", "-_pairs", "token"], "rank").drop("_share", "_pairs")
 
 
 def restricted(scores: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -103,5 +100,4 @@ def stratified(evidence: DataFrame, pairs: int, seed: int = 0) -> DataFrame:
     """Per token and label so many pairs, and of each one triplet, by md5 order: the same for any partitioning. Small strata give all they have."""
     h = lambda *c: F.md5(F.concat_ws("|", *c, F.lit(str(seed))))
     one = evidence.groupBy("token", "label", "mesh", "gene").agg(F.min_by(F.struct("pmid", "h", "r", "t"), F.struct(h("pmid", "h", "r", "t"), "pmid", "h", "r", "t")).alias("x"))
-    w = Window.partitionBy("token", "label").orderBy(h("mesh", "gene"), "mesh", "gene")
-    return one.withColumn("n", F.row_number().over(w)).where(F.col("n") <= pairs).select("token", "label", "mesh", "gene", "x.pmid", F.concat_ws(" ", "x.h", "x.r", "x.t").alias("triplet"))
+    return first_rows(one.withColumn("_h", h("mesh", "gene")), ["token", "label"], ["_h", "mesh", "gene"], pairs).select("token", "label", "mesh", "gene", "x.pmid", F.concat_ws(" ", "x.h", "x.r", "x.t").alias("triplet"))

@@ -74,4 +74,11 @@ def keep(df: DataFrame, name: str = "part", compression: str = "zstd") -> DataFr
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._kept_at = path
+    return kept
+
+
+def discard(kept: DataFrame) -> None:
+    """Removes what keep wrote, once nothing reads it any more; what isn't discarded goes when the application ends."""
+    _remove(kept.sparkSession, kept._kept_at)

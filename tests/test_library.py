@@ -9,12 +9,13 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corvane import schemas
 from corvane.functions import text as T
 from corvane.functions.stem import stem
-from corvane.operators import asking, curation, embed, evidence, metrics, ore, rankers, tokens
+from corvane.operators import asking, boosting, curation, embed, evidence, metrics, ore, rankers, ranks, tokens
 from corvane.sources import readers, sinks
 from corvane.streaming import incremental, model_client
 
@@ -283,32 +284,142 @@ def test_pooling(spark):
 # ---- rankers
 
 
-def test_ridge_equals_refit(spark):
+@pytest.mark.parametrize("most_rows", [None, 4, 15])  # every disease small, every one large, both
+def test_ridge_equals_refit(spark, monkeypatch, most_rows):
+    monkeypatch.setattr(rankers, "TILE", 3)  # several tiles and levels of sums
+    monkeypatch.setattr(rankers, "FAN", 2)
     r = np.random.default_rng(0)
-    x, y, mesh = r.normal(size=(80, 5)), r.integers(0, 2, 80), r.integers(0, 6, 80)
-    df = spark.createDataFrame([(int(m), i, int(t), v.tolist()) for i, (m, t, v) in enumerate(zip(mesh, y, x))], "mesh int, gene int, y int, vector array<double>").repartition(5)
-    got = {a["gene"]: a["score"] for a in rows(rankers.ridge_loo(df))}
+    x, y, mesh = r.normal(size=(80, 5)) * 3 + 7, r.integers(0, 2, 80), r.choice(6, 80, p=[0.4, 0.2, 0.1, 0.1, 0.1, 0.1])
+    df = spark.createDataFrame([(int(m) or None, i, int(t), v.tolist()) for i, (m, t, v) in enumerate(zip(mesh, y, x))], "mesh int, gene int, y int, vector array<double>").repartition(5)
+    got = {a["gene"]: a["score"] for a in rows(rankers.ridge_loo(df, most_rows=most_rows))}
+    assert len(got) == 80
     for m in set(mesh):
         a, b = x[mesh != m], y[mesh != m]
         w = np.linalg.solve((a - a.mean(0)).T @ (a - a.mean(0)) + np.eye(5), (a - a.mean(0)).T @ (b - b.mean()))
         for i in np.flatnonzero(mesh == m):
-            assert got[int(i)] == pytest.approx(b.mean() + (x[i] - a.mean(0)) @ w, abs=1e-10)
+            assert got[int(i)] == pytest.approx(b.mean() + (x[i] - a.mean(0)) @ w, abs=1e-9)
 
 
-def test_lambdamart_learns(spark):
+def test_ridge_of_one_disease_and_of_none(spark):
+    one = spark.createDataFrame([(1, i, i % 2, [float(i), 1.0]) for i in range(9)], "mesh int, gene int, y int, vector array<double>")
+    assert {a["score"] for a in rows(rankers.ridge_loo(one))} == {0.0} == {a["score"] for a in rows(rankers.ridge_loo(one, most_rows=3))}
+    assert rows(rankers.ridge_loo(one.limit(0))) == []
+
+
+def _ranking_data(spark, diseases=6, genes=60):
     r = np.random.default_rng(1)
     data = []
-    for m in range(6):
-        for g in range(60):
+    for m in range(diseases):
+        for g in range(genes):
             v = r.normal(size=4)
-            data.append((m, g, int(v[0] * v[1] > 0.9), [float(a) for a in v]))
-    df = spark.createDataFrame(data, "mesh int, gene int, y int, x array<double>").withColumn("pos", F.row_number().over(__import__("pyspark").sql.Window.partitionBy("mesh").orderBy(F.desc("y"), "gene")))
-    s = rankers.lambdamart_loo(df, trees=40, leaves=8, least=5).join(df.select("mesh", "gene", "y"), ["mesh", "gene"])
-    ap = [x["ap"] for x in rows(metrics.average_precision(s, "mesh")) if x["ap"] is not None]
-    alone = [x["ap"] for x in rows(metrics.average_precision(df.select("mesh", "gene", "y", F.col("x")[0].alias("score")), "mesh")) if x["ap"] is not None]
-    assert np.mean(ap) > 0.6 > np.mean(alone)
-    with pytest.raises(ValueError, match="limit"):
-        rankers.lambdamart_loo(df, limit_rows=10)
+            data.append((m or None, g, int(v[0] * v[1] > 0.9), [float(a) for a in v]))
+    return evidence.gold_first(spark.createDataFrame(data, "mesh int, gene int, y int, x array<double>").repartition(4))
+
+
+def test_lambdamart_learns(spark, monkeypatch):
+    monkeypatch.setattr(boosting, "PARTITION", 300)  # a disease or two a partition
+    monkeypatch.setattr(boosting, "FAN", 2)  # histograms added in levels
+    df = _ranking_data(spark).cache()
+    s = rankers.lambdamart_loo(df, trees=12, rate=0.3, leaves=8, least=5, at_once=4)
+    scored = s.withColumn("m", F.coalesce("mesh", F.lit(0))).drop("mesh").join(df.select(F.coalesce("mesh", F.lit(0)).alias("m"), "gene", "y"), ["m", "gene"]).cache()
+    assert scored.count() == 360
+    ap = lambda d: np.mean([x["ap"] for x in rows(metrics.average_precision(d, "m")) if x["ap"] is not None])
+    alone = max(ap(df.select(F.coalesce("mesh", F.lit(0)).alias("m"), "y", (F.col("x")[f] * sign).alias("score"))) for f in range(4) for sign in (1, -1))
+    assert ap(scored) > 0.6 > alone
+
+
+def test_histogram_cuts_equal_a_search(spark, monkeypatch):
+    """The first tree's cut is the best of all features and places, as plain loops find it."""
+    monkeypatch.setattr(boosting, "BLOCK", 1)  # a feature a block
+    df = _ranking_data(spark, 4, 30).cache()
+    pdf = df.toPandas()
+    pdf["mesh"] = pdf.mesh.fillna(0)
+    pdf = pdf.sort_values(["mesh", "pos"])
+    x = np.array(pdf.x.tolist())
+    cuts = boosting.quantiles(df, 4, 16)
+    bins = boosting.binned(x, cuts)
+    groups = boosting._grouped(df, spark.sparkContext.broadcast(cuts), 4, "int")
+    state = boosting._moved(groups, [2, None], None, "int", 0.1, 30, 4)
+    got = boosting._grown(state, [2, None], 4, 16, 2, -1, 5, 1e-3)
+    for fold, tree in zip((2, 0), got):
+        g, h = np.zeros(len(x)), np.zeros(len(x))
+        for m in set(pdf.mesh) - {fold}:
+            own = (pdf.mesh == m).to_numpy()
+            g[own], h[own] = boosting.lambdas(pdf.y.to_numpy(float)[own], np.zeros(own.sum()), 30)
+        use = (pdf.mesh != fold).to_numpy()
+        best = (0.0, None)
+        for f in range(4):
+            for c in range(16):
+                left = use & (bins[:, f] <= c)
+                right = use & ~left
+                if min(left.sum(), right.sum()) >= 5:
+                    gain = sum(g[p].sum() ** 2 / (h[p].sum() + 1e-3) for p in (left, right)) - g[use].sum() ** 2 / (h[use].sum() + 1e-3)
+                    if gain > best[0] + 1e-12:
+                        best = (gain, (f, c))
+        assert tuple(tree.nodes[0][:2]) == best[1]
+
+
+def test_lambdamart_of_one_disease_and_of_none(spark):
+    df = _ranking_data(spark, 1, 20)
+    assert {r["score"] for r in rows(rankers.lambdamart_loo(df, trees=2, least=2))} == {0.0}
+    assert rows(rankers.lambdamart_loo(df.limit(0), trees=2)) == []
+
+
+# ---- ranks of groups of any size
+
+
+def _hot(spark):
+    r = random.Random(4)
+    data = [("hot" if i % 2 else random.Random(i).choice([None, "a", "b"]), i % 7 == 0, float(r.randint(0, 40)) if i % 5 else None, i) for i in range(3000)]
+    return spark.createDataFrame(data, "mesh string, y boolean, value double, id int").repartition(6), data
+
+
+def _wide(spark):
+    return {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+
+
+def test_running_sums_equal_a_window(spark):
+    old = _wide(spark)
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df, _ = _hot(spark)
+        w = Window.partitionBy("mesh").orderBy(F.desc("value"), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        key = lambda d: sorted((tuple(x.values()) for x in rows(d)), key=repr)
+        want = df.select("*", F.sum(F.lit(1)).over(w).alias("n"), F.sum("id").over(w).alias("s"))
+        got = ranks.running(df, ["mesh"], ["-value", "id"], n=F.lit(1), s=F.col("id"))
+        assert key(got) == key(want)
+        assert key(ranks.numbered(df, [], ["-value", "id"], "n")) == key(df.withColumn("n", F.row_number().over(Window.orderBy(F.desc("value"), "id"))))
+        assert key(ranks.first_rows(df, ["mesh"], ["value", "id"], 7)) == key(df.withColumn("_n", F.row_number().over(Window.partitionBy("mesh").orderBy("value", "id"))).where("_n <= 7").drop("_n"))
+        hot = ranks.running(df, ["mesh"], ["-value", "id"], n=F.lit(1)).where("mesh = 'hot'")
+        assert hot.select(F.max("n")).first()[0] == 1500
+        spread = ranks.keep(df.repartitionByRange("mesh", F.desc("value"), "id").withColumn("p", F.spark_partition_id()), "t").where("mesh = 'hot'").groupBy("p").count()
+        assert spread.count() > 4 and spread.agg(F.max("count")).first()[0] < 700  # the hot group lies in many tasks
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_percentiles_equal_the_aggregate(spark):
+    df, _ = _hot(spark)
+    got = {r["mesh"]: (r["a"], r["b"], r["c"]) for r in rows(ranks.percentiles(df, ["mesh"], "value", {"a": 0.25, "b": 0.5, "c": 1.0}))}
+    want = {r["mesh"]: tuple(r["p"]) for r in rows(df.groupBy("mesh").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(1.0))).alias("p")))}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+    assert rows(ranks.percentiles(df, [], "value", {"a": 0.3}))[0]["a"] == pytest.approx(df.agg(F.percentile("value", F.lit(0.3))).first()[0])
+    assert rows(ranks.percentiles(df.where("value is null"), ["mesh"], "value", {"a": 0.3})) == []
+
+
+def test_average_precision_of_a_hot_group(spark):
+    r = random.Random(6)
+    data = [("hot" if i % 2 else f"m{i % 9}", r.random(), int(r.random() < 0.2)) for i in range(2000)]
+    got = {a["mesh"]: a["ap"] for a in rows(metrics.average_precision(spark.createDataFrame(data, "mesh string, score double, y int"), "mesh"))}
+    for m in {d[0] for d in data}:
+        own = sorted((d for d in data if d[0] == m), key=lambda d: -d[1])
+        hits, total = 0, 0.0
+        for k, d in enumerate(own, 1):
+            hits += d[2]
+            total += d[2] * hits / k
+        assert got[m] == pytest.approx(total / hits)
 
 
 # ---- sources, sinks, clients, streams
