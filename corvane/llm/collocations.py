@@ -433,7 +433,7 @@ def counted(chunks: DataFrame, size: int, filters: list, keys: DataFrame, least:
 
 
 def cuts(candidates: DataFrame, parts: DataFrame, size: int = 4) -> DataFrame:
-    """(key, a, l1.., r1..): how often the first k words and the rest of a candidate occur, read by slot from parts (key, a), which are fewer than BLOCK at a time."""
+    """(key, a, l1.., r1..): how often the first k words and the rest of a candidate occur, read by slot from parts (key, a), fewer than BLOCK of them at a time."""
     sc = candidates.sparkSession.sparkContext
     blocks = max(1, -(-parts.count() // (BLOCK // 2)))
     names = [f"{s}{k}" for s in "lr" for k in range(1, size)]
@@ -454,22 +454,22 @@ def cuts(candidates: DataFrame, parts: DataFrame, size: int = 4) -> DataFrame:
             for batch in batches:
                 raw = batch.column(0).to_pylist()
                 size_of = np.array([len(k) // 8 for k in raw])
-                got = {c: np.full(len(raw), -1, np.int64) for c in names}
                 for k in np.unique(size_of):
                     own = np.flatnonzero(size_of == k)
                     keys = np.frombuffer(b"".join(raw[i] for i in own), np.uint64).reshape(-1, k)
                     for c in range(1, k):
                         for side, part in (("l", keys[:, :c]), ("r", keys[:, c:])):
                             at = slots.find(padded(part))
-                            got[f"{side}{c}"][own] = np.where(at >= 0, n[at] if len(n) else -1, -1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, mask=v < 0) for v in got.values())], ["key", "a", *names])
+                            hit = at >= 0  # every part is in one block
+                            rows = pa.array(own[hit])
+                            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.full(hit.sum(), names.index(f"{side}{c}"), np.int32)), pa.array(n[at[hit]])], ["key", "a", "what", "n"])
 
-        done = keep(candidates.select("key", "a").mapInArrow(run, "key binary, a long, " + ", ".join(f"{c} long" for c in names)), "cuts")
+        done = keep(candidates.select("key", "a").mapInArrow(run, "key binary, a long, what int, n long"), "cuts")
         held.destroy()
         return done
 
-    read = [pass_of(b) for b in range(blocks)]
-    return read[0] if blocks == 1 else reduce(DataFrame.unionByName, read).groupBy("key", "a").agg(*(F.max(c).alias(c) for c in names))
+    read = reduce(DataFrame.unionByName, [pass_of(b) for b in range(blocks)])
+    return read.groupBy("key", "a").agg(*(F.max(F.when(F.col("what") == i, F.col("n"))).alias(c) for i, c in enumerate(names)))
 
 
 def first_rows(df: DataFrame, by: str, order: list, most: int, number: Callable, salt: str) -> DataFrame:
