@@ -159,12 +159,11 @@ def blocks(docs: DataFrame, size: int, block_bytes: int) -> DataFrame:
         if ids:
             yield full()
 
-    shared_dir(spark)
     arrow_batches(spark)
     name = f"corvane_blocks_{uuid.uuid4().hex}"
     packed = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "block long, n_windows long, docs binary")
     # A task writes a file only into the buckets of its own blocks, so there are no more files than blocks.
-    packed.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").option("compression", "none").saveAsTable(name)
+    packed.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").option("compression", "none").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     drop_at_exit(spark, name)
     return spark.table(name)
 
