@@ -1,21 +1,27 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
-Each rule scores a document (higher is worse) and has a grid of cutoffs, the mildest last. On the
-labelled holdout (labels.quality = 1, rows the base rules keep) of a stratum, a cutoff that
-rejects k of n good documents is admitted when the exact binomial probability of k or fewer at the
-allowed rate is at most delta divided by the number of tests over all strata, rules and cutoffs:
-then the true rate of false rejection is below the allowed one with confidence 1 - delta, for all
-choices at once. The strictest admitted cutoff of a stratum and rule rejects; where none is
-admitted, the rule rejects nothing there. The allowed rate of a stratum is shared by its rules.
+Each rule scores a document (higher is worse) and has a grid of cutoffs, the mildest last. Cutoffs are
+chosen by stratum on labelled documents that the base rules keep. The bad ones (labels.quality = 0)
+say which rules take part: those whose strictest cutoff rejects at least the share `gain` of them;
+the others would spend risk for nothing. All rules that take part move together along a fixed sequence,
+from their mildest cutoffs to their strictest. Each step is tested on the good documents
+(labels.quality = 1), which had no say in the sequence: if any rule of the step rejects k of n of them,
+the step is admitted when the exact binomial probability of k or fewer at the allowed `rate` is at most
+delta / number of strata. The first step that isn't ends the sequence, so its tests need no correction
+among themselves, and the last step admitted applies: with confidence 1 - delta, over all strata at
+once, all rules together reject less than `rate` of a stratum's good documents. A stratum of too few
+labels (with rate 0.02 and four strata: 217 good ones) admits none, and there only the base decides.
 
 Null text has no words and fails the base. A null stratum is a stratum of its own. Repeated rows
 are each judged; null doc_ids are never labelled but judged like others. A document that several
-label rows call good is one trial, for the bound needs independent ones. A very long text is
-measured whole, within its row. Empty tables give no rows, or no cutoffs.
+label rows call good is one trial, for the bound needs independent ones; one called both is good.
+A very long text is measured whole, within its row. Empty tables give no rows, or no cutoffs.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,16 +93,37 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.exp(top) * (down.s + rest)))
 
 
-def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", rate: float = 0.01, delta: float = 0.05, grids: dict[str, tuple[float, ...]] = GRIDS) -> DataFrame:
-    """(stratum, rule, cutoff, n, k): the strictest admitted cutoff of each stratum and rule."""
-    good = labels.where("quality = 1").select("doc_id").distinct()
-    held = measured.where(~base_failed()).select("doc_id", F.coalesce(F.col(stratum).cast("string"), F.lit("\0")).alias("stratum"), *(s.alias(r) for r, s in scores().items())).join(good, "doc_id")
-    counts = held.groupBy("stratum").agg(F.count("*").alias("n"), *(F.count_if(F.col(r) > c).alias(f"{r}@{i}") for r, g in grids.items() for i, c in enumerate(g)))
-    counts = keep(counts, "counts")  # one row a stratum
-    tests = counts.count() * sum(len(g) for g in grids.values())
-    long = counts.select("stratum", "n", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(float(c)).alias("cutoff"), F.col(f"`{r}@{i}`").alias("k")) for r, g in grids.items() for i, c in enumerate(g)))).alias("t")).select("stratum", "n", "t.*")
-    admitted = long.where(binomial_tail(F.col("k"), F.col("n"), rate / len(grids)) <= delta / max(1, tests))
-    return admitted.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"), F.max("n").alias("n"), F.max_by("k", -F.col("cutoff")).alias("k"))
+#: Steps of the sequence: a rule with a shorter grid stays at its strictest cutoff.
+STEPS = max(map(len, GRIDS.values()))
+
+
+def cutoff(rule: str, step: int) -> float:
+    """The cutoff of a rule at a step, from 0, the mildest."""
+    return float(GRIDS[rule][max(0, len(GRIDS[rule]) - 1 - step)])
+
+
+def labelled(labels: DataFrame) -> DataFrame:
+    """(doc_id, good): good if any of a document's labels says so."""
+    return labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("quality") == 1).alias("good"))
+
+
+def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", rate: float = 0.02, delta: float = 0.05, gain: float = 0.05) -> DataFrame:
+    """(stratum, rule, cutoff, step, n, k): what applies in each stratum; the step rejects k of its n good documents."""
+    name = F.coalesce(F.col(stratum).cast("string"), F.lit("\0")).alias("stratum")
+    held = keep(measured.where(~base_failed()).select("doc_id", name, *(s.alias(r) for r, s in scores().items())).join(labelled(labels), "doc_id"), "held")
+    bad = held.where("not good").groupBy("stratum").agg(*((F.count_if(F.col(r) > cutoff(r, STEPS)) >= gain * F.count("*")).alias(f"in_{r}") for r in GRIDS))
+    good = held.where("good").join(bad, "stratum")
+    over = lambda step: reduce(Column.__or__, (F.col(f"in_{r}") & (F.col(r) > cutoff(r, step)) for r in GRIDS))
+    counts = good.groupBy("stratum").agg(F.count("*").alias("n"), *(F.count_if(over(i)).alias(f"k{i}") for i in range(STEPS)), *(F.first(f"in_{r}").alias(f"in_{r}") for r in GRIDS))
+    strata = held.where("good").select("stratum").distinct().count()
+    steps = F.posexplode(F.array(*(f"k{i}" for i in range(STEPS)))).alias("step", "k")
+    long = keep(counts, "counts").select("stratum", "n", *(f"in_{r}" for r in GRIDS), steps)
+    tested = long.withColumn("fine", binomial_tail(F.col("k"), F.col("n"), rate) <= delta / max(1, strata))
+    upto = tested.groupBy("stratum").agg(F.coalesce(F.min(F.when(~F.col("fine"), F.col("step"))), F.lit(STEPS)).alias("_end"))
+    chosen = keep(tested.join(upto, "stratum").where(F.col("step") == F.col("_end") - 1), "chosen")
+    rule = lambda r: F.when(F.col(f"in_{r}"), F.struct(F.lit(r).alias("rule"), F.element_at(F.array(*(F.lit(cutoff(r, i)) for i in range(STEPS))), F.col("step") + 1).alias("cutoff")))
+    each = chosen.select("stratum", F.explode(F.array_compact(F.array(*map(rule, GRIDS)))).alias("r"), "step", "n", "k")
+    return each.select("stratum", "r.rule", "r.cutoff", "step", "n", "k")
 
 
 def judged(measured: DataFrame, chosen: DataFrame, stratum: str = "lang") -> DataFrame:
@@ -109,19 +136,19 @@ def judged(measured: DataFrame, chosen: DataFrame, stratum: str = "lang") -> Dat
     return both.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~over).drop("stratum", *(f"_{r}" for r in GRIDS))
 
 
-def rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", rate: float = 0.01, delta: float = 0.05) -> DataFrame:
+def rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", rate: float = 0.02, delta: float = 0.05) -> DataFrame:
     """One row a document: its statistics, base_failed and kept. The texts are read once."""
     measured = keep(stats(docs, stratum), "stats")
     return judged(measured, keep(cutoffs(measured, labels, stratum, rate, delta), "cutoffs"), stratum)
 
 
-def kept_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang", rate: float = 0.01, delta: float = 0.05) -> DataFrame:
+def kept_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang", rate: float = 0.02, delta: float = 0.05) -> DataFrame:
     """The documents that the rules keep, as they were. The statistics are computed beside each text, not joined to it.
 
-    For the cutoffs only labelled texts are read in full, if the good labels are few enough to broadcast.
+    For the cutoffs only labelled texts are read in full, if the labels are few enough to broadcast.
     """
-    good = labels.where("quality = 1").select("doc_id").distinct()
-    measured = stats(docs.join(F.broadcast(good), "doc_id", "left_semi") if few(good) else docs, stratum)
+    known = labelled(labels)
+    measured = stats(docs.join(F.broadcast(known), "doc_id", "left_semi") if few(known) else docs, stratum)
     chosen = keep(cutoffs(measured, labels, stratum, rate, delta), "cutoffs")
     beside = stats(docs.withColumn("_row", F.struct(*docs.columns)), stratum, "_row")
     return judged(beside, chosen, stratum).where("kept").select("_row.*")

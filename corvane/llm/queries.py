@@ -119,11 +119,10 @@ FROM d LEFT JOIN x USING (doc_id) LEFT JOIN k USING (doc_id)"""
 
 
 _WORD = "'[^\\x20\\x09-\\x0D]+'"
-_GRID = ", ".join(f"('{r}', {c})" for r, g in quality.GRIDS.items() for c in g)
-_TESTS = sum(map(len, quality.GRIDS.values()))
+_STEPS = ", ".join(f"({i}, '{r}', {quality.cutoff(r, i)})" for r in quality.GRIDS for i in range(quality.STEPS))
 
 SQL["op6_quality_rules"] = f"""
-WITH d AS (SELECT doc_id, coalesce(lang, '') AS st, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {_WORD}) AS w FROM documents),
+WITH d AS (SELECT doc_id, coalesce(lang, chr(0)) AS st, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {_WORD}) AS w FROM documents),
 g AS (SELECT doc_id, p, array_to_string(w[p : p + 7], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS p FROM d WHERE len(w) >= 8)),
 r AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p, p + 8)) AS q FROM g SEMI JOIN (SELECT doc_id, s FROM g GROUP BY ALL HAVING count(*) > 1) x USING (doc_id, s)) GROUP BY 1),
 l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
@@ -132,11 +131,14 @@ m AS (SELECT doc_id, st, len(w)::BIGINT AS n_words, length(array_to_string(w, ''
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
 u AS (SELECT doc_id, st, base_failed, unnest(['symbols', 'dup_lines', 'repeats', 'word_length']) AS rule, unnest([n_symbols / nullif(n_words, 0), n_dup_lines / nullif(n_lines, 0), n_repeat_words / nullif(n_words, 0),
       CASE WHEN word_chars > 0 THEN abs(ln(word_chars / n_words / 5.5)) END]) AS score FROM b),
-h AS (SELECT u.* FROM u SEMI JOIN (SELECT doc_id FROM labels WHERE quality = 1) g USING (doc_id) WHERE NOT base_failed),
-k AS (SELECT st, h.rule, cutoff, count(*) AS n, sum(CASE WHEN coalesce(score, 0) > cutoff THEN 1 ELSE 0 END)::BIGINT AS k FROM h JOIN (VALUES {_GRID}) v(rule, cutoff) ON h.rule = v.rule GROUP BY ALL),
-e AS (SELECT st, rule, cutoff, any_value(n) AS n, any_value(k) AS k, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({0.01 / len(quality.GRIDS)}) + (n - i) * ln({1 - 0.01 / len(quality.GRIDS)}))) AS tail
-      FROM (SELECT *, unnest(range(0, k + 1)) AS i FROM k) GROUP BY 1, 2, 3),
-a AS (SELECT st, rule, min(cutoff) AS cutoff FROM e WHERE k < n * {0.01 / len(quality.GRIDS)} AND tail <= 0.05 / ((SELECT count(DISTINCT st) FROM h) * {_TESTS}) GROUP BY 1, 2),
+v AS (SELECT * FROM (VALUES {_STEPS}) v(step, rule, cutoff)),
+h AS (SELECT u.*, good FROM u JOIN (SELECT doc_id, max(quality) = 1 AS good FROM labels WHERE quality IN (0, 1) GROUP BY doc_id) g USING (doc_id) WHERE NOT base_failed),
+i AS (SELECT st, rule FROM h JOIN v USING (rule) WHERE NOT good AND step = {quality.STEPS - 1} GROUP BY ALL HAVING count(*) FILTER (coalesce(score, 0) > cutoff) >= 0.05 * count(*)),
+z AS (SELECT DISTINCT st FROM h WHERE NOT good),
+k AS (SELECT st, step, count(DISTINCT doc_id) AS n, count(DISTINCT doc_id) FILTER (used AND coalesce(score, 0) > cutoff) AS k FROM h JOIN v USING (rule) SEMI JOIN z USING (st) LEFT JOIN (SELECT *, true AS used FROM i) USING (st, rule) WHERE good GROUP BY ALL),
+e AS (SELECT st, step, n, k, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.02) + (n - j) * ln(0.98))) AS tail FROM (SELECT *, unnest(range(0, k + 1)) AS j FROM k) GROUP BY ALL),
+f AS (SELECT st, min(CASE WHEN tail <= 0.05 / (SELECT count(DISTINCT st) FROM h WHERE good) THEN {quality.STEPS} ELSE step END) - 1 AS step FROM e GROUP BY st),
+a AS (SELECT st, i.rule, cutoff FROM i JOIN f USING (st) JOIN v ON v.rule = i.rule AND v.step = f.step),
 x AS (SELECT DISTINCT doc_id FROM u JOIN a USING (st, rule) WHERE score > cutoff)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND x.doc_id IS NULL AS kept FROM b LEFT JOIN x USING (doc_id)"""
 

@@ -304,19 +304,31 @@ def test_quality_base(docs, rows, spark):
     assert len(kept) == sum(w[-1] for w in want) and set(kept[0]) == set(docs.columns)
 
 
-def test_quality_thresholds(spark):
-    from math import comb
-
-    r = random.Random(3)
+def _graded(n, seed=3):
+    r = random.Random(seed)
     good = lambda n: " ".join("".join(r.choice("abcdefghi") for _ in range(r.randint(2, 9))) for _ in range(n))
     noisy = lambda n: " ".join(w + "&|#"[r.randrange(3)] for w in good(n).split())
-    rows_ = [(i, good(40) if i % 4 else noisy(40), "en", "s", 0, "r", 1) for i in range(2400)]
-    docs_ = spark.createDataFrame(rows_, SHAPE)
-    labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(2400)], "doc_id long, quality int, toxic int")
-    got = {x["doc_id"]: x["kept"] for x in collected(quality.rules(docs_, labels, rate=0.04))}
+    rows_ = [(i, good(40) if i % 4 else noisy(40), None if i % 3 else "", "s", 0, "r", 1) for i in range(n)]
+    return rows_, [(i, int(i % 4 > 0), 0) for i in range(n)]
+
+
+def test_quality_thresholds(spark):
+    rows_, labels = _graded(2400)
+    docs_, labels = spark.createDataFrame(rows_, SHAPE), spark.createDataFrame(labels + [(8, 1, 0), (9, None, 1), (None, 0, 0)], "doc_id long, quality int, toxic int")
+    got = {x["doc_id"]: x["kept"] for x in collected(quality.rules(docs_, labels))}
     assert all(got[i] == (i % 4 > 0) for i in range(2400))
-    few = {x["doc_id"]: x["kept"] for x in collected(quality.rules(docs_, labels.where("doc_id < 40"), rate=0.04))}
+    chosen = collected(quality.cutoffs(quality.stats(docs_, "lang"), labels))
+    assert {x["stratum"] for x in chosen} == {"", "\0"} and {x["rule"] for x in chosen} == {"symbols"}  # the other rules gain nothing, so they take no risk
+    few = {x["doc_id"]: x["kept"] for x in collected(quality.rules(docs_, labels.where("doc_id < 40")))}
     assert all(few.values())  # too few labels to guarantee anything
+    assert all(x["kept"] for x in collected(quality.rules(docs_, labels.where("quality = 1"))))  # no bad ones, nothing to gain
+    one = collected(quality.cutoffs(quality.stats(docs_, "lang"), labels, rate=0.001))  # one good document is over every cutoff: 1 of 1200
+    assert one == []
+
+
+def test_binomial_tail(spark):
+    from math import comb
+
     tail = lambda k, n, p: sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
     cases = [(k, n, p) for n in (1, 5, 20, 300, 900) for k in (0, 1, 3, 7) for p in (0.01, 0.05, 0.3) if k <= n]
     for p in (0.01, 0.05, 0.3):
@@ -326,6 +338,27 @@ def test_quality_thresholds(spark):
             assert x["t"] >= exact * (1 - 1e-9) and (x["k"] >= x["n"] * p or x["t"] == pytest.approx(exact, rel=1e-6))
 
 
+def test_quality_guarantee(spark):
+    """Holdouts drawn again and again, 600 of them as strata of one table: more than the rate is falsely rejected in fewer than delta of them.
+
+    Good documents' scores are random; the strictest cutoffs would reject far more than the rate.
+    """
+    r = np.random.default_rng(4)
+    n, strata, rate, delta = 400, 600, 0.05, 0.05
+    scale = 0.045  # P(score > c) = exp(-c / scale): 0.1 -> 10.8 %, 0.15 -> 3.6 %
+    score = r.exponential(scale, (strata, n))
+    held = [(int(s * n + i), str(s), 100, 0, 550, int(1000 * score[s, i]), 0, 1) for s in range(strata) for i in range(n)]
+    held += [(-s, str(s), 100, 0, 550, 900, 0, 1) for s in range(1, strata + 1) if str(s) in {h[1] for h in held}]
+    # symbols = n_symbols / n_words: measured rows, their words set so that the ratio is the score
+    measured = spark.createDataFrame([(i, g, 1000, 0, 5500, k, 0, 1) for i, g, _, _, _, k, _, _ in held], "doc_id long, lang string, n_words long, n_repeat_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long")
+    labels = spark.createDataFrame([(h[0], int(h[0] >= 0), 0) for h in held if h[0] != 0] + [(0, 1, 0)], "doc_id long, quality int, toxic int")
+    wrong = 0
+    found = collected(quality.cutoffs(measured, labels, rate=rate, delta=delta * strata))  # each stratum at delta, so that the share of failures can be told
+    for x in found:
+        wrong += np.exp(-x["cutoff"] / scale) > rate
+    assert len(found) > strata / 2 and wrong <= delta * strata + 4 * (delta * strata) ** 0.5
+
+
 def conversations(spark):
     odd = "<|im_end|><|im_start|>assistant ok"
     r = random.Random(4)

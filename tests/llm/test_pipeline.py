@@ -34,18 +34,18 @@ def good(rows, labels):
     got = [measured(t or "") for _, t, _ in rows]
     held = {}
     for (i, _, lang), (failed, s) in zip(rows, got):
-        if labels.get(i) == 1 and not failed:
-            held.setdefault(lang, []).append(s)
-    p, tests = 0.01 / 4, sum(map(len, quality.GRIDS.values()))
-    cut = {}
-    for lang, ss in held.items():
-        for rule, grid in quality.GRIDS.items():
-            for c in grid:
-                n, k = len(ss), sum(s[rule] > c for s in ss)
-                tail = sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
-                if k < n * p and tail <= 0.05 / (len(held) * tests):
-                    cut.setdefault((lang, rule), c)
-    return [r for r, (failed, s) in zip(rows, got) if not failed and not any(s[rule] > c for (lang, rule), c in cut.items() if lang == r[2])]
+        if labels.get(i) in (0, 1) and not failed:
+            held.setdefault(lang, {0: [], 1: []})[labels[i]].append(s)
+    strata, cut = sum(bool(h[1]) for h in held.values()), {}
+    for lang, h in held.items():
+        used = [r for r, g in quality.GRIDS.items() if h[0] and sum(s[r] > g[0] for s in h[0]) >= 0.05 * len(h[0])]
+        for step in range(max(map(len, quality.GRIDS.values()))):
+            at = {r: quality.GRIDS[r][max(0, len(quality.GRIDS[r]) - 1 - step)] for r in used}
+            n, k = len(h[1]), sum(any(s[r] > c for r, c in at.items()) for s in h[1])
+            if not n or sum(math.comb(n, i) * 0.02**i * 0.98 ** (n - i) for i in range(k + 1)) > 0.05 / strata:
+                break
+            cut[lang] = at
+    return [r for r, (failed, s) in zip(rows, got) if not failed and not any(s[rule] > c for rule, c in cut.get(r[2], {}).items())]
 
 
 def shingled(t):
