@@ -1,17 +1,19 @@
 """Secret scans: fixed patterns, and dictionary-primed zstandard novelty for what they don't name.
 
 A candidate is a run of 16 or more token characters that starts within `reach` code points after a
-word such as "credential" or "bearer", on whatever line, or stands in the body of a private key
-block. A run that the word itself begins (session=..., token_live_...) is a candidate less the rest
-of the identifier; what follows the first "=" of a run is a candidate of its own. The last line of a
-block, which may be short, goes with the line before it. A candidate is compressed with a zstandard
-dictionary made of common identifiers and the text around it; the bytes that it then adds, over its
-length, is its novelty. Words, identifiers and repeated strings cost a few bytes; random keys cost
-nearly their length and are reported as kind "novel". The longer a key and the smaller its alphabet,
+word such as "credential" or "bearer" or the user part of a url, on whatever line, or stands in the
+body of a private key block. A run that the word itself begins (session=..., token_live_...) is a
+candidate less the rest of the identifier; what follows the first "=" of a run is a candidate of its
+own. The last line of a block, which may be short, goes with the line before it. A candidate is
+compressed with a zstandard dictionary made of common identifiers, those that the corpus itself uses
+most (`learned`), and the text around it, less copies of the candidate; the bytes that it then adds, over
+its length, is its novelty. Words and identifiers cost a few bytes; random keys cost nearly their length
+and are reported as kind "novel", with every other run of the text that is the same string. The longer a key and the smaller its alphabet,
 the better its bare symbols compress; so a candidate is novel, too, if it costs nearly what a random
 string of its alphabet and length costs. Words that the dictionary lacks would pass that, and so
 would any candidate without digits: there the letters must also follow each other less likely than
-in words. Without letters, 16 digits in a row count.
+in words. Without letters, 16 digits in a row count. Paths, addresses and names, whose parts between
+separators are words, short numbers or both, and UUIDs are left alone.
 
 Null text counts as empty. Each row is scanned by itself, so repeated rows, null or repeated doc_ids
 and further columns change nothing; an empty table gives no rows. Whole texts are scanned, however
@@ -41,7 +43,7 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "novel")
 
 # Words that make their surroundings sensitive.
-SENSITIVE = re.compile(r"credential|bearer|authorization|private|passphrase|password|passwd|pwd|secret|token|signature|api.?key|access.?key|session|cookie|sas_|auth", re.I | re.A)
+SENSITIVE = re.compile(r"credential|bearer|authorization|private|passphrase|password|passwd|pwd|secret|token|signature|api.?key|access.?key|session|cookie|sas_|auth|(?<![a-z])key(?![a-z])|://[^/\s:@]{1,64}:", re.I | re.A)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 LEAST = 16
 LONG_NUMBER = re.compile("[0-9]{16}")
@@ -71,6 +73,14 @@ IDENTIFIERS = " ".join(
 )
 
 
+UUID = re.compile("[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}", re.I)
+SPOKEN = re.compile("[A-Za-z]{0,3}[0-9]{0,5}|([A-Za-z]+)[0-9]{0,3}")
+IDENTIFIER = re.compile("(?<![A-Za-z0-9_])[A-Za-z_]{4,32}(?![A-Za-z0-9_])")
+
+#: Bytes of the dictionary that is learned from a corpus, and what must remain of a candidate beside words.
+DICTIONARY, UNSPOKEN = 1 << 14, 8
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) by pattern; leftmost and non-overlapping within a kind."""
     low, found = text.lower(), []
@@ -82,11 +92,11 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-def novelty(candidate: str, around: str) -> float:
+def novelty(candidate: str, around: str, known: str = "") -> float:
     """Bytes that the candidate adds to a zstandard frame primed with identifiers and its surroundings, over its length."""
     import zstandard
 
-    primed = zstandard.ZstdCompressionDict((IDENTIFIERS + " " + around).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    primed = zstandard.ZstdCompressionDict(f"{known} {IDENTIFIERS} {around}".encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     squeeze = zstandard.ZstdCompressor(level=19, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False).compress
     raw = candidate.encode()
     return (len(squeeze(raw)) - len(squeeze(b""))) / len(raw)
@@ -124,11 +134,23 @@ def wordlike(candidate: str) -> bool:
     return bool(costs) and sum(costs) < PAIR_BITS * len(costs)
 
 
-def is_novel(candidate: str, around: str, least: float) -> bool:
+def spoken(candidate: str) -> bool:
+    """Whether hardly anything is left beside words, short numbers and what divides them."""
+    if UUID.fullmatch(candidate):
+        return True
+    left = 0
+    for part in re.split("[/_=+-]+", candidate):
+        m = SPOKEN.fullmatch(part)
+        if not m or (m[1] and not wordlike(m[1])):
+            left += len(part)
+    return left < UNSPOKEN
+
+
+def is_novel(candidate: str, around: str, least: float, known: str = "") -> bool:
     letters, digits = re.search("[A-Za-z]", candidate), re.search("[0-9]", candidate)
-    if not letters and not LONG_NUMBER.search(candidate):
+    if (not letters and not LONG_NUMBER.search(candidate)) or spoken(candidate):
         return False
-    costs = novelty(candidate, around)
+    costs = novelty(candidate, around.replace(candidate, " "), known)
     if letters and digits and costs >= least:
         return True
     symbols = alphabet(candidate)
@@ -151,22 +173,28 @@ def in_context(text: str, reach: int) -> list[tuple[int, int]]:
     return sorted(at)
 
 
-def novel_spans(text: str, base: list[tuple[int, int, str]], reach: int, least: float) -> list[tuple[int, int, str]]:
+def novel_spans(text: str, base: list[tuple[int, int, str]], reach: int, least: float, known: str = "") -> list[tuple[int, int, str]]:
     """Incompressible strings in a sensitive context that no base span touches; none within another."""
     found: set[tuple[int, int]] = set()
+    same: dict[str, bool] = {}
     starts, ends, reached = sorted(x for x, _, _ in base), [], 0
     for _, y, _ in sorted(base):
         ends.append(reached := max(reached, y))
 
     def novel(a: int, b: int) -> bool:
-        before = bisect_right(starts, b - 1)  # base spans that start before b; the farthest of them ends beyond a if any overlaps
-        if b - a < LEAST or (before and ends[before - 1] > a):
+        if b - a < LEAST or not free(a, b):
             return False
-        if not is_novel(text[a:b], text[max(0, a - 512) : a] + text[b : b + 512], least):
+        word = text[a:b]
+        if not same.get(word) and not is_novel(word, text[max(0, a - 512) : a] + " " + text[b : b + 512], least, known):
             return False
+        same[word] = True  # each copy of what is novel somewhere is
         found.add((a, b))
         return True
 
+    def free(a: int, b: int) -> bool:
+        before = bisect_right(starts, b - 1)  # base spans that start before b; the farthest of them ends beyond a if any overlaps
+        return not (before and ends[before - 1] > a)
+
     for a, b in in_context(text, reach):
         cut = text.find("=", a, b)
         value = cut
@@ -181,6 +209,8 @@ def novel_spans(text: str, base: list[tuple[int, int, str]], reach: int, least:
                 known = novel(a, b)
             elif known:  # the end of a block, too short to be measured
                 found.add((a, b))
+    if same:
+        found |= {c.span() for c in CANDIDATE.finditer(text) if c[0] in same and free(*c.span())}
     out, end = [], 0
     for a, b in sorted(found, key=lambda s: (s[0], -s[1])):
         if b > end:
@@ -189,20 +219,52 @@ def novel_spans(text: str, base: list[tuple[int, int, str]], reach: int, least:
     return out
 
 
-def spans_of(text: str | None, reach: int = 64, least: float = 0.8) -> list[tuple[int, int, str]]:
+def spans_of(text: str | None, reach: int = 64, least: float = 0.8, known: str = "") -> list[tuple[int, int, str]]:
     base = base_spans(text or "")
-    found = base + (novel_spans(text, base, reach, least) if text else [])
+    found = base + (novel_spans(text, base, reach, least, known) if text else [])
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def learned(docs: DataFrame) -> str:
+    """The identifiers that most texts of the corpus hold, DICTIONARY bytes of them, the most frequent last, where zstandard looks first.
+
+    All texts are counted: words of letters and underscores that read like words, so no key is learned.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+
+        def sent() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                seen.update(set(IDENTIFIER.findall(text.as_py() or "")))
+            if len(seen) > 200_000:
+                yield sent()
+                seen.clear()
+        yield sent()
+
+    arrow_batches(docs.sparkSession)
+    counted = docs.select("text").mapInArrow(released(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    most = [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(DICTIONARY // 5).collect()]
+    out, size = [], 0
+    for word in filter(wordlike, most):
+        size += len(word) + 1
+        if size > DICTIONARY:
+            break
+        out.append(word)
+    return " ".join(reversed(out))
+
+
 def scan(docs: DataFrame, reach: int = 64, least: float = 0.8) -> DataFrame:
     """(doc_id, spans array<struct<kind, start, end>>), by start, then kind; positions in code points, end exclusive."""
-    kind = dict(docs.dtypes)["doc_id"]
+    kind, known = dict(docs.dtypes)["doc_id"], learned(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shape = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            got = [[{"kind": k, "start": a, "end": b} for a, b, k in spans_of(t, reach, least)] for t in batch.column(1).to_pylist()]
+            got = [[{"kind": k, "start": a, "end": b} for a, b, k in spans_of(t, reach, least, known)] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, shape)], ["doc_id", "spans"])
 
     arrow_batches(docs.sparkSession)
@@ -211,13 +273,14 @@ def scan(docs: DataFrame, reach: int = 64, least: float = 0.8) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", reach: int = 64, least: float = 0.8) -> DataFrame:
     """The documents with each union of overlapping spans replaced by mark; n_chars follows where there is such a column."""
+    known = learned(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k, out = batch.schema.get_field_index("text"), []
             for text in batch.column(k).to_pylist():
                 pieces, at = [], 0
-                for a, b, _ in spans_of(text, reach, least):
+                for a, b, _ in spans_of(text, reach, least, known):
                     if b > at:
                         pieces += [text[at:a], mark] if a >= at else []
                         at = b

@@ -223,17 +223,17 @@ def test_simhash(docs, rows, block, monkeypatch):
 
 
 @pytest.mark.parametrize(
-    "block, texts, set_bytes, heavy, batch",
-    [(3, 4, 1 << 26, 1 / 512, 20000), (3, 4, 1 << 26, 1, 4), (4096, 2048, 1 << 26, 1 / 512, 20000), (4096, 2048, 3000, 1 / 512, 20000)],
+    "texts, set_bytes, heavy, batch",
+    [(4, 1 << 26, 1 / 50000, 20000), (4, 1 << 26, 1, 4), (2048, 1 << 26, 1 / 512, 20000), (2048, 3000, 1 / 512, 20000)],
 )
-def test_similar(spark, docs, rows, block, texts, set_bytes, heavy, batch, monkeypatch):
+def test_similar(spark, docs, rows, texts, set_bytes, heavy, batch, monkeypatch):
     """Classes of texts alike by 0.8 or more, by brute force; edits of one to nine words in a hundred, appended and removed parts.
 
-    Long lists are joined where they are (heavy) or, in the second case, batch by batch in their task; there
-    sets of 110 shingles and more are no hubs, so some classes have none.
+    Long lists are joined where they are (heavy) or by their key; in the second case sets of 110 shingles
+    and more are no hubs, so some classes have none.
     """
     monkeypatch.setattr(similar, "HUB_BYTES", 110 * 8 if batch == 4 else similar.HUB_BYTES)
-    monkeypatch.setattr(similar, "HEAVY", heavy)
+    monkeypatch.setattr(common, "HEAVY", heavy)
     monkeypatch.setattr(similar, "arrow_batches", lambda spark, rows=2000: common.arrow_batches(spark, min(rows, batch)))
     r = random.Random(21)
     vocab = [f"w{i}" for i in range(5000)]
@@ -263,13 +263,38 @@ def test_similar(spark, docs, rows, block, texts, set_bytes, heavy, batch, monke
     for n, (i, t) in enumerate(all_):
         classes.setdefault(find(n), []).append((str(i), zlib.crc32((t or "-").encode())))
     got = {}
-    for x in d.withColumn("_th", F.xxhash64("text")).join(similar.near_classes(d, 5, 0.8, block, texts, set_bytes).select("component", F.col("text_hash").alias("_th")).distinct(), "_th").collect():
+    for x in d.withColumn("_th", F.xxhash64("text")).join(similar.near_classes(d, 5, 0.8, texts, set_bytes).select("component", F.col("text_hash").alias("_th")).distinct(), "_th").collect():
         got.setdefault(x["component"], []).append((str(x["doc_id"]), zlib.crc32((x["text"] or "-").encode())))
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, classes.values()))
-    left = collected(similar.first_of_near(d)) if block == 4096 else []
+    left = collected(similar.first_of_near(d)) if texts == 2048 else []
     assert not left or (len(left) == len(classes) and set(left[0]) == {"doc_id", "text"})
 
 
+def test_similar_short_texts(spark):
+    """Texts of 5 to 12 words, edited at an end: every pair of similarity 0.8 is joined, however far their fingerprints are apart."""
+    r = random.Random(8)
+    texts = []
+    for k in range(250):
+        w = [f"v{r.randrange(10**6)}" for _ in range(r.randint(5, 12))]
+        texts += [" ".join(w), " ".join([*w, "end"]), " ".join(["begin", *w]), " ".join(w[:-1])]
+    sets = [{tuple(w[p : p + 5]) for p in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i - i % 4, i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    got = {x["doc_id"]: x["component"] for x in collected(similar.near_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5, 0.8))}
+    far = [np.bitwise_count(similar.fingerprint(similar.shingles(texts[i], 5)) ^ similar.fingerprint(similar.shingles(texts[j], 5))).sum() for i in range(len(texts)) for j in range(i - i % 4, i) if find(i) == find(j) and i != j]
+    assert max(far) > 64  # so that a bound on them would lose some
+    assert all((got[i] == got[j]) == (find(i) == find(j)) for i in range(len(texts)) for j in range(i - i % 4, i))
+
+
 def test_components(spark):
     r = random.Random(2)
     pairs = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(1000 + i, 1001 + i) for i in range(60)] + [(500, 600 + i) for i in range(50)]
@@ -593,3 +618,52 @@ def test_pipeline_stages(spark):
         assert out.columns == docs_.columns, name
         assert 0 < out.count() <= docs_.count()
         docs_ = out
+
+
+@pytest.mark.parametrize("text", [
+    "auth /usr/local/lib/python3.10/site-packages/numpy", "session https://example.com/path/to/some-long-article-title-2021", "cookie ab_test_variant_checkout_v2",
+    "private static-final-long-serialVersionUID1", "the key 10.1038/s41586-020-2649-2", "token id 123e4567-e89b-12d3-a456-426614174000", "http://localhost:8080/some-long-article-title-2021/index",
+])
+def test_secrets_leave_paths_and_names(text):
+    assert [s for s in secrets.spans_of(text) if s[2] == "novel"] == []
+
+
+def test_secrets_that_repeat():
+    key = "q7Zk29XbVt4LmPw8Rj3NcY"
+    for text in (f"the credential {key} and once more the credential {key}", f"auth {key} " * 3000, f"the credential {key} in a file.\n" + "nothing near " * 50 + key):
+        found = [text[a:b] for a, b, k in secrets.spans_of(text) if k == "novel"]
+        assert found == [key] * text.count(key)
+
+
+@pytest.mark.parametrize("before, after", [("key ", ""), ('"stripe_key": "sk_live_', '"'), ("https://user:", "@host/")])
+def test_secrets_behind_more_words(before, after):
+    key = "q7Zk29XbVt4LmPw8Rj3NcY"
+    text = before + key + after
+    assert any(a <= text.index(key) and b >= text.index(key) + len(key) for a, b, k in secrets.spans_of(text) if k == "novel")
+
+
+def test_secrets_learn_identifiers(spark):
+    d = spark.createDataFrame([(i, f"the serialization_context of handler {i} q7Zk29XbVt4LmPw8Rj3NcY xqzjkvwpqz") for i in range(20)] + [(None, None), (99, "once only")], "doc_id long, text string")
+    known = secrets.learned(d).split()
+    assert "serialization_context" in known and "handler" in known and "q7Zk29XbVt4LmPw8Rj3NcY" not in known and "xqzjkvwpqz" not in known and "once" not in known
+    assert secrets.novelty("serialization_context", "", " ".join(known)) < secrets.novelty("serialization_context", "")
+
+
+def test_secrets_precision_and_recall():
+    """Planted keys of common shapes among ordinary words, names and paths: the figures of the README."""
+    r = random.Random(77)
+    shapes = [("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 20), ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 40), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32), ("abcdefghijklmnopqrstuvwxyz0123456789", 24), ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", 44), ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789-_", 43)]
+    words = secrets.IDENTIFIERS.split()[:200] + ["checkout", "variant", "article", "tensor", "gradient", "python", "numpy", "static", "final"]
+    hit = 0
+    for n in range(600):
+        symbols, size = shapes[n % len(shapes)]
+        key = "".join(r.choice(symbols) for _ in range(size))
+        text = f"the credential {key} of the service"
+        hit += any(a <= 15 and b >= 15 + size for a, b, k in secrets.spans_of(text) if k == "novel")
+    wrong = 0
+    for n in range(600):
+        parts = [r.choice(words) for _ in range(r.randint(3, 6))]
+        name = [lambda: "/".join(parts) + f"/{r.randint(1, 2030)}", lambda: "_".join(parts) + f"_v{r.randint(1, 9)}", lambda: "-".join(parts), lambda: "".join(map(str.title, parts))][n % 4]()
+        wrong += bool([s for s in secrets.spans_of(f"the credential {name} of the service") if s[2] == "novel"])
+    print("hit, wrong of 600:", hit, wrong)
+    assert hit >= 590 and wrong <= 12, (hit, wrong)
