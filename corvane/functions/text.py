@@ -108,21 +108,59 @@ def truncated(most: int, counter: Callable[[str], int] = count_pieces) -> Callab
 
 # Words and stems
 
-_WORD = re.compile(r"n't\b|'(?:s|m|d|ll|re|ve)\b|\.{2,}|--|[^\W_]+(?:[-./_][^\W_]+)*(?=n't\b)|[^\W_](?:[\w.\-/]*[^\W_])?|[^\w\s]|_", re.I)
+# The published rewrite rules of treebank tokens (quotes that open; points; brackets and
+# dashes; quotes that close; contractions), which are applied one after the other to the whole text.
+_OPENING = [
+    (r"([«“‘„]|[`]+)", r" \1 "),
+    (r"(?i)(')(?!re|ve|ll|m|t|s|d|n)(\w)\b", r"\1 \2"),
+    (r'^"', r"``"),
+    (r"(``)", r" \1 "),
+    (r"([ (\[{<])(\"|'{2})", r"\1 `` "),
+]
+_POINTS = [
+    (r"([^.])(\.)([\])}>\"'»”’ ]*)\s*$", r"\1 \2 \3 "),
+    (r"([:,])([^\d])", r" \1 \2"),
+    (r"([:,])$", r" \1 "),
+    (r"(\.{2,})", r" \1 "),
+    (r"([;@#$%&])", r" \1 "),
+    (r"([^.])(\.)([\])}>\"']*)\s*$", r"\1 \2\3 "),
+    (r"([?!])", r" \1 "),
+    (r"([^'])' ", r"\1 ' "),
+    (r"([*])", r" \1 "),
+    (r"([\]\[(){}<>])", r" \1 "),
+    (r"(--)", r" \1 "),
+]
+_CLOSING = [
+    (r"([»”’])", r" \1 "),
+    (r"''", r" '' "),
+    (r'"', r" '' "),
+    (r"\s+", r" "),
+    (r"([^' ])('[sS]|'[mM]|'[dD]|') ", r"\1 \2 "),
+    (r"([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T) ", r"\1 \2 "),
+]
+_CONTRACTIONS = [(rf"(?i)\b({a})({b})\b", r" \1 \2 ") for a, b in (("can", "not"), ("d", "'ye"), ("gim", "me"), ("gon", "na"), ("got", "ta"), ("lem", "me"), ("more", "'n"))]
+_CONTRACTIONS += [(r"(?i)\b(wan)(na)(?=\s)", r" \1 \2 "), (r"(?i) ('t)(is)\b", r" \1 \2 "), (r"(?i) ('t)(was)\b", r" \1 \2 ")]
+_COMPILED = [[(re.compile(p), r) for p, r in part] for part in (_OPENING + _POINTS, _CLOSING + _CONTRACTIONS)]
 
 
 def words(text: str) -> list[str]:
-    """Words, with inner marks kept, and marks apart: an approximation of treebank rules by one pattern."""
-    return _WORD.findall(text)
-
-
-#: The same pattern for the JVM, its classes spelled out.
-_JVM_WORD = _WORD.pattern.replace("[^\\W_]", "[\\p{L}\\p{N}]").replace("[\\w.\\-/]", "[\\p{L}\\p{N}_.\\-/]").replace("[^\\w\\s]", "[^\\p{L}\\p{N}_\\s\\x1c-\\x1f]")
+    """Treebank tokens of the text, white space at its ends aside."""
+    text = re.sub("[\x1c-\x1f]", " ", text).strip()
+    for part, pad in zip(_COMPILED, (" ", ""), strict=True):
+        for pattern, by in part:
+            text = pattern.sub(by, text)
+        text = f"{pad}{text}{pad}"
+    return text.split()
 
 
 def word_list(text: Column) -> Column:
-    """words() as a column."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?iU)" + _JVM_WORD), F.lit(0))
+    """words() as a column: the same rules, one after the other, in the JVM."""
+    out = strip(F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x1c-\\x1f]", " "))
+    for part, pad in ((_OPENING + _POINTS, " "), (_CLOSING + _CONTRACTIONS, "")):
+        for pattern, by in part:
+            out = F.regexp_replace(out, "(?U)" + pattern, re.sub(r"\\(\d)", r"$\1", by))
+        out = F.concat(F.lit(pad), out, F.lit(pad))
+    return F.array_remove(F.split(out, "(?U)\\s+"), "")
 
 
 def stemmed(word: Column) -> Column:

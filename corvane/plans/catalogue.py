@@ -216,6 +216,28 @@ def q_stratified_sample(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.stratified(e, 10)
 
 
+def _treebank_sql(text: str) -> str:
+    """The rules of functions.text as nested calls; what RE2 lacks (looking ahead, letters beyond ASCII in a class) is spelt out."""
+    spelt = {
+        T._OPENING[1][0]: (r"(?i)(')([a-ce-lo-ru-z0-9_]|[^\x00-\x7F\P{L}])([^\p{L}\p{N}_]|$)", r"\1 \2\3"),
+        r"(?i)\b(wan)(na)(?=\s)": (r"(?i)\b(wan)(na)(\s)", r" \1 \2 \3"),
+    }
+    call = lambda t, p, r: f"regexp_replace({t}, '{p.replace(chr(39), chr(39) * 2)}', '{r.replace(chr(39), chr(39) * 2)}', 'g')"
+    text = call(f"coalesce({text}, '')", r"^\s+|\s+$", "")
+    for part, pad in ((T._OPENING + T._POINTS, " "), (T._CLOSING + T._CONTRACTIONS, "")):
+        for pattern, by in part:
+            text = call(text, *spelt.get(pattern, (pattern, by)))
+        text = f"('{pad}' || {text} || '{pad}')"
+    return text
+
+
+@query(f"""SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(regexp_split_to_array({_treebank_sql("text")}, '\\s+')) AS word FROM documents) WHERE length(word) > 2 GROUP BY ALL""")
+def q_treebank_words(spark: SparkSession, sf: str) -> DataFrame:
+    """The words that q_stem_tokens stems, of all documents."""
+    d = table(spark, sf, "documents").select("lang", F.explode(T.word_list(F.col("text"))).alias("word"))
+    return d.where(F.length("word") > 2).groupBy("lang", "word").agg(F.count("*").alias("n"))
+
+
 @query()
 def q_stem_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """Stemmed words of all documents by pair; there is no stemmer in SQL, so tests hold it against the published examples."""

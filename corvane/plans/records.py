@@ -119,15 +119,12 @@ def q_vector_sink(spark: SparkSession, sf: str) -> DataFrame:
     return size.select("vec_id", "i", "x", "bytes")
 
 
-@query("SELECT n_nationkey AS embedding_id, i::INTEGER AS i, [n_nationkey, n_regionkey, length(n_name)][i + 1]::DOUBLE AS x FROM nation, (SELECT unnest([0, 1, 2]) AS i)")
+@query("SELECT embedding_id, (i - 1)::INTEGER AS i, embedding[i]::DOUBLE AS x FROM (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS embedding_id, embedding FROM embeddings), LATERAL (SELECT unnest(range(1, len(embedding) + 1)) AS i)")
 def q_float64_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    """Headerless float64 vectors, as other programs write them (here of the 25 nations)."""
-    import struct
-
-    rows = table(spark, sf, "nation").orderBy("n_nationkey").collect()
-    path = _at(spark, "blocks") + "/v.bin"
-    _put(spark, path, b"".join(struct.pack("<3d", r.n_nationkey, r.n_regionkey, len(r.n_name)) for r in rows))
-    return readers.float64_blocks(spark, path, 3).select("embedding_id", F.posexplode("embedding").alias("i", "x"))
+    """Headerless float64 vectors, written by several tasks in order and read back in ranges of 64 vectors."""
+    e, path = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding")), _at(spark, "blocks")
+    sinks.float64_files(e.repartitionByRange(5, "vec_id").sortWithinPartitions("vec_id"), path, 64)
+    return readers.float64_blocks(spark, path, 64, partition=64 * 64 * 8).select("embedding_id", F.posexplode("embedding").alias("i", "x"))
 
 
 @query("""SELECT CAST(r_regionkey AS VARCHAR) || ' ' || r_name AS main, CAST(r_regionkey AS VARCHAR) || '.' || CAST(row_number() OVER (PARTITION BY r_regionkey, s_suppkey ORDER BY n_nationkey) AS VARCHAR) || ' ' || n_name AS sub,

@@ -26,7 +26,7 @@ def session(cpus: int | None = None, name: str = "corvane") -> SparkSession:
     )
 
 
-def _importable(spark: SparkSession) -> None:
+def importable(spark: SparkSession) -> None:
     """Lets Python workers on this machine import the package, wherever the driver was started. A cluster is given it as py-files."""
     top, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
     if top not in env.get("PYTHONPATH", "").split(os.pathsep):
@@ -34,7 +34,7 @@ def _importable(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    _importable(spark)
+    importable(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

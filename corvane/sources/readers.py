@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane import schemas
-from corvane.session import keep
+from corvane.session import importable, keep
+from corvane.sources.float64 import Float64
 
 
 def json_objects(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -75,20 +76,12 @@ def delimited(spark: SparkSession, path: str, schema: str, header: bool = False)
     return df.select(*(F.coalesce(c, F.lit("")).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes))
 
 
-def float64_blocks(spark: SparkSession, path: str, dimension: int, first: int = 0) -> DataFrame:
-    """(embedding_id, embedding) from headerless little-endian float64 vectors; the file must hold whole vectors."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    size = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
-    if size % (8 * dimension):
-        raise ValueError(f"{path} holds {size} bytes, which is no whole number of vectors of {dimension}")
-
-    def vector(x):
-        import numpy as np
-
-        return x[1] + first, np.frombuffer(x[0], "<f8").tolist()
-
-    return spark.sparkContext.binaryRecords(path, 8 * dimension).zipWithIndex().map(vector).toDF("embedding_id bigint, embedding array<double>")
+def float64_blocks(spark: SparkSession, path: str, dimension: int, first: int = 0, tail: str = "error", partition: int | None = None) -> DataFrame:
+    """(embedding_id, embedding) from headerless little-endian float64 vectors, a file or a folder of files; tail says what becomes of bytes beyond whole vectors."""
+    importable(spark)
+    spark.dataSource.register(Float64)
+    read = spark.read.format("float64").option("path", path).option("dimension", dimension).option("first", first).option("tail", tail)
+    return (read if partition is None else read.option("partition", partition)).load()
 
 
 def template(spark: SparkSession, path: str) -> str:

@@ -7,6 +7,9 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from corvane.session import importable
+from corvane.sources.float64 import Float64
+
 
 def json_lines(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").json(path)
@@ -38,6 +41,13 @@ def float64_bytes(df: DataFrame, column: str = "embedding") -> DataFrame:
     return df.mapInArrow(pack, schema)
 
 
+def float64_files(df: DataFrame, path: str, dimension: int, append: bool = False) -> None:
+    """The column embedding as headerless float64 vectors, a file a partition, in the order of partitions and rows."""
+    importable(df.sparkSession)
+    df.sparkSession.dataSource.register(Float64)
+    df.select("embedding").write.format("float64").mode("append" if append else "overwrite").option("path", path).option("dimension", dimension).save()
+
+
 def predictions(df: DataFrame, path: str) -> None:
     """(method, mesh, gene, score), a folder a method."""
     df.write.mode("overwrite").partitionBy("method").parquet(path)

@@ -437,8 +437,20 @@ def test_readers_and_sinks(spark, tmp_path):
     v = readers.float64_blocks(spark, str(tmp_path / "v.bin"), 3)
     assert {r["embedding_id"]: r["embedding"] for r in rows(v)} == {0: [0, 1, 2], 1: [3, 4, 5]}
     assert bytes(rows(sinks.float64_bytes(v))[0]["embedding"]) in (struct.pack("<3d", 0, 1, 2), struct.pack("<3d", 3, 4, 5))
-    with pytest.raises(ValueError, match="whole number"):
-        readers.float64_blocks(spark, str(tmp_path / "v.bin"), 4)
+    with pytest.raises(Exception, match="whole number"):
+        readers.float64_blocks(spark, str(tmp_path / "v.bin"), 4).collect()
+    assert rows(readers.float64_blocks(spark, str(tmp_path / "v.bin"), 4, first=7, tail="drop")) == [{"embedding_id": 7, "embedding": [0.0, 1.0, 2.0, 3.0]}]
+    (tmp_path / "e.bin").write_bytes(b"")
+    assert rows(readers.float64_blocks(spark, str(tmp_path / "e.bin"), 4)) == []
+    many = spark.createDataFrame([(i, [float(i), -float(i)]) for i in range(1000)], "id int, embedding array<float>")
+    for k, append in enumerate((False, True, False)):
+        sinks.float64_files(many.repartitionByRange(4, "id").sortWithinPartitions("id"), str(tmp_path / "vecs"), 2, append=append)
+        back = readers.float64_blocks(spark, "file://" + str(tmp_path / "vecs"), 2, partition=16 * 100)
+        assert back.count() == (2000 if append else 1000) and back.rdd.getNumPartitions() >= 10
+    assert [(r["embedding_id"], r["embedding"]) for r in rows(back.orderBy("embedding_id"))] == [(i, [i, -i]) for i in range(1000)]
+    with pytest.raises(Exception, match="a vector of 3"):
+        sinks.float64_files(many, str(tmp_path / "bad"), 3)
+    assert not [f for f in (tmp_path / "bad").iterdir() if f.suffix == ".f64"]
     d = spark.createDataFrame([("D", ["g"], {"g": {"paper": 1}}, None)], "mesh string, gold array<string>, ann map<string,map<string,bigint>>, n int")
     sinks.array_lines(d, str(tmp_path / "out"), ["mesh", "gold", "ann", "n"])
     assert [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out")).collect()] == [["D", ["g"], {"g": {"paper": 1}}, None]]
@@ -518,9 +530,26 @@ def test_log_resumes(spark, tmp_path):
     assert sorted(i for i, e in log if e is None) == [i for i in range(20) if i % 5] and sorted(i for i, e in log if e) == [0, 0, 5, 5, 10, 15]
 
 
+def test_treebank_tokens():
+    """The published examples of the rules."""
+    for text, want in {
+        "Good muffins cost $3.88\nin New York.  Please buy me\ntwo of them.\nThanks.": "Good muffins cost $ 3.88 in New York. Please buy me two of them. Thanks .",
+        "They'll save and invest more.": "They 'll save and invest more .",
+        "hi, my name can't hello,": "hi , my name ca n't hello ,",
+        'He said, "it\'s 5:30, isn\'t it?" (Yes) -- I cannot wait...': "He said , `` it 's 5:30 , is n't it ? '' ( Yes ) -- I can not wait ...",
+        "gonna wanna go 'tis": "gon na wan na go 't is",
+        "«y» Alice’s": "« y » Alice ’ s",
+        "": "", " \t\n": "",
+    }.items():
+        assert T.words(text) == want.split(), text
+
+
 def test_words_of_the_jvm(spark):
     """The column and the plain function split alike; words stemmed once count like words stemmed one by one."""
     texts = ["It's a well-known fact: don't stop... 3.5% of U.S. -- naïve café's n't", "", None, "a_b 'll \u3000x\x1cy Ünïcode-Wört/eins", "CAN'T won't it 'S"]
+    r = random.Random(12)
+    signs = ["a", "Bé", "can", "not", "n't", "'s", "'ll ", "'", '"', "``", ".", "...", ",", ":", "7", " ", "  ", "\n", "(", "]", "--", "?", "$", "*", "«", "’", "漢", "wanna", "'tis", "\x1d", "\u2003", "<", "{", "&"]
+    texts += ["".join(r.choice(signs) for _ in range(r.randint(1, 25))) for _ in range(800)]
     d = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r.w for r in d.select(T.word_list(F.col("t")).alias("w")).collect()] == [T.words(t or "") for t in texts]
     tr = spark.createDataFrame([("D", "G", t, "causes", "running dogs", ["fact"]) for t in texts], "mesh string, gene string, h string, r string, t string, names array<string>")
