@@ -56,11 +56,12 @@ def shared_dir(spark: SparkSession) -> str:
     path = f"{top.rstrip('/')}/corvane-{sc.applicationId}"
     if path not in _made:
         _made[path] = path
-        atexit.register(_remove, spark, path)
+        atexit.register(remove, spark, path)
     return path
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """A file or folder, if it is there."""
     try:
         jvm = spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
@@ -69,6 +70,11 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def keep(df: DataFrame, name: str = "part", compression: str = "zstd") -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it again: computed once, and the lineage ends there."""
     spark = df.sparkSession
@@ -81,4 +87,4 @@ def keep(df: DataFrame, name: str = "part", compression: str = "zstd") -> DataFr
 
 def discard(kept: DataFrame) -> None:
     """Removes what keep wrote, once nothing reads it any more; what isn't discarded goes when the application ends."""
-    _remove(kept.sparkSession, kept._kept_at)
+    remove(kept.sparkSession, kept._kept_at)

@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 import threading
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import Future, ThreadPoolExecutor
 from datetime import datetime
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.text import count_pieces
+from corvane.session import exists, remove, shared_dir
 
 WINDOW_S = 60.0
 
@@ -189,16 +191,19 @@ def embeddings(texts: DataFrame, client: Callable[[], ModelClient], requests: in
 def logged(todo: DataFrame, key: list[str], call: Callable[[DataFrame], DataFrame], path: str, batches: int = 100) -> None:
     """Runs call over todo in so many batches by a hash of the key, each appended to the JSON log as it ends; what the log has is not asked again.
 
+    The log is read once and what is left dealt to the batches once, so a batch reads its own rows only.
     A job that dies loses the batch it was in. Run again with the same number of batches or another, it goes on.
     """
     spark = todo.sparkSession
+    if exists(spark, path):
+        shape = ", ".join(f"`{c}` {t}" for c, t in todo.select(*key).dtypes)
+        todo = remaining(todo, spark.read.schema(f"{shape}, error string").json(path), *key)
+    dealt = f"{shared_dir(spark)}/todo-{uuid.uuid4().hex}"
+    todo.withColumn("_batch", F.pmod(F.xxhash64(*key), F.lit(batches)).cast("int")).write.partitionBy("_batch").parquet(dealt)
     for k in range(batches):
-        part = todo.where(F.pmod(F.xxhash64(*key), F.lit(batches)) == k)
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-            shape = ", ".join(f"`{c}` {t}" for c, t in todo.select(*key).dtypes)
-            part = remaining(part, spark.read.schema(f"{shape}, error string").json(path), *key)
-        call(part).write.mode("append").option("ignoreNullFields", False).json(path)
+        if exists(spark, f"{dealt}/_batch={k}"):
+            call(spark.read.schema(todo.schema).parquet(f"{dealt}/_batch={k}")).write.mode("append").option("ignoreNullFields", False).json(path)
+    remove(spark, dealt)
 
 
 def remaining(todo: DataFrame, log: DataFrame | None, *key: str) -> DataFrame:

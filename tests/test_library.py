@@ -572,6 +572,39 @@ def test_streams(spark, tmp_path):
     assert spark.table("counts").agg(F.sum("n")).first()[0] == spark.read.parquet(path).count()
 
 
+def test_outputs_merge_by_key(spark, tmp_path):
+    """Late outputs change nothing, repeated ones replace, over a restart and a batch that is run again; old versions go."""
+    src, target = tmp_path / "in", str(tmp_path / "out")
+    spark.createDataFrame([], schemas.MODEL_OUTPUT).write.json(str(src))
+
+    def run():
+        q = incremental.matched_triplets(incremental.output_stream(spark, str(src)), paper(spark), target, str(tmp_path / "cp"), buckets=2)
+        q.awaitTermination(60)
+        assert q.exception() is None
+        return incremental.latest(spark, target).count()
+
+    ends = outputs(spark, *THREE).select(F.max("request_end_time")).first()[0]
+    outputs(spark, *THREE).write.mode("append").json(str(src))
+    full = run()
+    assert full > 0
+    outputs(spark, "nothing", end="").write.mode("append").json(str(src))  # ended before what is there
+    assert run() == full
+    outputs(spark, "nothing", end=ends + "1").write.mode("append").json(str(src))
+    assert run() == 0
+    for _ in range(3):
+        outputs(spark, *THREE, end=ends + "1").write.mode("append").json(str(src))  # at once with the last: the later batch counts
+        assert run() == full
+    versions = list((tmp_path / "out" / "table").glob("batch=*/bucket=*"))
+    assert len(versions) <= 2 * 2  # two a bucket at most
+    last = max(int(p.name.split("=")[1]) for p in (tmp_path / "out" / "notes").iterdir())
+    before = sorted(map(repr, rows(incremental.latest(spark, target))))
+    (tmp_path / "cp" / "commits" / str(last)).unlink()  # as if the job had died before its last batch was noted
+    for f in (tmp_path / "cp" / "commits").glob(f".{last}.*"):
+        f.unlink()
+    run()
+    assert sorted(map(repr, rows(incremental.latest(spark, target)))) == before
+
+
 def test_ranker_runs(spark):
     r = random.Random(8)
     cells = [(str(m), str(g), f, float(r.randint(1, 9) + (5 if g < 4 else 0))) for m in range(5) for g in range(30) for f in ("paper", "sentence", "gpt_paper")]
