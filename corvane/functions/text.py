@@ -6,6 +6,8 @@ Columns where Spark's own functions express it; Arrow-batched functions where th
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -192,40 +194,101 @@ def stems(least: int = 3) -> Callable[[Column, Column], Column]:
 # Near-duplicate clauses
 
 
-def survivors(choices: list[list[str]], most: float) -> list[list[bool]]:
-    """Which clauses of a head's choices stay: all of the first choice that has any, then those unlike whatever stayed.
+class Kept:
+    """Clauses that stayed, by their length: a new one is compared only with those that its length and letters allow to be alike.
 
-    A clause goes if it equals one that stayed or its similarity to it (the kept one as the second
-    sequence, without the popularity heuristic) is above most. 2 min(a, b) / (a + b) bounds the
-    similarity by the lengths alone, so most pairs need no match.
+    Of lengths a and b the similarity is at most 2 min(a, b) / (a + b), which leaves a range of lengths;
+    in it, twice the letters in common over a + b is a bound. What is left goes to the matcher.
     """
-    from difflib import SequenceMatcher
 
-    kept: dict[str, SequenceMatcher] = {}
-    first, out = True, []
+    def __init__(self, most: float) -> None:
+        self.most, self.lengths, self.rows = most, [], []
+        self.texts: set[str] = set()
+        self.pairs = self.compared = 0
+
+    def add(self, clause: str) -> None:
+        from difflib import SequenceMatcher
+
+        if clause not in self.texts:
+            at = bisect_right(self.lengths, len(clause))
+            self.lengths.insert(at, len(clause))
+            self.rows.insert(at, (Counter(clause), SequenceMatcher(None, "", clause, autojunk=False)))
+            self.texts.add(clause)
+
+    def alike(self, clause: str) -> bool:
+        """Whether it equals a kept clause, or its similarity to one (the kept one as the second sequence, without the popularity heuristic) is above most."""
+        if clause in self.texts:
+            return True
+        self.pairs += len(self.rows)
+        n, letters = len(clause), Counter(clause)
+        share = self.most / (2 - self.most) if self.most < 2 else 1.0
+        first = bisect_left(self.lengths, int(n * share) - 1)
+        last = bisect_right(self.lengths, int(n / share) + 1) if share > 0 else len(self.lengths)
+        for length, (of, matcher) in zip(self.lengths[first:last], self.rows[first:last], strict=True):
+            both = sum(min(k, of[c]) for c, k in letters.items())
+            if 2 * min(n, length) > self.most * (n + length) and 2 * both > self.most * (n + length):
+                self.compared += 1
+                matcher.set_seq1(clause)
+                if matcher.ratio() > self.most:
+                    return True
+        return False
+
+
+def survived(choices: list[list[str]], most: float) -> tuple[list[list[bool]], Kept]:
+    kept, first, out = Kept(most), True, []
     for choice in choices:
         stay = []
         for c in choice:
-            ok = first or not (c in kept or any(_alike(m, c, k, most) for k, m in kept.items()))
-            stay.append(ok)
-            if ok and c not in kept:
-                kept[c] = SequenceMatcher(None, "", c, autojunk=False)
+            stay.append(first or not kept.alike(c))
+            if stay[-1]:
+                kept.add(c)
         first = first and not choice
         out.append(stay)
-    return out
+    return out, kept
 
 
-def _alike(matcher, new: str, old: str, most: float) -> bool:
-    if 2 * min(len(new), len(old)) <= most * (len(new) + len(old)):
-        return False
-    matcher.set_seq1(new)
-    return matcher.real_quick_ratio() > most and matcher.quick_ratio() > most and matcher.ratio() > most
+def survivors(choices: list[list[str]], most: float) -> list[list[bool]]:
+    """Which clauses of a head's choices stay: all of the first choice that has any, then those unlike whatever stayed."""
+    return survived(choices, most)[0]
 
 
 def near_duplicates(most: float) -> Callable[[Column], Column]:
-    @F.pandas_udf("array<array<boolean>>")
-    def of(heads_: pd.Series) -> pd.Series:
-        return heads_.map(lambda h: [list(x) for x in survivors([list(c) for c in h], most)] if h is not None else None)
+    """(stay, clauses, pairs, compared) of each head's choices: which stay, and the work done."""
+
+    @F.pandas_udf("stay array<array<boolean>>, clauses bigint, pairs bigint, compared bigint")
+    def of(heads_: pd.Series) -> pd.DataFrame:
+        out = []
+        for h in heads_:
+            stay, kept = survived([list(c) for c in h], most) if h is not None else (None, Kept(most))
+            out.append((stay, sum(map(len, stay or [])), kept.pairs, kept.compared))
+        return pd.DataFrame(out, columns=["stay", "clauses", "pairs", "compared"])
+
+    return of
+
+
+# Names in texts
+
+
+def finder(names: list[str]) -> Callable[[str], list[str]]:
+    """text -> the names that it holds as written, in their order: one automaton of all names, one pass over the text."""
+    import ahocorasick
+
+    machine, always = ahocorasick.Automaton(), [i for i, n in enumerate(names) if not n]
+    for i, n in enumerate(names):
+        if n:
+            machine.add_word(n, i)
+    if not len(machine):
+        return lambda text: [names[i] for i in always]
+    machine.make_automaton()
+    return lambda text: [names[i] for i in sorted({*always, *(i for _, i in machine.iter(text))})]
+
+
+def held() -> Callable[[Column, Column], Column]:
+    """(names, texts) -> of each text the names that it holds."""
+
+    @F.pandas_udf("array<array<string>>")
+    def of(names: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([list(map(finder(list(n)), t)) for n, t in zip(names, texts, strict=True)])
 
     return of
 

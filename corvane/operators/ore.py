@@ -39,15 +39,18 @@ def parse(rows: DataFrame) -> DataFrame:
 
 
 def facts(rows: DataFrame) -> DataFrame:
-    """The flat table of triplets: dgp_id, mesh, gene, pmid, head_pos, head, choice, pos, h, r, t, with the paper's names."""
-    names = ["dgp_id", "mesh", "gene", "pmid", "mesh_name_to_stats", "gene_name_to_stats", "vid_name_count", "name_vid_count"]
-    d = rows.select(*names, F.posexplode("heads").alias("head_pos", "x")).select(*names, "head_pos", "x.head", F.posexplode("x.choices").alias("choice", "y"))
-    return d.select(*names, "head_pos", "head", "choice", F.posexplode("y").alias("pos", "z")).select(*names, "head_pos", "head", "choice", "pos", "z.*")
+    """The flat table of triplets: dgp_id, mesh, gene, pmid, head_pos, head, choice, pos, h, r, t, with the paper's names.
 
-
-def held(names: Column, text: Column) -> Column:
-    """Names of a map that occur in a text, as written."""
-    return F.filter(F.coalesce(F.map_keys(names), F.array().cast("array<string>")), lambda n: F.contains(text, n))
+    tail_names and head_names are those that t and h hold as written: of the diseases' names, of the
+    genes' and variants'. They are sought for all triplets of a paper at once.
+    """
+    names = ["dgp_id", "mesh", "gene", "pmid", "gene_name_to_stats", "vid_name_count", "name_vid_count"]
+    each = lambda h, i: F.flatten(F.transform(h.choices, lambda c, j: F.transform(c, lambda x, k: F.struct(i.alias("head_pos"), h.head.alias("head"), j.alias("choice"), k.alias("pos"), x.h.alias("h"), x.r.alias("r"), x.t.alias("t")))))
+    keys = lambda *maps: F.array_distinct(F.concat(*(F.coalesce(F.map_keys(m), F.array().cast("array<string>")) for m in maps)))
+    d = rows.select(*names, keys("mesh_name_to_stats").alias("_m"), keys("gene_name_to_stats", "name_vid_count").alias("_g"), F.flatten(F.transform("heads", each)).alias("_x")).where(F.size("_x") > 0)
+    d = d.withColumn("_t", T.held()(F.col("_m"), F.transform("_x", lambda x: x.t))).withColumn("_h", T.held()(F.col("_g"), F.transform("_x", lambda x: x.h)))
+    one = F.transform("_x", lambda x, i: F.struct(x.alias("x"), F.get("_t", i).alias("tail_names"), F.get("_h", i).alias("head_names")))
+    return d.select(*names, F.explode(one).alias("z")).select(*names, "z.x.*", "z.tail_names", "z.head_names")
 
 
 def match(triplets: DataFrame) -> DataFrame:
@@ -59,12 +62,12 @@ def match(triplets: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     vids = F.coalesce(F.map_keys(F.try_element_at("name_vid_count", F.col("head"))), none)
     siblings = F.array_distinct(F.flatten(F.transform(vids, lambda v: F.coalesce(F.map_keys(F.try_element_at("vid_name_count", v)), none))))
-    d = triplets.withColumns({"mesh_names": held(F.col("mesh_name_to_stats"), F.col("t")), "gene_names": F.when(F.map_contains_key("gene_name_to_stats", F.col("head")), held(F.col("gene_name_to_stats"), F.col("h"))).otherwise(none), "_v": F.filter(siblings, lambda n: F.contains(F.col("h"), n))})
+    d = triplets.withColumns({"mesh_names": F.col("tail_names"), "gene_names": F.when(F.map_contains_key("gene_name_to_stats", F.col("head")), F.filter("head_names", lambda n: F.map_contains_key("gene_name_to_stats", n))).otherwise(none), "_v": F.filter(siblings, lambda n: F.array_contains("head_names", n))})
     pairs = F.flatten(F.transform("_v", lambda n: F.transform(F.coalesce(F.map_keys(F.try_element_at("name_vid_count", n)), none), lambda v: F.struct(v.alias("vid"), n.alias("name")))))
     d = d.withColumn("_p", pairs)
     ids = F.array_distinct(F.transform("_p", lambda p: p["vid"]))
     d = d.withColumn("vids", F.map_from_arrays(ids, F.transform(ids, lambda i: F.transform(F.filter("_p", lambda p: p["vid"] == i), lambda p: p["name"]))))
-    return d.withColumn("is_match", (F.size("mesh_names") > 0) & ((F.size("gene_names") > 0) | (F.size("_p") > 0))).drop("_v", "_p", "mesh_name_to_stats", "gene_name_to_stats", "vid_name_count", "name_vid_count")
+    return d.withColumn("is_match", (F.size("mesh_names") > 0) & ((F.size("gene_names") > 0) | (F.size("_p") > 0))).drop("_v", "_p", "tail_names", "head_names", "gene_name_to_stats", "vid_name_count", "name_vid_count")
 
 
 def counters(matched: DataFrame) -> DataFrame:
@@ -92,7 +95,7 @@ def combined(rows: DataFrame, matched: DataFrame, most: float) -> DataFrame:
     good = matched.where("is_match").groupBy("dgp_id", "head_pos", "choice").agg(F.array_sort(F.collect_list(item)).alias("items"))
     head = good.groupBy("dgp_id", "head_pos").agg(F.array_sort(F.collect_list(F.struct("choice", "items"))).alias("c"))
     clauses = F.transform("c", lambda x: F.transform(x["items"], T.clause))
-    head = head.withColumn("stay", T.near_duplicates(most)(clauses))
+    head = head.withColumn("_s", T.near_duplicates(most)(clauses)).withColumn("stay", F.col("_s.stay"))
     kept = F.flatten(F.transform("c", lambda x, i: F.filter(F.transform(x["items"], lambda y, j: F.struct(F.get(F.get("stay", i), j).alias("ok"), x.choice.alias("choice"), y.alias("y"))), lambda z: z.ok)))
     key = lambda p, z: F.struct((-F.size(z.y.gene_names)).alias("k1"), F.array_sort(F.transform(z.y.v, lambda e: e.key)).alias("k2"), p.alias("head_pos"), z.choice.alias("choice"), z.y.pos.alias("pos"), z.y.alias("y"))
     head = head.select("dgp_id", F.transform(kept, lambda z: key(F.col("head_pos"), z)).alias("k"))
@@ -105,6 +108,14 @@ def combined(rows: DataFrame, matched: DataFrame, most: float) -> DataFrame:
     return d.select("dgp_id", "mesh", "gene", "pmid", F.coalesce("mesh_name_to_matches", some).alias("mesh_name_to_matches"), F.coalesce("gene_name_to_matches", some).alias("gene_name_to_matches"), F.coalesce("vid_name_matches", F.create_map().cast(schemas.NESTED)).alias("vid_name_matches"), F.coalesce("extractions", F.array().cast(f"array<{schemas.EXTRACTION}>")).alias("extractions"))
 
 
+def comparisons(matched: DataFrame, most: float) -> DataFrame:
+    """One row: how many matching clauses there are, how many pairs of a later and a kept one of a head, and how many of those had to be compared letter by letter."""
+    good = matched.where("is_match").groupBy("dgp_id", "head_pos", "choice").agg(F.array_sort(F.collect_list(F.struct("pos", "h", "r", "t"))).alias("items"))
+    head = good.groupBy("dgp_id", "head_pos").agg(F.array_sort(F.collect_list(F.struct("choice", "items"))).alias("c"))
+    done = head.select(T.near_duplicates(most)(F.transform("c", lambda x: F.transform(x["items"], T.clause))).alias("s"))
+    return done.agg(*(F.coalesce(F.sum(f"s.{c}"), F.lit(0)).alias(c) for c in ("clauses", "pairs", "compared")))
+
+
 def extract(papers: DataFrame, outputs: DataFrame, most: float, order: str | None = None) -> DataFrame:
     """Outputs to combined rows in one plan."""
     rows = parse(raw(papers, outputs, order))

@@ -144,6 +144,24 @@ def q_feature_matrix_cap(spark: SparkSession, sf: str) -> DataFrame:
     return cells.select("mesh", "gene", "y", "pos", "c.feature", F.round("c.value", 8).alias("value"), F.round("c.scaled", 8).alias("scaled")).where(F.col("feature").isin("paper", "sentence", "spacy_ore", "gpt_paper", "or_count_0"))
 
 
+_SHARES = ", ".join(f"sum(CASE WHEN (l_orderkey * 7 + l_linenumber) % 13 = {j} THEN 1 ELSE 0 END)::DOUBLE" for j in range(1, 13))
+
+
+@query(f"""WITH {E}, v AS (SELECT CAST(l_suppkey AS VARCHAR) AS mesh, CAST(l_partkey AS VARCHAR) AS gene, [count(*)::DOUBLE, {_SHARES}, sum(CASE WHEN l_quantity - 5 > 0 THEN 1 ELSE 0 END)::DOUBLE] AS v FROM lineitem GROUP BY 1, 2),
+u AS (SELECT mesh, gene, y, i, v[i + 1] AS x FROM v JOIN pairs USING (mesh, gene), (SELECT unnest(range(0, 14)) AS i)),
+s AS (SELECT *, (x - min(x) OVER w) / CASE WHEN max(x) OVER w = min(x) OVER w THEN 1 ELSE max(x) OVER w - min(x) OVER w END AS z FROM u WINDOW w AS (PARTITION BY mesh, i))
+SELECT mesh, y, (i + k)::INTEGER AS i, count(*) AS genes, round(sum(CASE k WHEN 0 THEN x ELSE z END), 6) AS total, round(max(CASE k WHEN 0 THEN x ELSE z END), 8) AS most FROM s, (SELECT unnest([0, 14]) AS k) GROUP BY 1, 2, 3""")
+def q_full_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """All thirteen features and the odds-ratio count, raw and scaled, of every pair; summed up by disease, label and place."""
+    li = table(spark, sf, "lineitem").select(F.col("l_suppkey").cast("string").alias("mesh"), F.col("l_partkey").cast("string").alias("gene"), "l_orderkey", "l_linenumber", "l_discount", "l_returnflag")
+    share = (F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 13
+    wide = li.groupBy("mesh", "gene").agg(F.count("*").cast("double").alias("paper"), *(F.count_if(share == j).cast("double").alias(f) for j, f in enumerate(evidence.FEATURES) if j))
+    ev = keep(wide, "wide").unpivot(["mesh", "gene"], [f"`{f}`" for f in evidence.FEATURES], "feature", "score")
+    gold = li.where("l_returnflag = 'R' and l_discount >= 0.09").select("mesh", "gene").distinct()
+    m = evidence.feature_matrix(gold, ev, _odds(spark, sf), None, 0).select("mesh", "y", F.posexplode("x").alias("i", "x"))
+    return m.groupBy("mesh", "y", "i").agg(F.count("*").alias("genes"), F.round(F.sum("x"), 6).alias("total"), F.round(F.max("x"), 8).alias("most"))
+
+
 # ---- the token analogue ----------------------------------------------------------------------
 
 
@@ -401,6 +419,20 @@ def q_near_dup(spark: SparkSession, sf: str) -> DataFrame:
     return ore.combined(rows, matched, 0.9).select("dgp_id", F.posexplode("extractions").alias("pos", "x")).select("dgp_id", "pos", "x.h", "x.r", "x.t")
 
 
+@query(f"""WITH {MT}, g AS (SELECT DISTINCT dgp_id, h, r, t FROM m WHERE mh AND (gh OR vh))
+SELECT (SELECT count(*) FROM part) AS papers, (SELECT count(DISTINCT dgp_id) FROM g) AS papers_with_triplets, (SELECT count(*) FROM g) AS kept_triplets, (SELECT count(*) FROM m) AS triplets, (SELECT count(*) FROM m WHERE mh AND (gh OR vh)) AS good_triplets""")
+def q_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """What an extraction reports in the end."""
+    rows, matched = _matched(spark, sf)
+    return ore.totals(ore.combined(rows, matched, 1.0), matched)
+
+
+@query()
+def q_comparisons(spark: SparkSession, sf: str) -> DataFrame:
+    """How many pairs of clauses the bounds leave to compare letter by letter; tests hold the outcome against all pairs."""
+    return ore.comparisons(_matched(spark, sf)[1], 0.9)
+
+
 @query("SELECT CASE WHEN lower(text) LIKE 'e%' THEN 1.0 WHEN false THEN 0.0 ELSE 0.5 END::DOUBLE AS score, count(*) AS answers, round(count(*) / sum(count(*)) OVER (), 8) AS ratio FROM conversations WHERE role = 'assistant' AND text IS NOT NULL GROUP BY 1")
 def q_answer_classify(spark: SparkSession, sf: str) -> DataFrame:
     t = table(spark, sf, "conversations").where("role = 'assistant' and text is not null")

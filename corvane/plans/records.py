@@ -150,6 +150,22 @@ def q_predictions_sink(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema("mesh string, gene string, score double, method string").parquet(path).select("method", "mesh", "gene", "score")
 
 
+@query("SELECT s_suppkey, replace(replace('Of GENE:' || chr(10) || '\"TEXT\"' || chr(10), 'TEXT', 'GENE ' || s_name), 'GENE', 'x') AS prompt FROM supplier")
+def q_template(spark: SparkSession, sf: str) -> DataFrame:
+    """A template of several lines, read whole; what fills a slot may be filled again."""
+    path = _at(spark, "template")
+    s = table(spark, sf, "supplier").select("s_suppkey", "s_name")
+    s.limit(1).select(F.lit('Of GENE:\n"TEXT"').alias("value")).write.text(path)
+    return s.select("s_suppkey", T.render(readers.template(spark, path), TEXT=F.concat(F.lit("GENE "), "s_name"), GENE=F.lit("x")).alias("prompt"))
+
+
+@query("SELECT DISTINCT p_type AS token FROM part WHERE p_type NOT IN (SELECT p_type FROM part WHERE p_size % 7 = 0 AND p_retailprice > 1000)")
+def q_unsampled(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of classes without samples."""
+    p = table(spark, sf, "part")
+    return curation.unsampled(p.select(F.col("p_type").alias("token")), p.where("p_size % 7 = 0 and p_retailprice > 1000").select(F.col("p_type").alias("token")))
+
+
 @query("SELECT p_partkey AS dgp_id, p_name FROM part WHERE p_partkey BETWEEN 10 AND 150")
 def q_line_range(spark: SparkSession, sf: str) -> DataFrame:
     return readers.line_range(table(spark, sf, "part").select(F.col("p_partkey").alias("dgp_id"), "p_name"), 10, 150)

@@ -92,6 +92,18 @@ def test_near_duplicates_match_the_definition():
             assert T.survivors(choices, most) == brute(choices, most)
     assert T.survivors([[], ["ab", "ab"], ["ab", "xy"]], 0.9) == [[], [True, True], [False, True]]
     assert T.survivors([["abcd"], ["abxx"]], 0.5) == [[True], [True]]  # exactly at the limit stays
+    r = random.Random(3)
+    many = [[" ".join(r.choice(["gene", "mutated", "in", "disease", "causes", "p53", "x"]) for _ in range(r.randint(1, 12))) for _ in range(40)] for _ in range(4)]
+    stay, kept = T.survived(many, 0.9)
+    assert stay == brute(many, 0.9) and 0 < kept.compared < kept.pairs / 4
+
+
+def test_names_are_found_in_one_pass():
+    r = random.Random(5)
+    for _ in range(300):
+        names = list(dict.fromkeys("".join(r.choice("abé") for _ in range(r.randint(0, 4))) for _ in range(r.randint(0, 8))))
+        text = "".join(r.choice("abé ") for _ in range(r.randint(0, 30)))
+        assert T.finder(names)(text) == [n for n in names if n in text]
 
 
 def test_truncate():
