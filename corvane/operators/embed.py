@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,14 +70,20 @@ def pooled(items: DataFrame, vectors: DataFrame, weights: dict[str, bool] | None
         held = 0
         for batch in batches:
             types = [batch.schema.field(i).type for i in range(3)]
-            for k, w, x in zip(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True), batch.column(3).to_pylist(), batch.column(4), strict=True):
-                if w is None or not x.is_valid:
-                    continue
-                v = x.values.to_numpy(zero_copy_only=False) * w
+            batch = batch.filter(pc.and_(batch.column(3).is_valid(), batch.column(4).is_valid()))
+            if not batch.num_rows:
+                continue
+            places: dict[tuple, int] = {}
+            at = np.array([places.setdefault(k, len(places)) for k in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)])
+            order = np.argsort(at, kind="stable")
+            first = np.flatnonzero(np.concatenate(([True], np.diff(at[order]) > 0)))
+            w = batch.column(3).to_numpy()
+            x = batch.column(4).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) * w[:, None]
+            for k, v, total in zip(places, np.add.reduceat(x[order], first), np.add.reduceat(w[order], first), strict=True):
                 if k in sums:
-                    sums[k] = (sums[k][0] + v, sums[k][1] + w)
+                    sums[k] = (sums[k][0] + v, sums[k][1] + total)
                 else:
-                    sums[k], held = (v, w), held + v.nbytes
+                    sums[k], held = (v, total), held + v.nbytes
             if held > 1 << 26:
                 yield sent()
                 sums, held = {}, 0
