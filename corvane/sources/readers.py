@@ -90,18 +90,19 @@ def template(spark: SparkSession, path: str) -> str:
 
 
 def class_folder(spark: SparkSession, path: str) -> DataFrame:
-    """(main_id, main_name, sub_id, sub_name, pos, token, explanation) from files "N name.ext" of blocks.
+    """(main_pos, main_id, main_name, sub_id, sub_name, pos, token, explanation) from files "N name.ext" of blocks.
 
-    A block is a [name] line and token,explanation lines (the first comma divides); blank lines end blocks.
+    main_pos, sub_id and pos tell the order: files by name, blocks and lines as they come. A block is a [name] line and token,explanation lines (the first comma divides); blank lines end blocks.
     """
     files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.url_decode(F.regexp_replace(F.element_at(F.split("_metadata.file_path", "/"), -1), "\\+", "%2B")), "^(.*)$", 1).alias("file"), "value")
-    head = files.select(F.regexp_extract("file", "^(\\d+)\\s", 1).alias("n"), F.regexp_extract("file", "^\\d+\\s(.*?)(?:\\.[^.]*)?$", 1).alias("main_name"), F.split(F.regexp_replace("value", "\r\n?", "\n"), "\\n[\\s]*\\n").alias("blocks"))
+    files = files.withColumn("main_pos", F.row_number().over(Window.orderBy("file")) - 1)  # a row a class file
+    head = files.select("main_pos", F.regexp_extract("file", "^(\\d+)\\s", 1).alias("n"), F.regexp_extract("file", "^\\d+\\s(.*?)(?:\\.[^.]*)?$", 1).alias("main_name"), F.split(F.regexp_replace("value", "\r\n?", "\n"), "\\n[\\s]*\\n").alias("blocks"))
     whole = F.assert_true(F.col("n") != "", F.lit("a class file must be named: number, space, name"))
-    block = head.select(F.col("n"), "main_name", whole.alias("_1"), F.posexplode(F.filter("blocks", lambda b: F.trim(b) != "")).alias("i", "block"))
+    block = head.select("main_pos", F.col("n"), "main_name", whole.alias("_1"), F.posexplode(F.filter("blocks", lambda b: F.trim(b) != "")).alias("i", "block"))
     lines = F.filter(F.transform(F.split("block", "\n"), lambda x: F.regexp_replace(x, "^\\s+|\\s+$", "")), lambda x: x != "")
-    block = block.select(F.col("n").cast("int").alias("main_id"), "main_name", (F.col("i") + 1).alias("sub_id"), lines.alias("lines"), "_1")
+    block = block.select("main_pos", F.col("n").cast("int").alias("main_id"), "main_name", (F.col("i") + 1).alias("sub_id"), lines.alias("lines"), "_1")
     headed = F.assert_true(F.col("lines")[0].startswith("[") & F.col("lines")[0].endswith("]"), F.lit("a block must begin with [name]"))
-    rows = block.select("main_id", "main_name", "sub_id", F.expr("substring(lines[0], 2, length(lines[0]) - 2)").alias("sub_name"), F.posexplode(F.slice("lines", F.lit(2), F.size("lines"))).alias("pos", "line"), headed.alias("_2"), "_1")
+    rows = block.select("main_pos", "main_id", "main_name", "sub_id", F.expr("substring(lines[0], 2, length(lines[0]) - 2)").alias("sub_name"), F.posexplode(F.slice("lines", F.lit(2), F.size("lines"))).alias("pos", "line"), headed.alias("_2"), "_1")
     comma = F.assert_true(F.instr("line", ",") > 0, F.lit("a class line must be token,explanation"))
-    out = rows.select("main_id", "main_name", "sub_id", "sub_name", "pos", F.substring_index("line", ",", 1).alias("token"), F.expr("substring(line, instr(line, ',') + 1)").alias("explanation"), comma.alias("_3"), "_1", "_2")
+    out = rows.select("main_pos", "main_id", "main_name", "sub_id", "sub_name", "pos", F.substring_index("line", ",", 1).alias("token"), F.expr("substring(line, instr(line, ',') + 1)").alias("explanation"), comma.alias("_3"), "_1", "_2")
     return out.where("_1 is null and _2 is null and _3 is null").drop("_1", "_2", "_3")
