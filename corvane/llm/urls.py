@@ -5,9 +5,11 @@ from the corpus: words of three letters or more that stand alone, as a host labe
 under at least `fewest` hosts and in `share` of all (host, word) pairs, so there are at most
 1 / share of them, whatever the corpus; a hot host counts each word once. Seeds and some plain words
 are added. A page is weakly labelled "block" if a segmented host or path word is a block seed, else
-"allow"; the counts of the hashed tokens of all pages, by label, make a multinomial naive Bayes
-model with 2^16 buckets (so its size is bounded), to which each seed adds one page. Tokens are
-segmented host words and path words; digits count as one token. Odds of exactly one, a tie, allow.
+"allow"; the counts of the tokens of all pages, by label, make a multinomial naive Bayes model, to
+which each seed adds one page. The counts are a table, a row a token, joined to the pages' tokens
+(where they are, for tokens that many pages have), so no token shares its counts with another and the
+model may grow with the corpus. Tokens are segmented host words and path words; digits count as one
+token. Odds of exactly one, a tie, allow.
 
 The weak labels come from the seeds, so the model generalizes as far as words keep company: it
 learns which other words pages with seeds have.
@@ -21,8 +23,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import LETTERS_LOW, LETTERS_UP, arrow_batches, keep
+from corvane.llm.common import LETTERS_LOW, LETTERS_UP, arrow_batches, join_by_class, keep
 
 # The rules (verdict, host, path).
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -42,7 +42,6 @@ BLOCK_SEEDS = "spam farm casino poker bet bets betting gambling slots jackpot lo
 PLAIN_WORDS = "the and for of in on to my our your best top new free news blog shop store online web site page home world life daily times post press media book books read library school college science research health doctor city travel hotel food recipe music film photo art design game games sport sports team club code cloud data tech digital mobile app apps group global network forum wiki help guide learn kids family garden house green blue red box hub lab labs live tv radio video mail chat store market trade bank money work job jobs law public open source project test example dev api docs static cdn img www adults pharmacy essex sussex middlesex better alphabet between".split()
 
 LEXICON = frozenset((*BLOCK_SEEDS, *PLAIN_WORDS))
-BUCKETS = 1 << 16
 
 
 def host_of(url: Column) -> Column:
@@ -104,10 +103,6 @@ def tokens(host: str, path: str, segment) -> list[str]:
     return ["h:" + w for x in labels if x for w in segment(x)] + ["p:" + ("#" if w.isdigit() else w) for w in re.findall("[a-z]+|[0-9]+", path.lower())]
 
 
-def bucket(token: str) -> int:
-    return zlib.crc32(token.encode()) % BUCKETS
-
-
 def is_seeded(found: list[str]) -> bool:
     return any(t[2:] in _SEEDS for t in found)
 
@@ -130,46 +125,40 @@ def standing_alone(pages: DataFrame, share: float = 1 / 50_000, fewest: int = 3)
     return dict(map(tuple, counts.where(often | F.col("w").isin(sorted(LEXICON))).collect()))  # at most 1 / share words and the lexicon
 
 
-def model(pages: DataFrame, counts: dict[str, int], alpha: float = 0.5) -> tuple[float, dict[int, float]]:
-    """The log odds of "block" before any token, and by bucket; buckets not seen count 0."""
+def segmented(pages: DataFrame, counts: dict[str, int]) -> DataFrame:
+    """(row, page_id, host, path, words, tokens, seeded): every page's tokens, and whether a seed is among them."""
+    kind = dict(pages.dtypes)["page_id"]
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segment, n = segmenter(counts), Counter()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segment = segmenter(counts)
         for batch in batches:
-            for host, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                label = int(is_seeded(found := tokens(host, path, segment)))
-                n[-1, label] += 1
-                n.update((bucket(t), label) for t in found)
-        keys = list(n)
-        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in keys], pa.int32()), pa.array([x for _, x in keys], pa.int32()), pa.array([n[k] for k in keys], pa.int64())], ["bucket", "label", "n"])
+            found = [tokens(h, p, segment) for h, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            words = pa.array([[t[2:] for t in f if t[0] == "h"] for f in found], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, words, pa.array(found, pa.list_(pa.string())), pa.array([is_seeded(f) for f in found], pa.bool_())], ["row", "page_id", "host", "path", "words", "tokens", "seeded"])
 
     arrow_batches(pages.sparkSession)
-    part = _pages(pages).select("host", "path").mapInArrow(partial, "bucket int, label int, n long")
-    n = Counter({(b, x): c for b, x, c in part.groupBy("bucket", "label").agg(F.sum("n")).collect()})  # at most two a bucket
-    for label, words in ((1, BLOCK_SEEDS), (0, PLAIN_WORDS)):
-        n.update([(-1, label)] * len(words) + [(bucket("h:" + w), label) for w in words])
-    size = [sum(c for (b, x), c in n.items() if b >= 0 and x == label) for label in (0, 1)]
-    seen = {b for b, _ in n if b >= 0}
-    odds = lambda b: math.log((n[b, 1] + alpha) / (size[1] + alpha * len(seen))) - math.log((n[b, 0] + alpha) / (size[0] + alpha * len(seen)))
-    return math.log(n[-1, 1] / n[-1, 0]), {b: odds(b) for b in seen}
+    rows = _pages(pages).select(F.monotonically_increasing_id().alias("row"), "page_id", "host", "path")
+    return keep(rows.mapInArrow(run, f"row long, page_id {kind}, host string, path string, words array<string>, tokens array<string>, seeded boolean"), "segmented")
+
+
+def model(found: DataFrame, alpha: float = 0.5) -> tuple[float, DataFrame, int]:
+    """The log odds of "block" before any token, those of each token (token, odds, _n: how often it is met), and how many tokens there are in all."""
+    spark = found.sparkSession
+    seeds = spark.createDataFrame([("h:" + w, label) for label, words in ((1, BLOCK_SEEDS), (0, PLAIN_WORDS)) for w in words], "token string, label int")
+    each = found.select(F.explode("tokens").alias("token"), F.col("seeded").cast("int").alias("label")).unionByName(seeds)
+    counted = keep(each.groupBy("token").agg(F.sum("label").alias("n1"), F.sum(1 - F.col("label")).alias("n0")), "tokens")
+    sums = counted.agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.count("*").alias("v")).first()
+    pages = found.agg(F.count_if("seeded").alias("n1"), F.count_if(~F.col("seeded")).alias("n0")).first()
+    share = lambda c: F.ln((F.col(c) + alpha) / (sums[c] + alpha * sums["v"]))
+    odds = counted.select("token", (share("n1") - share("n0")).alias("odds"), (F.col("n1") + F.col("n0")).alias("_n"))
+    return math.log((pages["n1"] + len(BLOCK_SEEDS)) / (pages["n0"] + len(PLAIN_WORDS))), odds, sums["n1"] + sums["n0"]
 
 
 def judged(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
     """(page_id, host, path, words, odds, rule, verdict)."""
-    counts = standing_alone(pages)
-    prior, odds = model(pages, counts)
-    kind = dict(pages.dtypes)["page_id"]
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segment = segmenter(counts)
-        for batch in batches:
-            words, scores = [], []
-            for host, path in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                found = tokens(host, path, segment)
-                words.append([t[2:] for t in found if t[0] == "h"])
-                scores.append(prior + sum(odds.get(bucket(t), 0.0) for t in found))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(words, pa.list_(pa.string())), pa.array(scores, pa.float64())], ["page_id", "host", "path", "words", "odds"])
-
-    done = _pages(pages).mapInArrow(score, f"page_id {kind}, host string, path string, words array<string>, odds double")
+    found = segmented(pages, standing_alone(pages))
+    prior, odds, total = model(found)
+    met = join_by_class(found.select("row", F.explode("tokens").alias("token")), odds, "token", total).groupBy("row").agg(F.sum("odds").alias("_sum"))
+    done = found.join(met, "row", "left").withColumn("odds", F.round(F.lit(prior) + F.coalesce("_sum", F.lit(0.0)), 9))  # sums run in any order
     by = rule_of(F.col("host"), F.col("path"), rules)
     return done.withColumn("_r", by).select("page_id", "host", "path", "words", "odds", F.col("_r.rule").alias("rule"), F.coalesce("_r.verdict", F.when(F.col("odds") > 0, "block").otherwise("allow")).alias("verdict"))

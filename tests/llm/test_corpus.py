@@ -598,17 +598,31 @@ def test_urls_against_a_plain_model(spark):
     for f, label in [(f, int(any(t[2:] in urls.BLOCK_SEEDS for t in f))) for f in found] + [(["h:" + w], 1) for w in urls.BLOCK_SEEDS] + [(["h:" + w], 0) for w in urls.PLAIN_WORDS]:
         n[label] += 1
         for t in f:
-            size[urls.bucket(t), label] = size.get((urls.bucket(t), label), 0) + 1
+            size[t, label] = size.get((t, label), 0) + 1
     buckets = {b for b, _ in size}
     sums = [sum(c for (_, x), c in size.items() if x == label) for label in (0, 1)]
-    share = lambda t, label: (size.get((urls.bucket(t), label), 0) + 0.5) / (sums[label] + 0.5 * len(buckets))
-    odds = lambda t: np.log(share(t, 1) / share(t, 0)) if urls.bucket(t) in buckets else 0.0
+    share = lambda t, label: (size.get((t, label), 0) + 0.5) / (sums[label] + 0.5 * len(buckets))
+    odds = lambda t: np.log(share(t, 1) / share(t, 0)) if t in buckets else 0.0
     want = [np.log(n[1] / n[0]) + sum(map(odds, f)) for f in found]
     got = {x["page_id"]: x for x in collected(urls.judged(spark.createDataFrame(list(enumerate(pages)), "page_id long, url string")))}
-    assert [got[k]["odds"] for k in range(len(pages))] == pytest.approx(want)
+    assert [got[k]["odds"] for k in range(len(pages))] == pytest.approx(want, abs=1e-8)
     assert all(got[k]["verdict"] == ("block" if want[k] > 0 else "allow") for k in got if got[k]["rule"] is None)
 
 
+def test_urls_of_hosts_without_seeds(spark, monkeypatch):
+    """Seeds that the model is not told: pages on hosts that hold only such are found by the company their words keep."""
+    r = random.Random(31)
+    told, untold = ["casino", "poker", "pills", "viagra"], ["zorpbet", "glimpharma", "quuxslots"]
+    bad, fine = ["bonus", "cheapest", "prescription", "dealer", "wager"], ["garden", "lecture", "museum", "orchestra", "recipe"]
+    page = lambda host, words: f"http://{host}.example.edu/" + "/".join(r.sample(words, 3))
+    train = [page(r.choice(told) + r.choice(bad), bad) for _ in range(300)] + [page(r.choice(fine) + r.choice(fine), fine) for _ in range(300)]
+    held = [(page(r.choice(untold), bad), "block") for _ in range(60)] + [(page("plainhost" + str(k), fine), "allow") for k in range(60)]
+    got = {x["page_id"]: x["verdict"] for x in collected(urls.judged(spark.createDataFrame(list(enumerate([*train, *(u for u, _ in held)])), "page_id long, url string")))}
+    right = sum(got[600 + k] == want for k, (_, want) in enumerate(held))
+    print("held-out pages judged right:", right, "of", len(held))
+    assert right >= 114
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
