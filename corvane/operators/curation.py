@@ -15,6 +15,22 @@ def violations(explanations: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("token", what.alias("problem")).unionByName(twice(explanations, "explained twice")).unionByName(twice(classes, "in two classes")).distinct()
 
 
+def annotated(log: DataFrame) -> DataFrame:
+    """(token, value): of a token's lines in an annotation or explanation log (token, value, at) the last one."""
+    return log.groupBy("token").agg(F.max_by("value", "at").alias("value"))
+
+
+def to_annotate(tokens: DataFrame, log: DataFrame | None) -> DataFrame:
+    """The tokens that a round of annotation still has to ask about, as they are (with their rank, if they have one)."""
+    return tokens if log is None else tokens.join(log.select("token").distinct(), "token", "left_anti")
+
+
+def to_explain(tokens: DataFrame, annotations: DataFrame, explanations: DataFrame | None) -> DataFrame:
+    """The tokens last annotated "1" that have no explanation yet."""
+    chosen = tokens.join(annotated(annotations).where("value = '1'").select("token"), "token", "left_semi")
+    return to_annotate(chosen, explanations)
+
+
 def class_ids(classes: DataFrame) -> DataFrame:
     return classes.select("token", "main_id", "sub_id")
 

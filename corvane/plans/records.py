@@ -166,6 +166,22 @@ def q_unsampled(spark: SparkSession, sf: str) -> DataFrame:
     return curation.unsampled(p.select(F.col("p_type").alias("token")), p.where("p_size % 7 = 0 and p_retailprice > 1000").select(F.col("p_type").alias("token")))
 
 
+@query("""WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 3 = 0 THEN '1' WHEN c_custkey % 5 = 0 THEN '0' ELSE CASE WHEN c_acctbal > 0 THEN '1' ELSE '0' END END AS value FROM customer)
+SELECT 'token, "' || c_custkey || '"' AS token, value, value IS NULL AS ask, coalesce(value = '1' AND c_custkey % 2 = 1, false) AS explain FROM c""")
+def q_annotation_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Three rounds of annotations appended to a log, the last one of a token counts; what is still to be asked, and to be explained."""
+    c, path = table(spark, sf, "customer").withColumn("token", F.concat(F.lit('token, "'), F.col("c_custkey").cast("string"), F.lit('"'))), _at(spark, "annotations")
+    said = c.where("c_custkey % 7 <> 0")
+    sinks.append_csv(said.select("token", F.when(F.col("c_acctbal") > 0, "1").otherwise("0").alias("value")), path)
+    sinks.append_csv(said.where("c_custkey % 5 = 0").select("token", F.lit("0").alias("value")), path)
+    sinks.append_csv(said.where("c_custkey % 3 = 0").select("token", F.lit("1").alias("value")), path)
+    log, tokens_ = readers.annotation_log(spark, path), c.select("token")
+    explained = c.where("c_custkey % 2 = 0").select("token", F.lit("said").alias("value"))
+    ask, explain = (d.withColumn(n, F.lit(True)) for n, d in (("ask", curation.to_annotate(tokens_, log)), ("explain", curation.to_explain(tokens_, log, explained))))
+    d = tokens_.join(curation.annotated(log), "token", "left").join(ask, "token", "left").join(explain, "token", "left")
+    return d.select("token", "value", F.coalesce("ask", F.lit(False)).alias("ask"), F.coalesce("explain", F.lit(False)).alias("explain"))
+
+
 @query("SELECT p_partkey AS dgp_id, p_name FROM part WHERE p_partkey BETWEEN 10 AND 150")
 def q_line_range(spark: SparkSession, sf: str) -> DataFrame:
     return readers.line_range(table(spark, sf, "part").select(F.col("p_partkey").alias("dgp_id"), "p_name"), 10, 150)

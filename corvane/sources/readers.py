@@ -76,6 +76,13 @@ def delimited(spark: SparkSession, path: str, schema: str, header: bool = False)
     return df.select(*(F.coalesce(c, F.lit("")).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes))
 
 
+def annotation_log(spark: SparkSession, path: str) -> DataFrame:
+    """(token, value, at) from CSV files without header, appended over time; at orders lines by when they came."""
+    rows = spark.read.schema(schemas.TWO_COLUMNS).option("quote", '"').option("escape", '"').option("multiLine", True).option("emptyValue", "").csv(path)
+    at = F.struct(F.col("_metadata.file_modification_time").alias("written"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"))
+    return rows.select("token", F.coalesce("value", F.lit("")).alias("value"), at.alias("at"))
+
+
 def float64_blocks(spark: SparkSession, path: str, dimension: int, first: int = 0, tail: str = "error", partition: int | None = None) -> DataFrame:
     """(embedding_id, embedding) from headerless little-endian float64 vectors, a file or a folder of files; tail says what becomes of bytes beyond whole vectors."""
     importable(spark)
