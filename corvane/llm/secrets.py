@@ -247,6 +247,7 @@ def learned(docs: DataFrame) -> str:
 
     arrow_batches(docs.sparkSession)
     counted = docs.select("text").mapInArrow(released(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    counted = counted.repartition(64)  # each part sends its first words to the driver: as many parts whatever the corpus
     most = [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(DICTIONARY // 5).collect()]
     out, size = [], 0
     for word in filter(wordlike, most):
