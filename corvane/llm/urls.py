@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from corvane.llm.common import LETTERS_LOW, LETTERS_UP, arrow_batches, join_by_class, keep
 
 # The rules (verdict, host, path).
-RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
 # Words that mark a host as unwanted.
 BLOCK_SEEDS = "spam farm casino poker bet bets betting gambling slots jackpot lottery win porn sex xxx adult nude cams escort pills pharma viagra cialis drugs ads adserver track tracker tracking clickbait popup malware virus phishing warez crack keygen torrent loan loans payday cheap replica fake hack cheats".split()
