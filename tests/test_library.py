@@ -158,6 +158,22 @@ def test_raw_last_output_wins(spark):
     assert got == [{"head": "GENA", "outputs": ["new"]}, {"head": "p.V1", "outputs": ["v"]}]
 
 
+#: Queries over the extraction's tables, which the planner judges by small compressed files.
+LARGE_JOINS = ["q_match_triplets"]
+
+
+@pytest.mark.parametrize("name", LARGE_JOINS)
+def test_papers_and_outputs_are_not_broadcast(spark, monkeypatch, name):
+    """However small the files look: what is broadcast is gathered by the driver first."""
+    from corvane.plans import catalogue
+
+    monkeypatch.setattr(catalogue, "keep", lambda df, *_: df)  # so that the plan has everything
+    done = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
+    done.collect()
+    shown = done._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in shown and "BroadcastHashJoin" not in shown
+
+
 def test_tasks_and_triplets(spark):
     t = ore.tasks(paper(spark), "TITLE TEXT GENE DISEASE")
     assert sorted(r["head"] for r in rows(t)) == ["GENA", "p.V1", "p.V1"]
