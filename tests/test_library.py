@@ -159,7 +159,7 @@ def test_raw_last_output_wins(spark):
 
 
 #: Queries over the extraction's tables, which the planner judges by small compressed files.
-LARGE_JOINS = ["q_match_triplets", "q_comparisons", "q_match_counters", "q_combine_sorted", "q_totals"]
+LARGE_JOINS = ["q_match_triplets", "q_comparisons", "q_match_counters", "q_combine_sorted", "q_totals", "q_near_dup"]
 
 
 @pytest.mark.parametrize("name", LARGE_JOINS)
