@@ -1,10 +1,11 @@
 """Near copies at a stated similarity: SimHash decides which pairs are worth it, shingle sets verify them.
 
 Texts are alike if the Jaccard similarity of their sets of 5-word shingles is `least` or more (A-Z
-lowered; words, fewer than five as one shingle). At 0.8 two fingerprints differ in 15 % of their
-bits, 9.7 of 64 on average, and share no byte position often enough for lists of byte positions; so
-here candidates come from `BANDS` lists of `ROWS` minima of hashed shingles, which miss a pair of
-similarity 0.8 once in 330,000 and nearer ones less. The texts of a list are one coarse class with its
+lowered; words, fewer than five as one shingle). Candidates come from op5's index first: texts whose
+64-bit SimHash fingerprints of these sets differ in at most 4 bits, by byte positions with count
+filtering. At 0.8 two fingerprints differ in 15 % of their bits, 9.7 of 64 on average, so the index
+alone would lose most such pairs; they come from `BANDS` lists of `ROWS` minima of hashed shingles,
+which miss a pair of similarity 0.8 once in 330,000 and nearer ones less. The texts of a list are one coarse class with its
 smallest, whatever their number: a posting is two numbers, minima are aggregated before the shuffle and
 a list that holds much of all postings is joined where its texts are. Then each text's shingles go to
 its class once. There pairs whose 256-bit SimHash fingerprints differ in more than `FAR` bits, and
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import arrow_batches, bounded, components, join_by_class, keep, released
-from corvane.llm.simhash import first_of
+from corvane.llm.simhash import first_of, links
 
 BANDS, ROWS, FAR, SMALL = 32, 5, 72, 64
 #: Hubs of a class at most, and the bytes of a set that may be one: with common.HEAVY this bounds what is broadcast to 64 MB.
@@ -78,19 +79,29 @@ def fingerprint(h: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > len(h)).view("<u8")
 
 
+def short_print(h: np.ndarray) -> np.ndarray:
+    """The 64-bit SimHash that the index of byte positions takes: a bit is 1 if set in over half the hashes."""
+    ones = np.zeros(64, np.int64)
+    for lo in range(0, len(h), 4096):
+        part = np.ascontiguousarray(h[lo : lo + 4096].astype("<u8"))
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(h)).view("<i8")
+
+
 def _postings(docs: DataFrame, size: int) -> DataFrame:
-    """(tid, keys): a text's hash and its lists; copies in one batch once."""
+    """(tid, keys, fp): a text's hash, its lists and its 64-bit fingerprint; copies in one batch once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             one = dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
             if one:
-                keys = np.concatenate([bands(shingles(text, size)) for text in one.values()])
+                sets = [shingles(text, size) for text in one.values()]
+                keys, prints = np.concatenate([bands(h) for h in sets]), np.concatenate([short_print(h) for h in sets])
                 lists = pa.ListArray.from_arrays(np.arange(0, BANDS * len(one) + 1, BANDS, dtype=np.int32), keys.view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(list(one), pa.int64()), lists], ["tid", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(one), pa.int64()), lists, pa.array(prints)], ["tid", "keys", "fp"])
 
     arrow_batches(docs.sparkSession)
-    return docs.select(F.xxhash64("text").alias("tid"), "text").mapInArrow(released(run), "tid long, keys array<long>")
+    return docs.select(F.xxhash64("text").alias("tid"), "text").mapInArrow(released(run), "tid long, keys array<long>, fp long")
 
 
 def spanning(n: int, near, one: np.ndarray | None = None) -> tuple[list[int], list[int]]:
@@ -111,11 +122,23 @@ def spanning(n: int, near, one: np.ndarray | None = None) -> tuple[list[int], li
     return a, b
 
 
+def _indexed(texts: DataFrame, total: int) -> DataFrame:
+    """(a, b): each text with the smallest of those whose fingerprints the index of byte positions, with its count filter, joins."""
+    prints = keep(texts.groupBy("fp").agg(F.min("tid").alias("low"), F.count("*").alias("_rows")), "prints")
+    of = keep(components(keep(links(prints), "near_prints")).withColumnRenamed("node", "fp"), "print_roots")
+    rooted = keep(prints.join(of, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted_prints")
+    least = rooted.groupBy("root").agg(F.min("low").alias("a"), F.count("*").alias("_n"))
+    named = join_by_class(rooted, least, "root", rooted.count()).select("fp", "a", F.col("_rows").alias("_n"))
+    return join_by_class(texts.select("fp", "tid"), named, "fp", total).select("a", F.col("tid").alias("b"))
+
+
 def _coarse(texts: DataFrame) -> DataFrame:
-    """(a, b): each text with the smallest of every list that it shares. texts must be kept."""
+    """(a, b): each text with the smallest of those that SimHash's index joins it to, and of every list that it shares. texts must be kept."""
     postings = texts.select(F.explode("keys").alias("key"), "tid")
     shared = postings.groupBy("key").agg(F.min("tid").alias("a"), F.max("tid").alias("z"), F.count("*").alias("_n")).where("a <> z").drop("z")
-    return keep(join_by_class(postings, shared, "key", texts.count() * BANDS).select("a", F.col("tid").alias("b")).where("a <> b").distinct(), "candidates")
+    total = texts.count()
+    listed = join_by_class(postings, shared, "key", total * BANDS).select("a", F.col("tid").alias("b"))
+    return keep(_indexed(texts, total).unionByName(listed).where("a <> b").distinct(), "candidates")
 
 
 def packed(h: np.ndarray) -> bytes:

@@ -270,6 +270,13 @@ def test_similar(spark, docs, rows, texts, set_bytes, heavy, batch, monkeypatch)
     assert not left or (len(left) == len(classes) and set(left[0]) == {"doc_id", "text"})
 
 
+def test_similar_takes_candidates_from_the_index(spark):
+    """Texts that share no list but lie within four bits, over some steps, or on one fingerprint, are candidates."""
+    prints = {1: 0, 2: 0b1111, 3: 0b11111111, 4: (1 << 20) - 1, 5: 0, 6: -1}
+    texts = common.keep(spark.createDataFrame([(i, [100 + i], fp) for i, fp in prints.items()], "tid long, keys array<long>, fp long"))
+    assert {(x.a, x.b) for x in similar._coarse(texts).collect()} == {(1, 2), (1, 3), (1, 5)}
+
+
 def test_similar_short_texts(spark):
     """Texts of 5 to 12 words, edited at an end: every pair of similarity 0.8 is joined, however far their fingerprints are apart."""
     r = random.Random(8)
