@@ -174,6 +174,25 @@ def test_papers_and_outputs_are_not_broadcast(spark, monkeypatch, name):
     assert "SortMergeJoin" in shown and "BroadcastHashJoin" not in shown
 
 
+#: The same queries, whose outputs are parsed by one regular expression, in one place.
+PARSED_ONCE = ["q_comparisons"]
+
+
+@pytest.mark.parametrize("name", PARSED_ONCE)
+def test_outputs_are_parsed_once(spark, monkeypatch, name):
+    """A filter on the triplets would be pushed below the join, and parse there once more."""
+    from corvane.plans import catalogue
+
+    monkeypatch.setattr(catalogue, "keep", lambda df, *_: df)  # so that the plan has everything
+    plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert (plan.count("RLIKE"), plan.count("(?U)^")) == (1, 1)
+
+
+def test_papers_without_triplets(spark):
+    for texts in ([None], ["nothing"], [None, "nothing"], []):
+        assert ore.facts(ore.parse(ore.raw(paper(spark), outputs(spark, *texts)))).count() == 0
+
+
 def test_tasks_and_triplets(spark):
     t = ore.tasks(paper(spark), "TITLE TEXT GENE DISEASE")
     assert sorted(r["head"] for r in rows(t)) == ["GENA", "p.V1", "p.V1"]
