@@ -188,14 +188,15 @@ def test_outputs_are_parsed_once(spark, monkeypatch, name):
     assert (plan.count("RLIKE"), plan.count("(?U)^")) == (1, 1)
 
 
-def test_totals_match_once(spark, monkeypatch):
-    """What is kept and what is left to do hold one parse between them, though three parts read the matched triplets."""
+@pytest.mark.parametrize("name", ["q_totals", "q_match_counters"])
+def test_kept_triplets_are_matched_once(spark, monkeypatch, name):
+    """What is kept and what is left to do hold one parse between them, though three parts read what is kept."""
     from corvane.plans import catalogue
 
     plans, of = [], lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     kept = catalogue.keep
     monkeypatch.setattr(catalogue, "keep", lambda df, *names: (plans.append(of(df)), kept(df, *names))[1])
-    plans.append(of(catalogue.QUERIES["q_totals"](spark, "/root/testdata/sf0.001")))
+    plans.append(of(catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")))
     assert sum(p.count("RLIKE") for p in plans) == 1
 
 
