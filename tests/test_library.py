@@ -175,7 +175,7 @@ def test_papers_and_outputs_are_not_broadcast(spark, monkeypatch, name):
 
 
 #: The same queries, whose outputs are parsed by one regular expression, in one place.
-PARSED_ONCE = ["q_comparisons"]
+PARSED_ONCE = ["q_comparisons", "q_near_dup"]
 
 
 @pytest.mark.parametrize("name", PARSED_ONCE)
